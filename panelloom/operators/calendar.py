@@ -18,10 +18,16 @@ def week_ending(date: str | Column) -> Column:
     return F.next_day(F.date_sub(date, 1), "FRI")
 
 
+def _whole_series():
+    """The whole series in date order: shares its sort with the running windows."""
+    return Window.partitionBy("series").orderBy("ts").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def _extent(panel: DataFrame, extent: str) -> tuple[Column, Column]:
     """First and last date of the grid: of the series, or of the whole panel."""
     if extent == "own":
-        w = Window.partitionBy("series")
+        w = _whole_series()
         return F.min("ts").over(w), F.max("ts").over(w)
     if extent == "shared":
         return panel.agg(F.min("ts")).scalar(), panel.agg(F.max("ts")).scalar()
@@ -35,8 +41,8 @@ def _gap_rows(panel: DataFrame, extent: str) -> DataFrame:
     up to the next one, the first also those before it, the last those after.
     """
     lo, hi = _extent(panel, extent)
-    whole = Window.partitionBy("series")
-    ordered = whole.orderBy("ts")
+    whole = _whole_series()
+    ordered = Window.partitionBy("series").orderBy("ts")
     marked = (panel.withColumn("_lo", lo).withColumn("_hi", hi)
               .withColumn("_known", F.count("value").over(whole))
               .withColumn("_row", F.row_number().over(ordered)))

@@ -340,20 +340,20 @@ def eda_summary(df: DataFrame, column: str, keys=("series",), ts: str = WEEK) ->
 
 def histogram_density(df: DataFrame, column: str, bins: int = 35, keys=("series",)) -> DataFrame:
     """Equal-width bins over each key's own range, heights integrating to one; empty bins included."""
-    ranges = df.groupBy(*keys).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"),
-                                   F.count(column).alias("_n"))
     whole = Window.partitionBy(*keys)
     placed = df.filter(F.col(column).isNotNull()).select(
         *keys, F.col(column).alias("_v"), F.min(column).over(whole).alias("_lo"), F.max(column).over(whole).alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / float(bins)
     # The top edge belongs to the last bin.
-    bin_of = F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(bins - 1))
-    counts = placed.groupBy(*keys, bin_of.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("_c"))
-    grid = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).withColumn("bin", F.col("bin").cast("long"))
-    joined = grid.join(counts, [*keys, "bin"], "left")
-    return joined.select(
-        *keys, "bin", (F.col("_lo") + F.col("bin") * width).alias("left_edge"),
-        (F.coalesce("_c", F.lit(0)) / (F.col("_n") * width)).alias("density"))
+    bin_of = F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(bins - 1)).cast("int")
+    counts = placed.groupBy(*keys, "_lo", "_hi", bin_of.alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
+    per_key = counts.groupBy(*keys, "_lo", "_hi").agg(
+        F.sum("_c").alias("_n"), F.map_from_entries(F.collect_list(F.struct("_bin", "_c"))).alias("_counts"))
+    filled = per_key.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    held = F.coalesce(F.element_at("_counts", F.col("bin")), F.lit(0))
+    return filled.select(*keys, F.col("bin").cast("long").alias("bin"),
+                         (F.col("_lo") + F.col("bin") * width).alias("left_edge"),
+                         (held / (F.col("_n") * width)).alias("density"))
 
 
 def kde_grid(df: DataFrame, column: str, points: int = 300, keys=("series",)) -> DataFrame:

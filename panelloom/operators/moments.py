@@ -21,6 +21,22 @@ def triangle(k: int):
     return [(i, j) for i in range(k) for j in range(i, k)]
 
 
+def products(columns) -> Column:
+    """Upper triangle of a row's products, in the order of ``triangle``.
+
+    Written over one array, so the plan does not grow with the square of the
+    number of columns.
+    """
+    k = len(columns)
+
+    def of_row(x):
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.transform(
+            F.slice(x, i, k - i + 1), lambda v: v * F.element_at(x, i))))
+
+    # Bind the array once: a one-element transform acts as a let expression.
+    return F.transform(F.array(F.array(*[F.col(c) for c in columns])), of_row)[0]
+
+
 def moment_rows(df: DataFrame, keys, columns) -> DataFrame:
     """Long form ``(keys, i, j, value)``: spreads even a single key over many tasks."""
     products = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
@@ -40,8 +56,7 @@ def moment_matrix(df: DataFrame, keys, columns) -> DataFrame:
         return df.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("n_rows"),
             F.array(*[F.sum(F.col(columns[i]) * F.col(columns[j])) for i, j in pairs]).alias("m"))
-    products = F.array(*[F.col(columns[i]) * F.col(columns[j]) for i, j in pairs])
-    summed = (df.select(*keys, F.posexplode(products).alias("pos", "value"))
+    summed = (df.select(*keys, F.posexplode(products(columns)).alias("pos", "value"))
               .groupBy(*keys, "pos").agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n")))
     return summed.groupBy(*keys).agg(
         F.max("n").alias("n_rows"),
@@ -72,24 +87,39 @@ DOUBLES = T.ArrayType(T.DoubleType())
 SOLVED = T.StructType([T.StructField("coef", T.ArrayType(DOUBLES)), T.StructField("sscp", DOUBLES)])
 
 
+def regress(full: np.ndarray, x: np.ndarray, y: np.ndarray):
+    """Coefficients and residual cross products of targets ``y`` on regressors ``x``.
+
+    The first regressor is the constant: the others are centred on the matrix
+    itself, so their own location and scale do not hurt the solve.
+    """
+    n, rest = full[x[0], x[0]], x[1:]
+    mean_x, mean_y = full[x[0], rest] / n, full[x[0], y] / n
+    gram = full[np.ix_(rest, rest)] - n * np.outer(mean_x, mean_x)
+    cross = full[np.ix_(rest, y)] - n * np.outer(mean_x, mean_y)
+    flat = np.diag(gram) <= 1e-12 * np.diag(full)[rest]
+    gram[flat], gram[:, flat], cross[flat] = 0.0, 0.0, 0.0
+    slopes = min_norm_solve(gram, cross)
+    left = full[np.ix_(y, y)] - n * np.outer(mean_y, mean_y) - cross.T @ slopes
+    return np.vstack([mean_y - mean_x @ slopes, slopes]), (left + left.T) / 2
+
+
 @F.pandas_udf(SOLVED)
 def _solve(m: pd.Series, x: pd.Series, y: pd.Series) -> pd.DataFrame:
     coefs, residuals = [], []
     for packed, xi, yi in zip(m, x, y):
         full = unpack(np.asarray(packed, dtype=float))
-        xi, yi = np.asarray(xi, dtype=int), np.asarray(yi, dtype=int)
-        gram, cross = full[np.ix_(xi, xi)], full[np.ix_(xi, yi)]
-        beta = min_norm_solve(gram, cross)
-        left = full[np.ix_(yi, yi)] - cross.T @ beta
+        beta, left = regress(full, np.asarray(xi, dtype=int), np.asarray(yi, dtype=int))
         coefs.append([list(b) for b in beta.T])
-        residuals.append(((left + left.T) / 2).ravel().tolist())
+        residuals.append(left.ravel().tolist())
     return pd.DataFrame({"coef": coefs, "sscp": residuals})
 
 
 def solve(m: Column | str, x: Column, y: Column) -> Column:
     """``coef`` (one array per target) and the residual cross products ``sscp``.
 
-    ``x`` and ``y`` are arrays of column positions in the moment matrix.
+    ``x`` and ``y`` are arrays of column positions in the moment matrix, the
+    constant first in ``x``.
     """
     return _solve(F.col(m) if isinstance(m, str) else m, x, y)
 

@@ -7,6 +7,6 @@ from .base import ORACLES, QUERIES
 
 def load():
     """Import every group of queries; returns ``(queries, oracles)``."""
-    from . import aggregates, calendar, cleaning, features, joins, sources, tests  # noqa: F401
+    from . import aggregates, calendar, cleaning, features, joins, models, sources, tests  # noqa: F401
 
     return dict(QUERIES), dict(ORACLES)
