@@ -143,3 +143,98 @@ def arx_rolling(spark, sf):
     vol = V.variance_recursion(fc, params, "resid", floor=1e-12).select("series", "week_end_date", "sigma")
     out = V.with_band(fc.filter((F.col("split") == "test") & F.col("pred").isNotNull()).join(vol, ["series", "week_end_date"]))
     return rounded(out.drop("split"))
+
+
+# Systems: one per order status, three priority series each.
+SYSTEM_NAMES = ("HIGH", "MEDIUM", "LOW")
+SYSTEM_SERIES = {"2-HIGH": "HIGH", "3-MEDIUM": "MEDIUM", "5-LOW": "LOW"}
+
+
+def systems(spark, sf):
+    """Wide weekly changes of each system with the chronological split."""
+    from ..operators.calendar import interpolate_time, resample_week
+    from ..operators.cleaning import relabel
+    from ..operators.joins import panel_to_wide
+    from ..operators.windows import chronological_split, diff
+
+    sep = "|"
+    daily = (P.table(spark, sf, "orders").filter(F.col("o_orderpriority").isin(list(SYSTEM_SERIES)))
+             .groupBy(F.concat_ws(sep, "o_orderstatus", "o_orderpriority").alias("series"), P.day("o_orderdate").alias("ts"))
+             .agg(F.avg("o_totalprice").alias("value")))
+    weekly = diff(resample_week(interpolate_time(daily)), "level", "diff").filter(F.col("diff").isNotNull())
+    parts = F.split("series", r"\|")
+    named = weekly.select(parts[0].alias("system"), parts[1].alias("series"), "week_end_date", "diff")
+    wide = panel_to_wide(relabel(named, "series", SYSTEM_SERIES), SYSTEM_NAMES, "diff", "week_end_date", ("system",))
+    return chronological_split(wide.na.drop(), keys=("system",))
+
+
+@query("var_lag_select")
+def var_lags(spark, sf):
+    from ..operators import vector as Y
+
+    return Y.var_lag_select(systems(spark, sf).filter(is_train()), SYSTEM_NAMES)
+
+
+@query("var_fit_static")
+def var_static(spark, sf):
+    from ..operators import vector as Y
+
+    return rounded(Y.var_static(systems(spark, sf), SYSTEM_NAMES))
+
+
+@query("var_residual_checks")
+def var_residual_checks(spark, sf):
+    from ..operators import diagnostics as D
+    from ..operators import vector as Y
+
+    train = systems(spark, sf).filter(is_train())
+    fit = Y.var_fit(train, SYSTEM_NAMES, Y.var_lag_select(train, SYSTEM_NAMES))
+    resid = Y.var_residuals(train, SYSTEM_NAMES, fit)
+    return rounded(D.ljung_box(resid, "resid", keys=("system", "series"))
+                   .join(D.jarque_bera(resid, "resid", ("system", "series")), ["system", "series"]), 6)
+
+
+@query("var_rolling")
+def var_rolling(spark, sf):
+    from ..operators import vector as Y
+
+    return rounded(Y.var_rolling(systems(spark, sf), SYSTEM_NAMES))
+
+
+@query("first_factor")
+def first_factor(spark, sf):
+    from ..operators import regimes as G
+
+    out = G.first_factor(systems(spark, sf), SYSTEM_NAMES)
+    return rounded(out.select("system", "week_end_date", "split", "factor", "explained", "flipped"), 6)
+
+
+@query("two_regime_switching")
+def switching(spark, sf):
+    from ..operators import regimes as G
+
+    factored = G.first_factor(systems(spark, sf), SYSTEM_NAMES).filter(is_train())
+    _, rows = G.two_regime_switching(factored, "factor")
+    return rounded(rows.withColumn("p_stress", F.col("p_regime")[1]).drop("p_regime"), 4)
+
+
+@query("regime_var")
+def regime_var(spark, sf):
+    from ..operators import regimes as G
+
+    _, _, fits = G.fit_regimes(systems(spark, sf), SYSTEM_NAMES)
+    return rounded(fits.select("system", "regime", "lag_order", "n_obs", "own_fit", F.col("coef")[0][0].alias("const_first")))
+
+
+@query("regime_static")
+def regime_static(spark, sf):
+    from ..operators import regimes as G
+
+    return rounded(G.regime_static(systems(spark, sf), SYSTEM_NAMES))
+
+
+@query("regime_rolling")
+def regime_rolling(spark, sf):
+    from ..operators import regimes as G
+
+    return rounded(G.regime_rolling(systems(spark, sf), SYSTEM_NAMES))
