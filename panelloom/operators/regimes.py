@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import durable
 from .cleaning import standardize
 from .moments import DOUBLES, moment_matrix, unpack
 from .vector import (KEYS, WEEK, _coefficients, _own_sample, iterate_system, lag_names, long_forecasts, one_step,
@@ -206,11 +207,15 @@ def regime_var(labelled: DataFrame, names, orders: DataFrame, max_lag: int = 8,
 
 
 def fit_regimes(df: DataFrame, names, max_lag: int = 8, keys=KEYS, ts: str = WEEK):
-    """Factor, labels of the training rows and one fit per regime: the parts of the forecasts below."""
-    factored = first_factor(df, names, keys, ts)
+    """Factor, labels of the training rows and one fit per regime: the parts of the forecasts below.
+
+    Factor and labels are checkpointed, so the switching fit runs once however
+    often its labels are read.
+    """
+    factored = durable(first_factor(df, names, keys, ts))
     train = factored.filter(F.col("split") == "train")
     _, labels = two_regime_switching(train, "factor", keys, ts)
-    labelled = train.drop("factor").join(labels.select(*keys, ts, "factor", "regime"), [*keys, ts])
+    labelled = durable(train.drop("factor").join(labels.select(*keys, ts, "factor", "regime"), [*keys, ts]))
     orders = var_lag_select(train, names, max_lag, None, keys, ts)
     return factored, labelled, regime_var(labelled, names, orders, max_lag, keys, ts)
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import arma as A
 from ..operators import volatility as V
 from ..plans import panels as P
+from ..session import durable
 from .base import SEG_MODEL, query, rounded
 from .features import arx_frame
 
@@ -165,7 +166,8 @@ def systems(spark, sf):
     parts = F.split("series", r"\|")
     named = weekly.select(parts[0].alias("system"), parts[1].alias("series"), "week_end_date", "diff")
     wide = panel_to_wide(relabel(named, "series", SYSTEM_SERIES), SYSTEM_NAMES, "diff", "week_end_date", ("system",))
-    return chronological_split(wide.na.drop(), keys=("system",))
+    # The models below read the frame several times; the raw table is scanned once.
+    return durable(chronological_split(wide.na.drop(), keys=("system",)))
 
 
 @query("var_lag_select")
@@ -189,7 +191,7 @@ def var_residual_checks(spark, sf):
 
     train = systems(spark, sf).filter(is_train())
     fit = Y.var_fit(train, SYSTEM_NAMES, Y.var_lag_select(train, SYSTEM_NAMES))
-    resid = Y.var_residuals(train, SYSTEM_NAMES, fit)
+    resid = durable(Y.var_residuals(train, SYSTEM_NAMES, fit))
     return rounded(D.ljung_box(resid, "resid", keys=("system", "series"))
                    .join(D.jarque_bera(resid, "resid", ("system", "series")), ["system", "series"]), 6)
 
