@@ -240,3 +240,111 @@ def regime_rolling(spark, sf):
     from ..operators import regimes as G
 
     return rounded(G.regime_rolling(systems(spark, sf), SYSTEM_NAMES))
+
+
+def learner_rows(spark, sf, horizons=(1, 4)):
+    """Direct rows of every (series, horizon): all features imputed, purged split, checkpointed."""
+    from functools import reduce
+
+    from ..operators.cleaning import median_impute
+    from ..operators.windows import purged_split
+    from .features import CREDIT, feature_frame
+
+    frame = durable(feature_frame(spark, sf))
+    features = [c for c in frame.columns if c not in ("frame", "week_end_date")]
+    levels = F.array(*[F.struct(F.lit(s).alias("series"), F.col(s).alias("_level")) for s in CREDIT])
+    known = (frame.withColumn("_s", F.explode(levels)).select("*", "_s.*").drop("_s")
+             .filter(F.col("_level").isNotNull()))
+    rows = reduce(lambda a, b: a.unionByName(b),
+                  [purged_split(known, h, level="_level").withColumn("horizon", F.lit(h)) for h in horizons])
+    return durable(median_impute(durable(rows.drop("_level")), features, is_train(), ("series", "horizon"))), features
+
+
+@query("elastic_net_cv")
+def elastic_net(spark, sf):
+    from ..operators import learners as L
+
+    rows, features = learner_rows(spark, sf)
+    fit = L.elastic_net_cv(rows.filter(is_train()), features)
+    out = L.linear_forecast(rows.filter(F.col("split") == "test"), fit, features)
+    return rounded(out.select("series", "horizon", "week_end_date", F.col("target").alias("actual"), "pred"), 4)
+
+
+def tree_forecasts(spark, sf, estimator):
+    from functools import reduce
+
+    from ..operators import learners as L
+    from .features import CREDIT
+
+    horizons = (1,)
+    rows, features = learner_rows(spark, sf, horizons)
+    assembled = L.assemble(rows, features).select("series", "horizon", "week_end_date", "split", "target", "features")
+    fits = L.fit_per_key(durable(assembled), estimator, [(s, h) for s in CREDIT for h in horizons], parallelism=8)
+    out = reduce(lambda a, b: a.unionByName(b), [p for _, _, p in fits])
+    return rounded(out.select("series", "horizon", "week_end_date", F.col("target").alias("actual"), "pred"), 4)
+
+
+@query("random_forest")
+def random_forest(spark, sf):
+    from ..operators import learners as L
+
+    return tree_forecasts(spark, sf, L.random_forest())
+
+
+@query("gradient_boosting")
+def gradient_boosting(spark, sf):
+    from ..operators import learners as L
+
+    return tree_forecasts(spark, sf, L.gradient_boosting())
+
+
+@query("permutation_importance")
+def importance(spark, sf):
+    from ..operators import evaluation as E
+    from ..operators import learners as L
+
+    rows, features = learner_rows(spark, sf, (1,))
+    assembled = durable(L.assemble(rows, features).select("series", "horizon", "week_end_date", "split", "target", "features"))
+    (_, model, _), = L.fit_per_key(assembled, L.random_forest(), [("URGENT", 1)])
+    test = assembled.filter((F.col("series") == "URGENT") & (F.col("split") == "test"))
+    return rounded(E.top_k(L.permutation_importance(model, test, features), "importance", 12, "feature"), 4)
+
+
+# Given models of the streamed series: an ARMA(1, 1) around the mean with asymmetric variance.
+def stream_params(events):
+    stats = events.groupBy("series").agg(F.avg("value").alias("_m"), F.var_pop("value").alias("h0"))
+    return stats.filter(F.col("h0") > 0).select(
+        "series", (0.7 * F.col("_m")).alias("const"), F.array(F.lit(0.3)).alias("ar"), F.array(F.lit(0.2)).alias("ma"),
+        (0.05 * F.col("h0")).alias("omega"), F.lit(0.05).alias("alpha"), F.lit(0.1).alias("gamma"), F.lit(0.85).alias("beta"), "h0")
+
+
+def event_rows(raw):
+    return raw.select(F.col("user_id").cast("string").alias("series"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+
+
+@query("online_scorer")
+def online_scorer(spark, sf):
+    """Score the event stream of every user."""
+    from ..session import fresh_path
+    from ..streaming.scorer import online_scorer as score, run_to_table
+
+    batch = spark.read.parquet(f"{sf}/events.parquet")
+    stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    path = fresh_path(spark, "scored")
+    scored = score(event_rows(stream), stream_params(event_rows(batch)))
+    run_to_table(scored, path, fresh_path(spark, "scored-checkpoint"))
+    out = spark.read.parquet(path)
+    return rounded(out.drop("n_late"), 6)
+
+
+@query("online_scorer_batch_twin")
+def online_scorer_twin(spark, sf):
+    """The same rows by the batch operators."""
+    events = event_rows(spark.read.parquet(f"{sf}/events.parquet"))
+    params = stream_params(events)
+    # Stamp and id order the rows; an id has one stamp.
+    keyed = events.withColumn("key", F.struct("ts", "event_id"))
+    means = A.arma_filter(keyed, params.withColumn("p", F.lit(1)), "value", ts="key", max_p=1, max_q=1)
+    vol = V.variance_recursion(means, params, "resid", ts="key").select("series", "key", "sigma")
+    both = V.with_band(means.join(vol, ["series", "key"]))
+    return rounded(both.select("series", "key.ts", "key.event_id", "actual", "pred", "sigma", "lower_95", "upper_95"), 6)
