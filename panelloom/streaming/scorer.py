@@ -42,25 +42,27 @@ def _score_rows(key, batches, state: GroupState):
         if last_ts is not None and (stamp, r.event_id) <= (last_ts, last_id):
             late += 1
             continue
-        p, q = len(r.ar), len(r.ma)
+        # State must hold plain numbers, not array scalars.
+        value, ar, ma = float(r.value), [float(a) for a in r.ar], [float(b) for b in r.ma]
+        p, q = len(ar), len(ma)
         pred = None
         if seen >= p:
-            pred = r.const + sum(a * v for a, v in zip(r.ar, values)) + sum(b * e for b, e in zip(r.ma, shocks))
+            pred = r.const + sum(a * v for a, v in zip(ar, values)) + sum(b * e for b, e in zip(ma, shocks))
         if last_e is None:
-            h = r.h0
+            h = float(r.h0)
         else:
             h = r.omega + (r.alpha + (r.gamma if last_e < 0 else 0.0)) * last_e * last_e + r.beta * last_h
-            h = h if h > 0 and math.isfinite(h) else None
+            h = float(h) if h > 0 and math.isfinite(h) else None
         sigma = math.sqrt(h) if h is not None else None
         both = pred is not None and sigma is not None
-        out.append((key[0], r.ts, r.event_id, r.value, pred, sigma, pred - 1.96 * sigma if both else None,
+        out.append((key[0], r.ts, r.event_id, value, pred, sigma, pred - 1.96 * sigma if both else None,
                     pred + 1.96 * sigma if both else None, late))
-        shock = r.value - pred if pred is not None else None
+        shock = value - pred if pred is not None else None
         if shock is not None and h is not None:
             last_e, last_h = shock, h
-        values = [r.value, *values][:max(p, 1)]
+        values = [value, *values][:max(p, 1)]
         shocks = [shock if shock is not None else 0.0, *shocks][:max(q, 1)]
-        seen, last_ts, last_id = seen + 1, stamp, r.event_id
+        seen, last_ts, last_id = seen + 1, int(stamp), int(r.event_id)
     state.update((values, shocks, last_e, last_h, last_ts, last_id, seen, late))
     yield pd.DataFrame(out, columns=[f.name for f in SCORED.fields])
 
