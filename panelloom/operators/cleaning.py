@@ -20,10 +20,10 @@ def dedupe_first(df: DataFrame, keys, ordinal: str, value: str = "value") -> Dat
     """First value per key in ``ordinal`` order.
 
     A ``min_by`` aggregate, not a ranking window: it combines before the
-    shuffle, so a key holding a large share of the rows costs one partial row
-    per task.
+    shuffle (in a hash aggregate, as value and ordinal are plain numbers), so a
+    key holding a large share of the rows costs one partial row per task.
     """
-    return df.groupBy(*keys).agg(F.min_by(F.struct(value), ordinal)[value].alias(value))
+    return df.groupBy(*keys).agg(F.min_by(value, ordinal).alias(value))
 
 
 def drop_nulls(df: DataFrame, how: str = "any", subset=None) -> DataFrame:

@@ -318,33 +318,57 @@ def stream_params(events):
         (0.05 * F.col("h0")).alias("omega"), F.lit(0.05).alias("alpha"), F.lit(0.1).alias("gamma"), F.lit(0.85).alias("beta"), "h0")
 
 
-def event_rows(raw):
-    return raw.select(F.col("user_id").cast("string").alias("series"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+def event_bins(spark, sf):
+    """Hourly mean per user: at most one row per user and hour, however busy a user is."""
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
+    return (P.table(spark, sf, "events")
+            .groupBy(F.col("user_id").cast("string").alias("series"), hour.alias("ts"))
+            .agg(F.min("event_id").alias("event_id"), F.avg("value").alias("value")))
 
 
 @query("online_scorer")
 def online_scorer(spark, sf):
-    """Score the event stream of every user."""
+    """Score a stream of hourly values of every user, staged as files."""
     from ..session import fresh_path
     from ..streaming.scorer import online_scorer as score, run_to_table
 
-    batch = spark.read.parquet(f"{sf}/events.parquet")
-    stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    staged = fresh_path(spark, "staged")
+    event_bins(spark, sf).write.parquet(staged)
+    bins = spark.read.parquet(staged)
+    stream = spark.readStream.schema(bins.schema).option("maxFilesPerTrigger", 64).parquet(staged)
     path = fresh_path(spark, "scored")
-    scored = score(event_rows(stream), stream_params(event_rows(batch)))
-    run_to_table(scored, path, fresh_path(spark, "scored-checkpoint"))
-    out = spark.read.parquet(path)
-    return rounded(out.drop("n_late"), 6)
+    run_to_table(score(stream, stream_params(bins)), path, fresh_path(spark, "scored-checkpoint"))
+    return rounded(spark.read.parquet(path).drop("n_late"), 6)
 
 
 @query("online_scorer_batch_twin")
 def online_scorer_twin(spark, sf):
     """The same rows by the batch operators."""
-    events = event_rows(spark.read.parquet(f"{sf}/events.parquet"))
-    params = stream_params(events)
-    # Stamp and id order the rows; an id has one stamp.
-    keyed = events.withColumn("key", F.struct("ts", "event_id"))
+    bins = durable(event_bins(spark, sf))
+    params = stream_params(bins)
+    keyed = bins.withColumn("key", F.struct("ts", "event_id"))
     means = A.arma_filter(keyed, params.withColumn("p", F.lit(1)), "value", ts="key", max_p=1, max_q=1)
     vol = V.variance_recursion(means, params, "resid", ts="key").select("series", "key", "sigma")
     both = V.with_band(means.join(vol, ["series", "key"]))
     return rounded(both.select("series", "key.ts", "key.event_id", "actual", "pred", "sigma", "lower_95", "upper_95"), 6)
+
+
+@query("univariate_report")
+def univariate_report(spark, sf):
+    """Static and rolling forecasts of all base models: accuracy, direction, coverage, loss test."""
+    from ..plans.univariate import full_report
+
+    return rounded(full_report(durable(P.segment_model(spark, sf))), 4)
+
+
+@query("direct_report")
+def direct_report(spark, sf):
+    """Benchmarks and the elastic net on the weeks all of them cover, with winners."""
+    from ..operators.models import model_comparison
+    from ..plans.direct import direct_forecasts
+    from .features import CREDIT, SHORT
+
+    rows, features = learner_rows(spark, sf)
+    model = durable(P.segment_model(spark, sf))
+    fc = durable(direct_forecasts(rows, features, model, SHORT))
+    return rounded(model_comparison(fc, 3), 4)

@@ -7,6 +7,7 @@ from ..operators import evaluation as E
 from ..operators import models as M
 from ..operators.moments import moment_rows
 from ..plans import panels as P
+from ..session import durable
 from .aggregates import FCT, test_rows
 from .base import SEG_MODEL, chi2_p, erfc_p, query, rounded
 from .features import WIN
@@ -59,7 +60,8 @@ def arch_lm(spark, sf):
 
 @query("adf")
 def adf(spark, sf):
-    return rounded(D.adf(P.segment_model(spark, sf), "diff"), 6)
+    # Sizing the lag columns reads the panel once more, so it is kept.
+    return rounded(D.adf(durable(P.segment_model(spark, sf)), "diff"), 6)
 
 
 @query("kpss", sql=f"""
@@ -105,7 +107,7 @@ def verdict(spark, sf):
 
 @query("stationarity_table")
 def stationarity(spark, sf):
-    m = P.segment_model(spark, sf)
+    m = durable(P.segment_model(spark, sf))
     both = D.stationarity_verdict(m, "level", "level").unionByName(D.stationarity_verdict(m, "diff", "weekly change"))
     return rounded(both, 6)
 
@@ -234,7 +236,7 @@ def moments(spark, sf):
 
 @query("residual_diagnostics")
 def residual_diagnostics(spark, sf):
-    model = P.segment_model(spark, sf)
+    model = durable(P.segment_model(spark, sf))
     train = model.filter(F.col("split") == "train")
     fit = M.ar1_fit(train, "diff").select("series", F.lit("AR(1)").alias("model"), "aic", "bic")
     params = M.ar1_fit(train, "diff")
