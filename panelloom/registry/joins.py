@@ -6,6 +6,7 @@ from ..operators import evaluation as E
 from ..operators import joins as J
 from ..operators.calendar import week_ending
 from ..plans import panels as P
+from ..session import durable
 from .base import DRV_WEEKLY, FORECASTS, SEG_DAILY, SEG_MODEL, SEG_WEEKLY, query, rounded, week
 
 NAMES = {"1-URGENT": "URGENT", "2-HIGH": "HIGH", "3-MEDIUM": "MEDIUM"}
@@ -25,7 +26,8 @@ SELECT d AS ts, round(URGENT, 4) AS URGENT, round(HIGH, 4) AS HIGH, round(MEDIUM
 FROM {_one("seg_daily", "1-URGENT", "URGENT")} FULL JOIN {_one("seg_daily", "2-HIGH", "HIGH")} USING (d)
 FULL JOIN {_one("seg_daily", "3-MEDIUM", "MEDIUM")} USING (d)""")
 def outer_merge(spark, sf):
-    daily = P.segment_daily(spark, sf)
+    # Several frames are cut from one panel, so the raw table is read once.
+    daily = durable(P.segment_daily(spark, sf))
     return rounded(J.outer_merge_n([_single(daily, s, n) for s, n in NAMES.items()], "ts"))
 
 
@@ -36,7 +38,7 @@ FROM {_one("seg_weekly", "1-URGENT", "URGENT", "week_end_date", "level")}
 JOIN {_one("seg_weekly", "2-HIGH", "HIGH", "week_end_date", "level")} USING (week_end_date)
 JOIN {_one("seg_weekly", "3-MEDIUM", "MEDIUM", "week_end_date", "level")} USING (week_end_date)""")
 def inner_merge(spark, sf):
-    weekly = P.segment_weekly(spark, sf)
+    weekly = durable(P.segment_weekly(spark, sf))
     frames = [_single(weekly, s, n, "week_end_date", "level") for s, n in NAMES.items()]
     return rounded(J.inner_merge_n(frames, "week_end_date"))
 
@@ -105,7 +107,7 @@ SELECT series, ts, n_known, CAST(n_known - coalesce(lag(n_known) OVER (PARTITION
 
 
 def _history(spark, sf, inclusive):
-    daily = P.segment_daily(spark, sf)
+    daily = durable(P.segment_daily(spark, sf))
     origins = daily.select("series", week_ending("ts").alias("ts")).distinct()
     return rounded(J.origin_history(daily, origins, inclusive))
 
@@ -129,7 +131,7 @@ SELECT e.series, e.model, round(rmse, 4) AS rmse, round(directional_accuracy, 6)
   CASE e.model WHEN 'Random Walk' THEN 'benchmark' END AS note
 FROM e LEFT JOIN a ON a.series = e.series AND a.model = e.model""")
 def lookup(spark, sf):
-    fc = P.forecast_fixture(P.segment_model(spark, sf)).filter(F.col("split") == "test")
+    fc = durable(P.forecast_fixture(P.segment_model(spark, sf)).filter(F.col("split") == "test"))
     keys = ("series", "model")
     table = E.forecast_metrics(fc, keys).select(*keys, "rmse")
     direction = E.directional_accuracy(fc.filter(F.col("model") != "Random Walk"), keys)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.math import PPF_A, PPF_B, PPF_C, PPF_D
 from ..operators import diagnostics as D
 from ..operators import evaluation as E
 from ..operators import models as M
@@ -193,9 +194,31 @@ def kde(spark, sf):
     return rounded(out.withColumn("density", F.col("density") * 1e4), 6, x=4)
 
 
-@query("qq_points")
+def _poly(x: str, coefficients) -> str:
+    out = f"CAST({coefficients[0]} AS DOUBLE)"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c})"
+    return out
+
+
+def ppf_sql(p: str) -> str:
+    """Inverse normal by the same published rational approximation."""
+    def tail(s):
+        return f"{_poly(s, PPF_C)} / {_poly(s, PPF_D + (1.0,))}"
+
+    r = f"(({p} - 0.5) * ({p} - 0.5))"
+    return (f"CASE WHEN {p} < 0.02425 THEN {tail(f'sqrt(-2 * ln({p}))')} WHEN {p} > 0.97575 THEN -({tail(f'sqrt(-2 * ln(1 - {p}))')}) "
+            f"ELSE {_poly(r, PPF_A)} * ({p} - 0.5) / {_poly(r, PPF_B + (1.0,))} END")
+
+
+@query("qq_points", sql=f"""
+WITH {SEG_MODEL}, p AS (SELECT series, diff, row_number() OVER (PARTITION BY series ORDER BY diff) AS rank,
+  row_number() OVER (PARTITION BY series ORDER BY diff) / (count(*) OVER (PARTITION BY series) + CAST(1 AS DOUBLE)) AS p,
+  avg(diff) OVER (PARTITION BY series) AS m, stddev_pop(diff) OVER (PARTITION BY series) AS s FROM seg_model),
+q AS (SELECT *, {ppf_sql("p")} AS t FROM p)
+SELECT series, rank, round(diff, 4) AS sample_q, round(t, 6) AS theoretical_q, round(m + s * t, 4) AS line FROM q""")
 def qq(spark, sf):
-    return rounded(D.qq_points(P.segment_model(spark, sf), "diff"), 6)
+    return rounded(D.qq_points(P.segment_model(spark, sf), "diff"), 4, theoretical_q=6)
 
 
 @query("flat_forecast_check", sql=f"""
