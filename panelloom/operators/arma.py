@@ -83,6 +83,9 @@ def _stable(ar: pd.Series, ma: pd.Series) -> pd.Series:
     return pd.Series([inside(a) and inside(-np.asarray(m, dtype=float)) for a, m in zip(ar, ma)], dtype=bool)
 
 
+_stable = _stable.asNondeterministic()
+
+
 def fit_orders(moments: DataFrame, keys, orders, n_exog: int = 0) -> DataFrame:
     """One row per key and order: coefficients, variance, criteria, stability."""
     max_p, max_q = max(p for p, _ in orders), max(q for _, q in orders)

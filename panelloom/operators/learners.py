@@ -112,6 +112,9 @@ def _search(blocks: pd.Series, l1: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["mse", "alpha", "const", "coef"])
 
 
+_search = _search.asNondeterministic()
+
+
 def elastic_net_cv(train: DataFrame, features, keys=KEYS, target: str = "target", ts: str = "week_end_date") -> DataFrame:
     """Penalty and mixing ratio per key by cross-validation; coefficients in feature units."""
     moments = block_moments(time_folds(train, keys, ts), features, target, keys)

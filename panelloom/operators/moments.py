@@ -115,6 +115,10 @@ def _solve(m: pd.Series, x: pd.Series, y: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"coef": coefs, "sscp": residuals})
 
 
+# Declared non-deterministic only so that the optimizer never evaluates a fit twice.
+_solve = _solve.asNondeterministic()
+
+
 def solve(m: Column | str, x: Column, y: Column) -> Column:
     """``coef`` (one array per target) and the residual cross products ``sscp``.
 

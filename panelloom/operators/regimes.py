@@ -156,6 +156,9 @@ def _switching(x: pd.Series) -> pd.DataFrame:
         "p_high": [smooth[i, :n, 1].tolist() for i, n in enumerate(sizes)], "rounds": rounds.astype("int32")})
 
 
+_switching = _switching.asNondeterministic()
+
+
 def two_regime_switching(df: DataFrame, column: str, keys=KEYS, ts: str = WEEK) -> tuple[DataFrame, DataFrame]:
     """Parameters per key, and smoothed probabilities with the likeliest regime per row.
 

@@ -64,7 +64,8 @@ def _slice_search(model: str):
             k = int(np.argmax(ll))
             found.append((float(ll[k]) if np.isfinite(ll[k]) else None, grid_a[k], grid_g[k], b))
         return pd.DataFrame(found, columns=["loglik", "alpha", "gamma", "beta"])
-    return best_on_slice
+    # Non-deterministic only so that the optimizer never scores a slice twice.
+    return best_on_slice.asNondeterministic()
 
 
 def _doubles(values) -> Column:

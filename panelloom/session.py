@@ -48,9 +48,11 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint that survives the loss of executors."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Cut lineage by a table written to the shared folder and read back.
+
+    The frame is computed once and survives the loss of executors; later reads
+    prune columns and know its size.
+    """
+    path = fresh_path(df.sparkSession, "durable")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
