@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -58,6 +60,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
+def prefix_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(sums, down)``: ``(sums[b] - sums[a]) * down[a]`` is a hash of the bytes a..b, wherever they stand."""
+    up, down = powers(len(buf) + 1)
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUE[buf] * up[: len(buf)], out=sums[1:])
+    return sums, down
+
+
 class Words:
     """The words of some texts, as 64-bit hashes in text order.
 
@@ -70,15 +80,12 @@ class Words:
         if lower:
             joined = joined.lower()  # of bytes: A-Z alone
         buf = self.buffer = np.frombuffer(joined, np.uint8)
-        n = len(buf)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         self.text_starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
         blank = self.blank = _BLANK[buf]
         edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
         self.starts, self.ends = edge[::2], edge[1::2]
-        up, down = powers(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE_VALUE[buf] * up[:n], out=sums[1:])
+        sums, down = prefix_hashes(buf)
         self.hashes = mix64((sums[self.ends] - sums[self.starts]) * down[self.starts])
         self.doc = np.searchsorted(self.text_starts, self.starts, side="right") - 1
         self.counts = np.bincount(self.doc, minlength=len(texts)).astype(np.int64)
@@ -105,6 +112,12 @@ class Words:
         return out
 
 
+def worker_cache(name: str) -> dict:
+    """A dict that the tasks of one Python worker share; functions sent by value have no lasting globals."""
+    module = sys.modules.setdefault("panelloom_worker_cache", types.ModuleType("panelloom_worker_cache"))
+    return module.__dict__.setdefault(name, {})
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

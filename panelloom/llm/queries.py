@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, sharding, topk
+from . import chat, mixing, packing, quality, sharding, tokens, topk
 from .common import durable, read
 
 QUERIES: dict = {}
@@ -111,3 +111,57 @@ p AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@query
+def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents")
+    folder = tokens.token_folder(docs)
+    manifest = tokens.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return tokens.read_tokens(manifest, folder)
+
+
+@query
+def op7_quality_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.repetition(read(spark, sf_dir, "documents"), ["doc_id"])
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ORACLES["op7_quality_repetition"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+p AS (SELECT rid, unnest(w) AS word, unnest(range(len(w))) AS i, len(w) AS n FROM d),
+g AS (
+  SELECT rid, i, n,
+         CASE WHEN i + 3 <= n THEN string_agg(word, ' ') OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) END AS g3,
+         CASE WHEN i + 8 <= n THEN string_agg(word, ' ') OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) END AS g8,
+         CASE WHEN i + 61 <= n THEN md5(string_agg(word, ' ') OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 60 FOLLOWING)) END AS g61
+  FROM p),
+c AS (
+  SELECT rid, i,
+         CAST(g3 IS NOT NULL AND count(*) OVER (PARTITION BY rid, g3) > 1 AS INTEGER) AS r3,
+         CAST(g8 IS NOT NULL AND count(*) OVER (PARTITION BY rid, g8) > 1 AS INTEGER) AS r8,
+         CAST(g61 IS NOT NULL AND count(*) OVER (PARTITION BY rid, g61) > 1 AS INTEGER) AS r61
+  FROM g),
+v AS (
+  SELECT rid, r61, max(r3) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c3,
+         max(r8) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS c8
+  FROM c),
+t AS (SELECT rid, sum(c3) AS c3, sum(c8) AS c8, max(r61) AS r61 FROM v GROUP BY rid),
+x AS (
+  SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda a: length(a))), 0) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(list_filter(string_split(text, chr(10)), lambda a: regexp_matches(a, '[^\x20\x09-\x0D]')))
+           - len(list_distinct(list_filter(string_split(text, chr(10)), lambda a: regexp_matches(a, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+         coalesce(c3, 0) AS c3, coalesce(c8, 0) AS c8, coalesce(r61, 0) AS r61
+  FROM d LEFT JOIN t USING (rid)),
+y AS (SELECT *, n_words < 50 OR 100 * c3 > 50 * n_words AS base_failed FROM x)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(c3 AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND 10 * c8 <= 3 * n_words AND r61 = 0 AS kept
+FROM y
+"""
