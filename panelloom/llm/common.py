@@ -129,6 +129,12 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in col.cast(kind).to_pylist()]
 
 
+def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with batches of a thousand rows, so that very long texts don't add up."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df.mapInArrow(fn, schema)
+
+
 def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[slice]:
     """Slices of at most ``limit`` bytes, or of one text."""
     start = size = 0
@@ -155,7 +161,7 @@ def map_texts(df: DataFrame, fn: Callable[[list[bytes]], dict[str, list | np.nda
                 cols = [batch.column(batch.schema.get_field_index(k)).slice(part.start, part.stop - part.start) for k in keep]
                 yield pa.RecordBatch.from_arrays(cols + [made[n] if isinstance(made[n], pa.Array) else pa.array(made[n]) for n in names], names=[*keep, *names])
 
-    return df.select(*[f"`{k}`" for k in dict.fromkeys([*keep, text])]).mapInArrow(run, kind)
+    return arrow_map(df.select(*[f"`{k}`" for k in dict.fromkeys([*keep, text])]), run, kind)
 
 
 def lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:

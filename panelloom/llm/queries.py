@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, sharding, suffix_dedup, tokens, topk
+from . import chat, mixing, ngram_join, packing, quality, sharding, suffix_dedup, tokens, topk
 from .common import durable, read
 
 QUERIES: dict = {}
@@ -172,3 +172,31 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), ["doc_id"])
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(read(spark, sf_dir, "documents"), words=3, similarity="0.9")
+
+
+ORACLES["op1_ngram_jaccard_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+g AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS grams
+  FROM d),
+n AS (SELECT doc_id, len(grams) AS n FROM g),
+p AS (SELECT doc_id, unnest(grams) AS gram FROM g),
+o AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS same
+  FROM p AS a JOIN p AS b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT x, y FROM o JOIN n AS a ON a.doc_id = x JOIN n AS b ON b.doc_id = y
+  WHERE 100 * same >= 90 * (a.n + b.n - same)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS node, doc_id AS reached FROM d UNION SELECT r.node, e.y FROM r JOIN e ON e.x = r.reached)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, c.component_id
+FROM n JOIN (SELECT node, min(reached) AS component_id FROM r GROUP BY node) AS c ON c.node = n.doc_id
+"""

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, column, durable, mix64, prefix_hashes, texts_of
+from .common import arrow_map, chunks, column, durable, mix64, prefix_hashes, texts_of
 
 GRAM = 32
 SHALLOW, PIECE = 64, 8
@@ -194,7 +194,7 @@ def repeated_spans(docs: DataFrame, keys: list[str], text: str, length: int) ->
                 yield pa.RecordBatch.from_arrays([*own, pa.array(at), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64))], names=[*keys, "at", "gram", "context"])
 
     long_enough = docs.where(F.octet_length(text) >= length).select(*keys, text)
-    every = durable(long_enough.mapInArrow(find, f"{key_fields}, at long, gram long, context long"))
+    every = durable(arrow_map(long_enough, find, f"{key_fields}, at long, gram long, context long"))
     twice = durable(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     shared = durable(every.join(twice, "gram"))
     # One occurrence of each distinct context brings its bytes; the number of its occurrences goes along.
@@ -212,7 +212,7 @@ def repeated_spans(docs: DataFrame, keys: list[str], text: str, length: int) ->
                         pa.array([c["gram"] for c in rows]), pa.array([c["context"] for c in rows]), pa.array([c["n"] for c in rows]),
                         pa.array([t[max(0, p - length + GRAM) : p] for p in at], pa.binary()), pa.array([t[p : p + length] for p in at], pa.binary())], names=["gram", "context", "n", "left", "right"])
 
-    contexts = durable(long_enough.join(wanted, keys).select(text, "cuts").mapInArrow(cut, "gram long, context long, n long, left binary, right binary"))
+    contexts = durable(arrow_map(long_enough.join(wanted, keys).select(text, "cuts"), cut, "gram long, context long, n long, left binary, right binary"))
 
     def grams_of(batches):
         for batch in batches:
@@ -232,7 +232,7 @@ def repeated_spans(docs: DataFrame, keys: list[str], text: str, length: int) ->
     found = "gram long, context long, before long, after long"
     crowded = durable(contexts.groupBy("gram").agg(F.count("*").alias("many")).where(F.col("many") > MOST).select("gram"))
     usual = contexts.join(crowded, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram")
-    reach = usual.mapInArrow(compare, found).unionByName(by_window(contexts.join(crowded, "gram"), length))
+    reach = arrow_map(usual, compare, found).unionByName(by_window(contexts.join(crowded, "gram"), length))
     ranges = shared.join(reach, ["gram", "context"]).select(*keys, F.struct((F.col("at") - F.col("before")).alias("start"), (F.col("at") + F.col("after")).alias("end")).alias("range"))
     return durable(ranges.groupBy(*keys).agg(F.array_sort(F.collect_set("range")).alias("ranges")))
 
@@ -250,7 +250,7 @@ def by_window(contexts: DataFrame, length: int) -> DataFrame:
                 size = len(starts)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(size, gram)), pa.array(np.full(size, context)), pa.array(np.full(size, n)), pa.array(len(left) - starts), pa.array(hashes)], names=["gram", "context", "n", "before", "window"])
 
-    rows = contexts.mapInArrow(windows, "gram long, context long, n long, before long, window long")
+    rows = arrow_map(contexts, windows, "gram long, context long, n long, before long, window long")
     often = rows.groupBy("gram", "before", "window").agg(F.sum("n").alias("times")).where("times > 1")
     return rows.join(often, ["gram", "before", "window"]).groupBy("gram", "context").agg(F.max("before").alias("before"), F.max(F.lit(length) - F.col("before")).alias("after"))
 
@@ -293,4 +293,4 @@ def remove_repeats(docs: DataFrame, keep: list[str], length: int = 200, id_colum
 
     fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
     joined = base.join(spans, ["_k1", "_k2"], "left").select(*keep, "_text", "ranges")
-    return joined.mapInArrow(cut, f"{fields}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return arrow_map(joined, cut, f"{fields}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import fresh_path
-from .common import chunks, column, durable, worker_cache
+from .common import arrow_map, chunks, column, durable, worker_cache
 
 SEGMENT_IDS = 1 << 21
 """Ids after which a segment is closed (a longer document is a segment of its own)."""
@@ -227,7 +227,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_column: str =
         if held:
             yield close()
 
-    return durable(rows.select("doc_id", "text").mapInArrow(run, "part long, seq long, path string, n_docs long, n_ids long"))
+    return durable(arrow_map(rows.select("doc_id", "text"), run, "part long, seq long, path string, n_docs long, n_ids long"))
 
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
