@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, ngram_join, packing, quality, sharding, suffix_dedup, tokens, topk
+from . import chat, mixing, ngram_join, packing, quality, sharding, suffix_dedup, tokens, topk, toxicity
 from .common import durable, read
 
 QUERIES: dict = {}
@@ -200,3 +200,11 @@ r AS (SELECT doc_id AS node, doc_id AS reached FROM d UNION SELECT r.node, e.y F
 SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, c.component_id
 FROM n JOIN (SELECT node, min(reached) AS component_id FROM r GROUP BY node) AS c ON c.node = n.doc_id
 """
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.ToxicityModel.fit(docs, read(spark, sf_dir, "labels").where(toxicity.fold() != 1))
+    scores = model.score(docs, ["doc_id"])
+    return scores.select("doc_id", (toxicity.fold() == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
