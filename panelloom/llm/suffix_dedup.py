@@ -266,14 +266,28 @@ def merged(ranges: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, keep: list[str], length: int = 200, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def inside_characters(t: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs shrunk to whole UTF-8 characters."""
+    out = []
+    for start, end in runs:
+        while start < end and t[start] & 0xC0 == 0x80:
+            start += 1
+        while end > start and end < len(t) and t[end] & 0xC0 == 0x80:
+            end -= 1
+        if start < end:
+            out.append((start, end))
+    return out
+
+
+def remove_repeats(docs: DataFrame, keep: list[str], length: int = 200, id_column: str = "doc_id", text: str = "text", characters: bool = False) -> DataFrame:
     """``keep`` columns, n_bytes, spans (removed byte runs) and kept (the remaining bytes) of every document.
 
     Removed is each byte covered by a ``length``-byte string that also starts anywhere else, in the same text or another;
     matches never cross texts, and all are judged on the input. Anchors (see the module) are counted by gram before the
     shuffle; of those that occur twice, distinct contexts are gathered by gram and compared by deep-shallow sorting: multikey
     quicksort to a shallow depth, then blind tries. Equal contexts are one row with a count, so copies cost nothing; a gram with more
-    than ``MOST`` distinct contexts is counted window by window instead. Null text counts as empty and
+    than ``MOST`` distinct contexts is counted window by window instead. ``characters``: only whole characters are cut, so that the
+    rest stays valid UTF-8. Null text counts as empty and
     repeated rows are occurrences of their own; texts shorter than ``length`` bytes lose nothing; an empty table gives no rows.
     """
     base = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"), F.xxhash64(id_column, text).alias("_k1"), F.xxhash64(F.lit(1), text).alias("_k2"))
@@ -284,6 +298,7 @@ def remove_repeats(docs: DataFrame, keep: list[str], length: int = 200, id_colum
             texts, ranges = texts_of(batch, "_text"), column(batch, "ranges")
             for part in chunks(texts):
                 runs = [merged(r or []) for r in ranges[part]]
+                runs = [inside_characters(t, r) for t, r in zip(texts[part], runs)] if characters else runs
                 left = []
                 for t, own in zip(texts[part], runs):
                     ends = [0, *[e for _, e in own]]
