@@ -41,23 +41,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def worker_cache(name: str) -> dict:
+    """A dict that the tasks of one Python worker share; functions sent by value have no lasting globals."""
+    module = sys.modules.setdefault("panelloom_worker_cache", types.ModuleType("panelloom_worker_cache"))
+    return module.__dict__.setdefault(name, {})
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """``B**i`` and ``B**-i`` modulo 2**64 for ``i < n``."""
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
-        out = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+    known = worker_cache("powers")
+    if len(known.get("up", ())) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             p, step = np.ones(1, np.uint64), base
             while len(p) < size:
                 p = np.concatenate([p, p * np.uint64(step)])
                 step = step * step % (1 << 64)
-            out.append(p)
-        _POWERS[size] = tuple(out)
-    return _POWERS[size]
+            known[name] = p
+    return known["up"], known["down"]
 
 
 def prefix_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,12 +113,6 @@ class Words:
         return out
 
 
-def worker_cache(name: str) -> dict:
-    """A dict that the tasks of one Python worker share; functions sent by value have no lasting globals."""
-    module = sys.modules.setdefault("panelloom_worker_cache", types.ModuleType("panelloom_worker_cache"))
-    return module.__dict__.setdefault(name, {})
-
-
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
