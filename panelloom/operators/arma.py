@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .models import information_criteria
-from .moments import moment_matrix, products, solve
+from .moments import moment_matrix, solve
 
 WEEK = "week_end_date"
 LONG_AR = 8
@@ -120,18 +120,21 @@ def arma_candidates(df: DataFrame, y: str, train: Column, keys=("series",), ts:
     rows = lagged_design(shocks, y, max_p, max_q, keys, ts).filter("_train")
     columns = design_columns(max_p, max_q)
     complete = rows.select(*keys, *columns, F.col(y).alias("_y")).na.drop()
-    return fit_orders(moment_matrix(complete, keys, [*columns, "_y"]), keys, orders)
+    fits = fit_orders(moment_matrix(complete, keys, [*columns, "_y"]), keys, orders)
+    # A series too short for any order stays, with a row of nulls.
+    return df.select(*keys).distinct().join(fits, list(keys), "left")
 
 
 def arma_select(candidates: DataFrame, keys=("series",)) -> DataFrame:
     """Lowest AIC among the stable candidates; the smaller order wins a tie.
 
     Unstable estimates count as failed fits, as a constrained optimiser would
-    never return them.
+    never return them. ``fit_status`` tells a series without a usable candidate, whose other columns are null.
     """
     fields = [c for c in candidates.columns if c not in (*keys, "stable")]
     best = F.min_by(F.struct(*fields), F.when(F.col("stable"), F.struct("aic", "p", "q")))
-    return candidates.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
+    status = F.when(F.bool_or("stable"), "ok").when(F.count("stable") > 0, "no stable candidate").otherwise("too few rows")
+    return candidates.groupBy(*keys).agg(best.alias("b"), status.alias("fit_status")).select(*keys, "b.*", "fit_status")
 
 
 def fold_forecasts(rows: DataFrame, keys, ts: str, y: str, base: str, ma: str, max_q: int, carry=()) -> DataFrame:
@@ -160,11 +163,14 @@ def fold_forecasts(rows: DataFrame, keys, ts: str, y: str, base: str, ma: str, m
 
 def arma_filter(df: DataFrame, params: DataFrame, y: str, keys=("series",), ts: str = WEEK,
                 max_p: int = 3, max_q: int = 3, carry=()) -> DataFrame:
-    """Rolling one-step forecasts: parameters fixed, state advanced with each actual value."""
+    """Rolling one-step forecasts: parameters fixed, state advanced with each actual value.
+
+    Every row stays: a series without a fit has null forecasts.
+    """
     w = Window.partitionBy(*keys).orderBy(ts)
     rows = (df.select(*keys, ts, y, *carry, F.row_number().over(w).alias("_rn"),
                       *[F.lag(y, i).over(w).alias(f"_y{i}") for i in range(1, max_p + 1)])
-            .join(params.select(*keys, "p", "const", "ar", "ma"), list(keys)))
+            .join(params.select(*keys, "p", "const", "ar", "ma"), list(keys), "left"))
     ar = sum((F.col("ar")[i - 1] * F.coalesce(F.col(f"_y{i}"), F.lit(0.0)) for i in range(1, max_p + 1)), F.col("const"))
     rows = rows.withColumn("_base", F.when(F.col("_rn") > F.col("p"), ar))
     return fold_forecasts(rows, keys, ts, y, "_base", "ma", max_q, carry)
@@ -190,10 +196,10 @@ def arma_static_path(df: DataFrame, params: DataFrame, y: str, keys=("series",),
     """Forecasts of all test rows from the end of the training rows."""
     filtered = arma_filter(df, params, y, keys, ts, max_p, max_q, carry=("split",))
     state = _end_state(filtered, keys, ts, max_p, max_q)
-    steps = (state.join(params.select(*keys, "const", "ar", "ma"), list(keys))
+    steps = (state.join(params.select(*keys, "const", "ar", "ma"), list(keys), "left")
              .withColumn("_path", path(F.col("const"), F.col("ar"), F.col("ma"), F.col("_ys"), F.col("_es"),
                                        F.col("_h"), max_p, max_q)))
-    forecasts = (steps.select(*keys, F.posexplode(F.arrays_zip(F.col("_dates").alias("ts"), F.col("_path").alias("p")))
+    forecasts = (steps.select(*keys, F.posexplode(F.arrays_zip(F.col("_dates").alias("ts"), F.coalesce("_path", F.array()).alias("p")))
                               .alias("pos", "z"))
                  .select(*keys, F.col("z.ts.ts").alias(ts), F.col("z.ts.y").alias("actual"),
                          (F.col("pos") + 1).alias("step"), F.col("z.p").alias("pred")))
@@ -234,7 +240,7 @@ def arma_horizon_recursive(df: DataFrame, params: DataFrame, y: str, horizons=(1
 
     state = (filtered.select(*keys, ts, "split", "actual", recent("actual", max_p).alias("_ys"),
                              recent("resid", max_q).alias("_es"))
-             .join(params.select(*keys, "const", "ar", "ma", "n_obs"), list(keys)))
+             .join(params.select(*keys, "const", "ar", "ma", "n_obs"), list(keys), "left"))
     longest = max(horizons)
     steps = state.withColumn("_path", F.when(F.col("n_obs") >= min_train, path(
         F.col("const"), F.col("ar"), F.col("ma"), F.col("_ys"), F.col("_es"), F.lit(longest), max_p, max_q)))
@@ -272,7 +278,7 @@ def arx_static_forecast(df: DataFrame, y: str, exog, order=(1, 2), keys=("series
     rows, columns = _exog_design(df, y, exog, order, keys, ts)
     complete = rows.filter("_train").select(*keys, *columns, F.col(y).alias("_y")).na.drop()
     params = fit_orders(moment_matrix(complete, keys, [*columns, "_y"]), keys, [order], len(exog))
-    joined = rows.join(params.select(*keys, "const", "ar", "ma", "beta"), list(keys))
+    joined = rows.join(params.select(*keys, "const", "ar", "ma", "beta"), list(keys), "left")
     drift = F.col("const") + dot(F.col("beta"), 0, exog)
     packed = joined.withColumn("_drift", drift).groupBy(*keys).agg(
         F.first("ar").alias("ar"), F.first("ma").alias("ma"),
@@ -295,30 +301,25 @@ def arx_static_forecast(df: DataFrame, y: str, exog, order=(1, 2), keys=("series
                         F.concat(s["out"], F.array(pred)).alias("out"))
 
     paths = packed.select(*keys, test_rows.alias("_test"), F.aggregate(test_rows, start, step, lambda s: s["out"]).alias("_out"))
-    return (paths.select(*keys, F.explode(F.arrays_zip(F.col("_test").alias("r"), F.col("_out").alias("p"))).alias("z"))
+    return (paths.select(*keys, F.explode(F.arrays_zip(F.col("_test").alias("r"), F.coalesce("_out", F.array()).alias("p"))).alias("z"))
             .select(*keys, F.col(f"z.r.{ts}").alias(ts), F.col("z.r.y").alias("actual"), F.col("z.p").alias("pred")))
 
 
-def cumulative_moments(rows: DataFrame, keys, bucket: str, columns) -> DataFrame:
-    """Moments of all buckets up to each one: expanding samples without rescans.
+def with_last_fit(rows: DataFrame, fits: DataFrame, columns, keys, bucket: str, ts: str) -> DataFrame:
+    """The fit of each row's bucket, or the last one before it where the bucket has none of its own."""
+    joined = rows.join(fits.select(*keys, bucket, F.struct(*columns).alias("_fit")), [*keys, bucket], "left")
+    w = Window.partitionBy(*keys).orderBy(bucket, ts)
+    return joined.withColumn("_fit", F.last("_fit", ignorenulls=True).over(w)).select("*", "_fit.*").drop("_fit")
 
-    Rows are summed once per bucket; the running sum then runs per key and
-    matrix entry, so even one long series spreads over many tasks.
-    """
-    parts = (rows.select(*keys, bucket, F.posexplode(products(columns)).alias("pos", "value"))
-             .groupBy(*keys, bucket, "pos").agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n")))
-    running = Window.partitionBy(*keys, "pos").orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
-    totals = parts.select(*keys, bucket, "pos", F.sum("value").over(running).alias("value"),
-                          F.sum("n").over(running).alias("n"))
-    return totals.groupBy(*keys, bucket).agg(
-        F.max("n").alias("n_rows"),
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda r: r["value"]).alias("m"))
+
+def test_offset(keys, ts: str = WEEK) -> Column:
+    """1 for the first test row of a key, whatever the split's ratio."""
+    return F.sum((F.col("split") == "test").cast("int")).over(Window.partitionBy(*keys).orderBy(ts))
 
 
 def refit_bucket(every: int) -> Column:
     """0 for training rows; a test row becomes usable with the next refit after it."""
-    offset = F.col("rn") - F.floor(F.lit(0.8) * F.col("n"))
-    return F.when(F.col("_train"), F.lit(0)).otherwise(F.floor((offset - 1) / every) + 1).cast("int")
+    return F.when(F.col("_train"), F.lit(0)).otherwise(F.floor((F.col("_offset") - 1) / every) + 1).cast("int")
 
 
 def arx_rolling_refit(df: DataFrame, y: str, exog, order=(1, 2), every: int = 12, keys=("series",),
@@ -331,14 +332,13 @@ def arx_rolling_refit(df: DataFrame, y: str, exog, order=(1, 2), every: int = 12
     p, q = order
     exog = list(exog)
     rows, columns = _exog_design(df, y, exog, order, keys, ts)
-    rows = rows.withColumn("_bucket", refit_bucket(every))
+    rows = rows.withColumn("_offset", test_offset(keys, ts)).withColumn("_bucket", refit_bucket(every)).drop("_offset")
     complete = rows.select(*keys, "_bucket", *columns, F.col(y).alias("_y")).na.drop()
-    moments = cumulative_moments(complete, keys, "_bucket", [*columns, "_y"])
+    moments = moment_matrix(complete, keys, [*columns, "_y"], running="_bucket")
     params = fit_orders(moments, [*keys, "_bucket"], [order], len(exog))
     # A test row at offset i uses the fit of bucket floor(i / every): all rows before that refit.
     use = F.when(F.col("_train"), F.lit(0)).otherwise(F.col("_bucket") - 1)
-    joined = rows.withColumn("_bucket", use).join(params.select(*keys, "_bucket", "const", "ar", "ma", "beta"),
-                                                  [*keys, "_bucket"], "left")
+    joined = with_last_fit(rows.withColumn("_bucket", use), params, ["const", "ar", "ma", "beta"], keys, "_bucket", ts)
     base = (F.col("const") + sum((F.col("ar")[i - 1] * F.col(f"_y{i}") for i in range(1, p + 1)), F.lit(0.0))
             + dot(F.col("beta"), 0, exog))
     return fold_forecasts(joined.withColumn("_base", base), keys, ts, y, "_base", "ma", q, carry=("split",))

@@ -177,14 +177,17 @@ def diebold_mariano_multi(df: DataFrame, pred_1: str, pred_2: str, keys=("system
     return _loss_test(averaged, list(keys), h, min_obs, ts)
 
 
-def pairwise_dm(fc: DataFrame, baselines, keys=("series", "horizon"), horizons=(1,),
+def pairwise_dm(fc: DataFrame, baselines, keys=("series", "horizon"), horizons=None,
                 min_obs: int = 10, ts: str = "week_end_date") -> DataFrame:
     """Every model against each baseline, per key.
 
     The baseline forecasts are spread over the rows of their date by a window,
-    so the forecast table is shuffled once and never joined to itself. Each of
-    the given horizons is tested with its own lag count.
+    so the forecast table is shuffled once and never joined to itself. Each
+    horizon is tested with its own lag count; ``horizons`` (default: those of the table) limits them.
     """
+    horizons = horizons or sorted(r[0] for r in fc.select("horizon").distinct().collect() if r[0] is not None)
+    if not horizons:
+        horizons = [1]
     w = Window.partitionBy(*keys, ts)
     spread = fc.select("*", *[F.max(F.when(F.col("model") == b, F.col("pred"))).over(w).alias(f"_base{i}")
                               for i, b in enumerate(baselines)])

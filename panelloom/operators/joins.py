@@ -42,11 +42,11 @@ def common_index(panel: DataFrame, ts: str = "week_end_date") -> DataFrame:
     """Rows of dates present in every series.
 
     The list of shared dates has at most one row per calendar date, whatever
-    the number of series, and is what gets broadcast.
+    the number of series.
     """
     n_series = panel.agg(F.countDistinct("series")).scalar()
     shared = panel.groupBy(ts).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == n_series)
-    return panel.join(F.broadcast(shared.select(ts)), ts, "left_semi")
+    return panel.join(shared.select(ts), ts, "left_semi")
 
 
 def align_predictions(actual: DataFrame, predictions: DataFrame, on=("series", "week_end_date")) -> DataFrame:

@@ -6,7 +6,6 @@ tree ensembles are Spark ML estimators, trained over distributed rows.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -129,7 +128,7 @@ def elastic_net_cv(train: DataFrame, features, keys=KEYS, target: str = "target"
 def linear_forecast(rows: DataFrame, fit: DataFrame, features, keys=KEYS) -> DataFrame:
     x = F.array(*[F.col(c) for c in features])
     value = F.aggregate(F.zip_with(x, F.col("coef"), lambda a, b: a * b), F.col("const"), lambda s, v: s + v)
-    joined = rows.join(fit.select(*keys, "const", "coef"), list(keys))
+    joined = rows.join(fit.select(*keys, "const", "coef"), list(keys), "left")
     return joined.withColumn("pred", value).drop("const", "coef")
 
 
@@ -149,43 +148,50 @@ def assemble(rows: DataFrame, features) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
 
 
-def fit_per_key(rows: DataFrame, estimator, key_values, keys=KEYS, parallelism: int = 4):
-    """One Spark ML model per configured ``(series, horizon)``; fits overlap on a few driver threads.
+def pooled_rows(rows: DataFrame, features, keys=KEYS) -> DataFrame:
+    """Rows of all keys with one vector ``features``: the given columns, then what tells the keys apart.
 
-    ``rows`` holds ``features``, ``target`` and ``split``. The keys are the
-    study's configured list, as in the reports, not read from the data.
+    A key is described by numbers that hold for any number of keys: mean and deviation of its training target, and
+    its numeric parts (the horizon). One model then serves all keys.
     """
-    def one(values):
-        own = reduce(lambda a, b: a & b, [F.col(k) == v for k, v in zip(keys, values)])
-        model = estimator.copy().fit(rows.filter(own & (F.col("split") == "train")))
-        return values, model, model.transform(rows.filter(own & (F.col("split") == "test")))
+    train = F.when(F.col("split") == "train", F.col("target"))
+    stats = rows.groupBy(*keys).agg(F.coalesce(F.avg(train), F.lit(0.0)).alias("_key_mean"),
+                                    F.coalesce(F.stddev_samp(train), F.lit(0.0)).alias("_key_std"))
+    numeric = [k for k in keys if dict(rows.dtypes)[k] in ("int", "bigint", "double")]
+    described = rows.join(stats, list(keys)).select("*", *[F.col(k).cast("double").alias(f"_key_{k}") for k in numeric])
+    return assemble(described, [*features, "_key_mean", "_key_std", *[f"_key_{k}" for k in numeric]])
 
-    with ThreadPoolExecutor(parallelism) as pool:
-        return list(pool.map(one, key_values))
 
+def fit_pooled(rows: DataFrame, estimator):
+    """One distributed fit over the training rows of all keys."""
+    return estimator.fit(rows.filter(F.col("split") == "train"))
 
-def permutation_importance(model, test: DataFrame, features, repeats: int = 8, seed: int = 42,
+
+def permutation_importance(models: dict, test: DataFrame, features, keys=KEYS, repeats: int = 8, seed: int = 42,
                            ts: str = "week_end_date") -> DataFrame:
-    """Mean and deviation of the rise in squared error when one feature is shuffled.
+    """Mean and deviation of the rise in squared error when one feature is shuffled inside a key.
 
-    In each (feature, repeat) a row takes the value of the row that follows it
-    in a random order, so every value is used exactly once.
+    ``test`` names the model to ask in ``model``. In each repeat a row takes the values of the row that follows it in a
+    random order of its key, so every value is used exactly once; that pairing is the only shuffle. Features
+    are then swapped one by one where the pair is, and the errors summed before they are sent on.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    w = Window.partitionBy("feature", "repeat").orderBy(F.xxhash64(F.lit(seed), "repeat", "feature", ts), ts)
+    part = [*keys, "repeat"]
+    w = Window.partitionBy(*part).orderBy(F.xxhash64(F.lit(seed), "repeat", ts), ts)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = test.select(ts, "target", vector_to_array("features").alias("_x"))
-    drawn = (rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-             .withColumn("feature", F.explode(F.sequence(F.lit(1), F.lit(len(features)))))
-             .withColumn("_own", F.element_at("_x", F.col("feature"))))
-    shuffled = drawn.withColumn("_value", F.coalesce(F.lead("_own").over(w), F.first("_own").over(whole)))
-    mixed = F.transform("_x", lambda v, i: F.when(i + 1 == F.col("feature"), F.col("_value")).otherwise(v))
-    scored = model.transform(shuffled.select("feature", "repeat", "target", array_to_vector(mixed).alias("features")))
+    rows = test.select(*keys, ts, "model", "target", vector_to_array("features").alias("_x"))
+    drawn = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    paired = drawn.withColumn("_z", F.coalesce(F.lead("_x").over(w), F.first("_x").over(whole)))
+    # Feature 0 swaps nothing: its error is the base that the others are held against.
+    swapped = paired.withColumn("feature", F.explode(F.sequence(F.lit(0), F.lit(len(features)))))
+    mixed = F.transform("_x", lambda v, i: F.when(i + 1 == F.col("feature"), F.element_at("_z", i + 1)).otherwise(v))
+    ready = swapped.select(*keys, "model", "repeat", "feature", "target", array_to_vector(mixed).alias("features"))
     squared = F.pow(F.col("target") - F.col("pred"), F.lit(2.0))
-    base = model.transform(test).agg(F.avg(squared).alias("_base")).scalar()
-    per_repeat = scored.groupBy("feature", "repeat").agg((F.avg(squared)).alias("_mse"))
+    scored = reduce(lambda a, b: a.unionByName(b), [m.transform(ready.filter(F.col("model") == n)).select(*part, "feature", "model", squared.alias("_se")) for n, m in models.items()])
+    mse = scored.groupBy(*part, "model", "feature").agg(F.avg("_se").alias("_mse"))
+    base = F.max(F.when(F.col("feature") == 0, F.col("_mse"))).over(Window.partitionBy(*part))
     names = F.array(*[F.lit(f) for f in features])
-    return (per_repeat.withColumn("_rise", F.col("_mse") - base).groupBy("feature")
+    return (mse.withColumn("_rise", F.col("_mse") - base).filter("feature > 0").groupBy(*keys, "model", "feature")
             .agg(F.avg("_rise").alias("importance"), F.stddev_pop("_rise").alias("importance_std"))
-            .select(F.element_at(names, F.col("feature")).alias("feature"), "importance", "importance_std"))
+            .select(*keys, "model", F.element_at(names, F.col("feature")).alias("feature"), "importance", "importance_std"))

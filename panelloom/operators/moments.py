@@ -8,59 +8,73 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Beyond this many sums, one aggregate with a column each costs more in code
-# generation than exploding the products.
-WIDE_LIMIT = 150
+ROWS = 2048
+"""Rows whose products are formed together."""
 
 
 def triangle(k: int):
     return [(i, j) for i in range(k) for j in range(i, k)]
 
 
-def products(columns) -> Column:
-    """Upper triangle of a row's products, in the order of ``triangle``.
-
-    Written over one array, so the plan does not grow with the square of the
-    number of columns.
-    """
-    k = len(columns)
-
-    def of_row(x):
-        return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.transform(
-            F.slice(x, i, k - i + 1), lambda v: v * F.element_at(x, i))))
-
-    # Bind the array once: a one-element transform acts as a let expression.
-    return F.transform(F.array(F.array(*[F.col(c) for c in columns])), of_row)[0]
-
-
-def moment_rows(df: DataFrame, keys, columns) -> DataFrame:
-    """Long form ``(keys, i, j, value)``: spreads even a single key over many tasks."""
-    products = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                                  (F.col(columns[i]) * F.col(columns[j])).alias("value"))
-                         for i, j in triangle(len(columns))])
-    return (df.select(*keys, F.explode(products).alias("p")).select(*keys, "p.*")
-            .groupBy(*keys, "i", "j").agg(F.sum("value").alias("value")))
-
-
-def moment_matrix(df: DataFrame, keys, columns) -> DataFrame:
+def moment_matrix(df: DataFrame, keys, columns, running: str | None = None) -> DataFrame:
     """Per key: ``n_rows`` and the upper triangle ``m`` of the summed products.
 
-    ``columns`` must be complete (no nulls); a constant is a column of ones.
+    ``columns`` must be complete (no nulls); a constant is a column of ones. With ``running`` (a column of steps)
+    there is a row for each step of a key that has rows, summed over all rows up to it. Rows are shuffled once, as they are; a
+    task reads its sorted keys as a stream and sums batches of outer products, so it holds one matrix whatever a
+    key's length.
     """
-    pairs = triangle(len(columns))
-    if len(pairs) <= WIDE_LIMIT:
-        return df.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            F.array(*[F.sum(F.col(columns[i]) * F.col(columns[j])) for i, j in pairs]).alias("m"))
-    summed = (df.select(*keys, F.posexplode(products(columns)).alias("pos", "value"))
-              .groupBy(*keys, "pos").agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n")))
-    return summed.groupBy(*keys).agg(
-        F.max("n").alias("n_rows"),
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("m"))
+    keys = list(keys)
+    by = [*keys, running] if running else keys
+    first, second = (np.array(x) for x in zip(*triangle(len(columns))))
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+
+    def run(batches):
+        key = step = None
+        total, n, out = np.zeros(len(first)), 0, []
+
+        def close():
+            out.append((*step, n, total.tolist()))
+
+        def emit():
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], type=t) for i, t in enumerate(types)], names=[*by, "n_rows", "m"])
+
+        types = None
+        for batch in batches:
+            if types is None:
+                types = [*[batch.schema.field(c).type for c in by], pa.int64(), pa.list_(pa.float64())]
+            rows = list(zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in by]))
+            x = np.column_stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in columns]).astype(float)
+            at = 0
+            while at < len(rows):
+                end = at + 1
+                while end < len(rows) and rows[end] == rows[at]:
+                    end += 1
+                if rows[at] != step:
+                    if step is not None:
+                        close()
+                    if rows[at][:len(keys)] != key:
+                        key, total, n = rows[at][:len(keys)], np.zeros(len(first)), 0
+                    step = rows[at]
+                for some in range(at, end, ROWS):
+                    part = x[some:min(end, some + ROWS)]
+                    total = total + np.einsum("ri,ri->i", part[:, first], part[:, second])
+                n += end - at
+                at = end
+            if len(out) >= 256:
+                yield emit()
+                out.clear()
+        if step is not None:
+            close()
+            yield emit()
+
+    dealt = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).repartition(*keys).sortWithinPartitions(*by)
+    return dealt.mapInArrow(run, f"{kinds}, n_rows long, m array<double>")
 
 
 def unpack(m) -> np.ndarray:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arma import cumulative_moments
+from .arma import test_offset, with_last_fit
 from .moments import moment_matrix, regress, solve, unpack
 
 WEEK = "week_end_date"
@@ -121,7 +121,7 @@ def iterate_system(state_rows: DataFrame, names, coef: str, keys=KEYS, ts: str =
                         F.concat(acc["out"], F.array(pred)).alias("out"))
 
     paths = packed.withColumn("_path", F.aggregate("_test", start, step, lambda acc: acc["out"]))
-    rows = (paths.select(*keys, F.explode(F.arrays_zip(F.col("_test").alias("r"), F.col("_path").alias("p"))).alias("z"))
+    rows = (paths.select(*keys, F.explode(F.arrays_zip(F.col("_test").alias("r"), F.coalesce("_path", F.array()).alias("p"))).alias("z"))
             .select(*keys, F.col(f"z.r.{ts}").alias(ts), *[F.col(f"z.r.{n}").alias(n) for n in names],
                     F.col("z.p").alias("_pred")))
     return long_forecasts(rows, names, "_pred", keys, ts)
@@ -132,7 +132,7 @@ def var_static(df: DataFrame, names, max_lag: int = 8, keys=KEYS, ts: str = WEEK
     train = df.filter(F.col("split") == "train")
     orders = var_lag_select(train, names, max_lag, force, keys, ts)
     fit = var_fit(train, names, orders, max_lag, keys, ts)
-    joined = df.select(*keys, ts, "split", *names).join(fit.select(*keys, "coef"), list(keys))
+    joined = df.select(*keys, ts, "split", *names).join(fit.select(*keys, "coef"), list(keys), "left")
     return iterate_system(joined, names, "coef", keys, ts, max_lag)
 
 
@@ -148,24 +148,22 @@ def var_residuals(df: DataFrame, names, fit: DataFrame, max_lag: int = 8, keys=K
 def var_rolling(df: DataFrame, names, max_lag: int = 8, keys=KEYS, ts: str = WEEK, force: int | None = None) -> DataFrame:
     """One-step forecasts of the test rows, refitted on all rows before each one.
 
-    Zero where a refit has too few rows. ``df`` carries ``split``, ``rn``, ``n``.
+    Zero where a refit has too few rows. ``df`` carries ``split``.
     """
     k = len(names)
     width = 1 + max_lag * k
     orders = var_lag_select(df.filter(F.col("split") == "train"), names, max_lag, force, keys, ts)
-    lagged = with_lags(df, names, max_lag, keys, ts).join(orders, list(keys))
+    lagged = with_lags(df, names, max_lag, keys, ts).join(orders, list(keys), "left").na.fill(1, ["lag_order"])
     # Training rows share bucket 0; each test row is its own bucket, used by later rows only.
-    bucket = F.when(F.col("split") == "train", F.lit(0)).otherwise(
-        F.col("rn") - F.floor(F.lit(0.8) * F.col("n"))).cast("int")
-    lagged = lagged.withColumn("_bucket", bucket)
+    lagged = lagged.withColumn("_bucket", test_offset(keys, ts).cast("int"))
     sample = _own_sample(lagged, names, max_lag, F.col("lag_order"), (*keys, "_bucket"))
-    moments = cumulative_moments(sample, keys, "_bucket", ["_one", *lag_names(names, max_lag), *names])
+    moments = moment_matrix(sample, keys, ["_one", *lag_names(names, max_lag), *names], running="_bucket")
     fits = _coefficients(moments, [*keys, "_bucket"], names, max_lag)
     state = F.array(*[F.when(F.lit(i // k + 1) <= F.col("lag_order"), F.col(c)).otherwise(0.0)
                       for i, c in enumerate(lag_names(names, max_lag))])
     enough = F.col("n_obs") > F.col("lag_order") * k + 1
     test = (lagged.filter(F.col("split") == "test").withColumn("_bucket", F.col("_bucket") - 1)
-            .join(fits.select(*keys, "_bucket", "coef", "n_obs"), [*keys, "_bucket"], "left")
+            .transform(lambda t: with_last_fit(t, fits, ["coef", "n_obs"], keys, "_bucket", ts))
             .withColumn("_pred", F.when(enough, one_step(F.col("coef"), state, k)))
             .withColumn("_pred", F.coalesce("_pred", F.array(*[F.lit(0.0)] * k))))
     return long_forecasts(test, names, "_pred", keys, ts)

@@ -16,22 +16,23 @@ MODELS = ("garch", "egarch", "gjr")
 N_PARAMS = {"garch": 3, "egarch": 4, "gjr": 4}
 MEAN_ABS_Z = math.sqrt(2.0 / math.pi)
 
-# First round of the likelihood grid; the second refines around its best point.
+# First round of the likelihood grid; later ones close in on its best point.
 BETAS = tuple(round(b, 3) for b in np.linspace(0.0, 0.98, 15))
-ALPHAS = (0.0, 0.02, 0.04, 0.07, 0.1, 0.14, 0.19, 0.25, 0.32, 0.4)
+ALPHAS = (0.0, 0.02, 0.04, 0.07, 0.1, 0.14, 0.19, 0.25, 0.32, 0.4, 0.5, 0.65, 0.8)
 GAMMAS = {"garch": (0.0,), "gjr": (-0.1, -0.05, 0.0, 0.05, 0.1, 0.17, 0.25, 0.35),
           "egarch": (-0.3, -0.2, -0.1, -0.05, 0.0, 0.05, 0.1, 0.2, 0.3)}
 
 
-def log_likelihoods(e: np.ndarray, variance: float, alpha, gamma, beta: float, model: str) -> np.ndarray:
-    """Gaussian log-likelihood of many (alpha, gamma) pairs at one beta.
+def log_likelihoods(e: np.ndarray, variance: float, alpha, gamma, beta, model: str) -> np.ndarray:
+    """Gaussian log-likelihood of many (alpha, gamma, beta) points, or of (alpha, gamma) pairs at one beta.
 
     The constant is targeted at the sample variance; inadmissible points are -inf.
     """
     alpha, gamma = np.asarray(alpha, dtype=float), np.asarray(gamma, dtype=float)
+    beta = np.broadcast_to(np.asarray(beta, dtype=float), alpha.shape)
     total = np.zeros(len(alpha))
     if model == "egarch":
-        admissible = np.full(len(alpha), abs(beta) < 1.0)
+        admissible = np.abs(beta) < 1.0
         level = (1.0 - beta) * math.log(variance)
         log_h = np.full(len(alpha), math.log(variance))
         for x in e:
@@ -40,7 +41,7 @@ def log_likelihoods(e: np.ndarray, variance: float, alpha, gamma, beta: float, m
             log_h = np.clip(level + alpha * (np.abs(scaled) - MEAN_ABS_Z) + gamma * scaled + beta * log_h, -60, 60)
     else:
         persistence = alpha + gamma / 2 + beta
-        admissible = (alpha >= 0) & (alpha + gamma >= 0) & (persistence < 0.9995)
+        admissible = (alpha >= 0) & (beta >= 0) & (alpha + gamma >= 0) & (persistence < 0.9995)
         omega = variance * np.maximum(1.0 - persistence, 1e-12)
         h = np.full(len(alpha), variance)
         for x in e:
@@ -50,70 +51,75 @@ def log_likelihoods(e: np.ndarray, variance: float, alpha, gamma, beta: float, m
     return np.where(admissible, -0.5 * (total + len(e) * math.log(2 * math.pi)), -np.inf)
 
 
-def _slice_type():
-    return T.StructType([T.StructField(c, T.DoubleType()) for c in ("loglik", "alpha", "gamma", "beta")])
+FIT = T.StructType([*[T.StructField(c, T.DoubleType()) for c in ("loglik", "alpha", "gamma", "beta")], T.StructField("at_boundary", T.BooleanType())])
+TOLERANCE = 1e-3
+"""Step of the grid at which the search ends."""
 
 
-def _slice_search(model: str):
-    @F.pandas_udf(_slice_type())
-    def best_on_slice(e: pd.Series, variance: pd.Series, beta: pd.Series, alphas: pd.Series, gammas: pd.Series) -> pd.DataFrame:
-        found = []
-        for values, v, b, a, g in zip(e, variance, beta, alphas, gammas):
-            grid_a, grid_g = [x.ravel() for x in np.meshgrid(np.asarray(a, float), np.asarray(g, float))]
-            ll = log_likelihoods(np.asarray(values, float), v, grid_a, grid_g, b, model)
-            k = int(np.argmax(ll))
-            found.append((float(ll[k]) if np.isfinite(ll[k]) else None, grid_a[k], grid_g[k], b))
-        return pd.DataFrame(found, columns=["loglik", "alpha", "gamma", "beta"])
-    # Non-deterministic only so that the optimizer never scores a slice twice.
-    return best_on_slice.asNondeterministic()
-
+def best_point(e: np.ndarray, variance: float, model: str):
+    """``(loglik, alpha, gamma, beta, at_boundary)`` of the best point of a closing grid.
 
-def _doubles(values) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    Around the best point so far lies a grid of two steps each way. If its own best point is on the grid's edge the
+    grid moves there, otherwise its steps are halved: the search follows the likelihood beyond the first grid. The
+    flag tells a best point at the edge of what is admissible.
+    """
+    def score(a, g, b):
+        points = [x.ravel() for x in np.meshgrid(a, g, b, indexing="ij")]
+        ll = log_likelihoods(e, variance, *points, model)
+        k = int(np.argmax(ll))
+        return ll[k], [x[k] for x in points]
+
+    best, at = score(ALPHAS, GAMMAS[model], BETAS)
+    steps = [0.05, 0.0 if model == "garch" else 0.05, 0.04]
+    for _ in range(60):
+        grid = [np.array([c]) if not s else c + s * np.arange(-2, 3) for c, s in zip(at, steps)]
+        found, there = score(*grid)
+        edge = any(s and abs(t - c) > 1.5 * s for c, t, s in zip(at, there, steps)) and found > best
+        if found > best:
+            best, at = found, there
+        if not edge:
+            steps = [s / 2 for s in steps]
+            if max(steps) < TOLERANCE:
+                break
+    alpha, gamma, beta = at
+    if model == "egarch":
+        edge = abs(beta) > 1 - 2 * TOLERANCE
+    else:
+        edge = min(alpha, beta, alpha + gamma + (model == "garch")) < TOLERANCE or alpha + gamma / 2 + beta > 0.9995 - 2 * TOLERANCE
+    return float(best), float(alpha), float(gamma), float(beta), bool(edge)
 
 
-def _around(centre: Column, step: float, count: int, low: float | None = None, high: float | None = None) -> Column:
-    points = [centre + step * k for k in range(-count, count + 1)]
-    if low is not None:
-        points = [F.greatest(F.lit(low), p) for p in points]
-    if high is not None:
-        points = [F.least(F.lit(high), p) for p in points]
-    return F.array_distinct(F.array(*points))
+def _search(model: str):
+    @F.pandas_udf(FIT)
+    def search(e: pd.Series, variance: pd.Series) -> pd.DataFrame:
+        found = []
+        for values, v in zip(e, variance):
+            point = best_point(np.asarray(values, float), v, model) if v and v > 0 else (None,) * 5
+            found.append(point if point[0] is not None and np.isfinite(point[0]) else (None,) * 5)
+        return pd.DataFrame(found, columns=FIT.fieldNames()).astype({"at_boundary": object})
+    # Non-deterministic only so that the optimizer never fits a series twice.
+    return search.asNondeterministic()
 
 
-def volatility_fit(resid: DataFrame, column: str = "resid", model: str = "gjr", keys=("series",), ts: str = WEEK,
-                   rounds: int = 2) -> DataFrame:
-    """Zero-mean Gaussian volatility model per key by a likelihood grid in rounds.
+def volatility_fit(resid: DataFrame, column: str = "resid", model: str = "gjr", keys=("series",), ts: str = WEEK) -> DataFrame:
+    """Zero-mean Gaussian volatility model per key by a likelihood grid that closes in on its best point.
 
-    Each row of a round is one series with one value of beta: Spark spreads
-    the slices and keeps the best; a task only scores one slice.
+    Each series is fitted where its residuals were gathered. ``fit_status`` tells a series without variance, whose
+    parameters are null; ``at_boundary`` a best point at the edge of the admissible ones.
     """
     if model not in MODELS:
         raise ValueError(f"unknown model {model}; expected one of {MODELS}")
-    search = _slice_search(model)
-    packed = (resid.filter(F.col(column).isNotNull()).groupBy(*keys)
-              .agg(F.transform(F.array_sort(F.collect_list(F.struct(ts, column))), lambda r: r[column]).alias("_e"),
-                   F.var_pop(column).alias("_v"), F.count(column).alias("n_obs"))
-              .filter(F.col("_v") > 0))
-    grid = packed.select("*", _doubles(BETAS).alias("_betas"), _doubles(ALPHAS).alias("_alphas"),
-                         _doubles(GAMMAS[model]).alias("_gammas"))
-    step_b, step_a, step_g = 0.035, 0.02, 0.03
-    for r in range(rounds):
-        scored = (grid.select(*keys, "_e", "_v", "n_obs", "_alphas", "_gammas", F.explode("_betas").alias("_beta"))
-                  .withColumn("_s", search("_e", "_v", "_beta", "_alphas", "_gammas")))
-        best = scored.groupBy(*keys).agg(F.first("_e").alias("_e"), F.first("_v").alias("_v"), F.first("n_obs").alias("n_obs"),
-                                         F.max_by("_s", "_s.loglik").alias("_s"))
-        if r < rounds - 1:
-            low = None if model == "egarch" else 0.0
-            gammas = (_around(F.col("_s.gamma"), step_g / 2, 3) if model != "garch" else _doubles((0.0,)))
-            grid = best.select(*keys, "_e", "_v", "n_obs", _around(F.col("_s.beta"), step_b / 3, 4, 0.0, 0.995).alias("_betas"),
-                               _around(F.col("_s.alpha"), step_a / 2, 4, low).alias("_alphas"), gammas.alias("_gammas"))
+    packed = (resid.groupBy(*keys)
+              .agg(F.transform(F.array_sort(F.collect_list(F.when(F.col(column).isNotNull(), F.struct(ts, column)))), lambda r: r[column]).alias("_e"),
+                   F.var_pop(column).alias("_v"), F.count(column).alias("n_obs")))
+    best = packed.withColumn("_s", _search(model)("_e", "_v"))
     a, g, b, v = (F.col(f"_s.{c}") for c in ("alpha", "gamma", "beta", "loglik"))
     omega = ((1 - b) * F.log("_v")) if model == "egarch" else F.col("_v") * (1 - a - g / 2 - b)
     k = N_PARAMS[model]
     return best.select(*keys, F.lit(model).alias("vol_model"), omega.alias("omega"), a.alias("alpha"), g.alias("gamma"),
                        b.alias("beta"), F.col("_v").alias("h0"), v.alias("loglik"), (2 * k - 2 * v).alias("aic"),
-                       (k * F.log(F.col("n_obs").cast("double")) - 2 * v).alias("bic"), "n_obs")
+                       (k * F.log(F.col("n_obs").cast("double")) - 2 * v).alias("bic"), "n_obs",
+                       F.col("_s.at_boundary").alias("at_boundary"), F.when(v.isNull(), "no variance").otherwise("ok").alias("fit_status"))
 
 
 def next_variance(e: Column, h: Column, omega: Column, alpha: Column, gamma: Column, beta: Column,
@@ -127,7 +133,9 @@ def next_variance(e: Column, h: Column, omega: Column, alpha: Column, gamma: Col
 
 def _next_log_variance(e: Column, h: Column, omega, alpha, gamma, beta) -> Column:
     z = e / F.sqrt(h)
-    return F.exp(omega + alpha * (F.abs(z) - MEAN_ABS_Z) + gamma * z + beta * F.log(h))
+    # Clipped as in the fit.
+    log_h = omega + alpha * (F.abs(z) - MEAN_ABS_Z) + gamma * z + beta * F.log(h)
+    return F.exp(F.greatest(F.lit(-60.0), F.least(F.lit(60.0), log_h)))
 
 
 def variance_recursion(df: DataFrame, params: DataFrame, column: str = "resid", keys=("series",), ts: str = WEEK,
@@ -139,7 +147,8 @@ def variance_recursion(df: DataFrame, params: DataFrame, column: str = "resid",
     does the same.
     """
     packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(ts, F.col(column).alias("e"), *carry))).alias("_rows"))
-    joined = packed.join(params.select(*keys, "omega", "alpha", "gamma", "beta", "h0"), list(keys))
+    # A series without parameters keeps its rows, with null variances.
+    joined = packed.join(params.select(*keys, "omega", "alpha", "gamma", "beta", "h0"), list(keys), "left")
     par = [F.col(c) for c in ("omega", "alpha", "gamma", "beta")]
     start = F.struct(F.lit(None).cast("double").alias("e"), F.col("h0").alias("h"), F.array().cast("array<double>").alias("out"))
 

@@ -130,3 +130,41 @@ def chi2_p(x: str, df: int) -> str:
 
     terms = " + ".join(f"pow({x} / 2, {k}) / {math.factorial(k)}" for k in range(df // 2))
     return f"(exp(-({x}) / 2) * ({terms}))"
+
+
+def normal_cdf(z: str) -> str:
+    return f"(CASE WHEN {z} > 0 THEN 1 - {erfc_p(z)} / 2 ELSE {erfc_p(z)} / 2 END)"
+
+
+def f_p(f: str, d1: int, d2: str) -> str:
+    """Survival function of F with an even first number of degrees of freedom: a finite sum."""
+    import math
+
+    x, a = f"({d2} / ({d2} + {d1} * {f}))", f"({d2} / 2.0)"
+    terms = []
+    for j in range(d1 // 2):
+        rising = " * ".join(["1.0", *[f"({a} + {i})" for i in range(j)]])
+        terms.append(f"{rising} / {math.factorial(j)} * pow(1 - {x}, {j})")
+    return f"(pow({x}, {a}) * ({' + '.join(terms)}))"
+
+
+def cross_products(columns) -> str:
+    """The full matrix of summed products, row by row, as a list."""
+    return "[" + ", ".join(f"sum({a} * {b})" for a in columns for b in columns) + "]"
+
+
+def sweep_step(a: str, n: int, p: str) -> str:
+    """Matrix ``a`` (n x n, a list) swept on pivot ``p`` (from 0); as it is where the pivot has vanished."""
+    at = lambda i, j: f"{a}[{i} * {n} + {j} + 1]"
+    i, j, d = f"(t // {n})", f"(t % {n})", at(p, p)
+    moved = (f"CASE WHEN {i} = {p} AND {j} = {p} THEN -1 / {d} WHEN {i} = {p} OR {j} = {p} THEN {a}[t + 1] / {d}"
+             f" ELSE {a}[t + 1] - {at(i, p)} * {at(p, j)} / {d} END")
+    return f"(CASE WHEN {d} > 1e-10 THEN list_transform(range({n * n}), lambda t: {moved}) ELSE {a} END)"
+
+
+def swept(source: str, out: str, n: int, steps: str, pivot: str = "k", keys: str = "series") -> str:
+    """``out(keys, k, a)``: matrices of ``source(keys, a, ...)`` after k sweeps, k from 0 to ``steps``."""
+    return f"""{out} AS (
+  SELECT {keys}, 0 AS k, a FROM {source}
+  UNION ALL
+  SELECT {keys}, k + 1, {sweep_step("a", n, pivot)} FROM {out} WHERE k < {steps})"""

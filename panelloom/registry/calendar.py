@@ -57,14 +57,15 @@ def week_ffill(spark, sf):
     return rounded(R.resample_week_last_ffill(P.segment_daily(spark, sf).filter(F.col("value") > 250000)))
 
 
-KINDS = {"DISCOUNT": "oas_pct", "TAX": "rate_pct", "PRICE": "price", "QUANTITY": "weekly_level"}
+KINDS = {"DISCOUNT": "oas_pct", "TAX": "rate_pct", "PRICE": "price", "QUANTITY": "weekly_level",
+         **dict.fromkeys(("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"), "level")}
 
 
 @query("weekly_by_kind", sql=f"""
-WITH {DRV_DAILY}, {dense("drv_daily", "drv_dense")},
+WITH {DRV_DAILY}, {SEG_DAILY}, all_daily AS (SELECT * FROM drv_daily UNION ALL SELECT * FROM seg_daily), {dense("all_daily", "all_dense")},
 wk AS (
   SELECT series, {week()} AS week_end_date, avg(value) AS mean, arg_max(value, d) AS last
-  FROM drv_dense WHERE series <> 'QUANTITY' GROUP BY 1, 2),
+  FROM all_dense WHERE series <> 'QUANTITY' GROUP BY 1, 2),
 q AS (SELECT {week()} AS week_end_date, arg_max(value, d) AS level FROM drv_daily WHERE series = 'QUANTITY' GROUP BY 1),
 qg AS (SELECT CAST(unnest(generate_series(min(week_end_date), max(week_end_date), INTERVAL 7 DAY)) AS DATE) AS week_end_date FROM q),
 l AS (
@@ -74,13 +75,14 @@ l AS (
   FROM qg LEFT JOIN q ON q.week_end_date = qg.week_end_date),
 p AS (SELECT *, lag(level) OVER (PARTITION BY series ORDER BY week_end_date) AS b,
       CASE series WHEN 'DISCOUNT' THEN 'oas_pct' WHEN 'TAX' THEN 'rate_pct' WHEN 'PRICE' THEN 'price'
-                  ELSE 'weekly_level' END AS kind FROM l),
+                  WHEN 'QUANTITY' THEN 'weekly_level' ELSE 'level' END AS kind FROM l),
 c AS (SELECT *, CASE kind WHEN 'oas_pct' THEN level * 100 - b * 100 WHEN 'rate_pct' THEN (level - b) * 100
                 WHEN 'price' THEN (level / b - 1) * 100 ELSE level - b END AS change FROM p)
 SELECT series, kind, week_end_date, round(level, 4) AS level, round(change, 4) AS change,
        round(CASE kind WHEN 'oas_pct' THEN level * 100 WHEN 'price' THEN change ELSE level END, 4) AS value FROM c""")
 def by_kind(spark, sf):
-    return rounded(R.weekly_by_kind(P.driver_daily(spark, sf), KINDS))
+    daily = P.driver_daily(spark, sf).unionByName(P.segment_daily(spark, sf))
+    return rounded(R.weekly_by_kind(daily, KINDS))
 
 
 def panel_sql(daily: str, source: str) -> str:

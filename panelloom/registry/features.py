@@ -63,12 +63,12 @@ def returns(spark, sf):
 
 @query("cumulative_advantage", sql=f"""
 WITH {FORECASTS}
-SELECT series, week_end_date, round(sum(pow(actual - 0, 2) - pow(actual - pred, 2)) OVER (PARTITION BY series ORDER BY week_end_date
-  ROWS UNBOUNDED PRECEDING) / 1e9, 6) AS cum_advantage FROM fct WHERE model = 'Mean4'""")
+SELECT series, model, week_end_date, round(sum(pow(actual - 0, 2) - pow(actual - pred, 2)) OVER (PARTITION BY series, model ORDER BY week_end_date
+  ROWS UNBOUNDED PRECEDING) / 1e9, 6) AS cum_advantage FROM fct""")
 def cumulative_advantage(spark, sf):
-    fc = P.forecast_fixture(P.segment_model(spark, sf)).filter((F.col("split") == "test") & (F.col("model") == "Mean4"))
-    out = W.cumulative_advantage(fc.withColumn("base_pred", F.lit(0.0)))
-    return rounded(out.select("series", "week_end_date", (F.col("cum_advantage") / 1e9).alias("cum_advantage")), 6)
+    fc = P.forecast_fixture(P.segment_model(spark, sf)).filter(F.col("split") == "test")
+    out = W.cumulative_advantage(fc.withColumn("base_pred", F.lit(0.0)), ("series", "model"))
+    return rounded(out.select("series", "model", "week_end_date", (F.col("cum_advantage") / 1e9).alias("cum_advantage")), 6)
 
 
 @query("chronological_split", sql=f"WITH {SEG_MODEL} SELECT series, week_end_date, rn, n, split FROM seg_model")
@@ -265,7 +265,7 @@ def arx_dataset(spark, sf):
 
 
 BLOCK = ("PRICE", "QUANTITY", "DISCOUNT", "TAX")
-BLOCK_TARGETS = ("URGENT", "LOW")
+BLOCK_TARGETS = CREDIT
 
 
 @query("macro_block", sql=f"""

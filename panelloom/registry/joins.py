@@ -9,22 +9,22 @@ from ..plans import panels as P
 from ..session import durable
 from .base import DRV_WEEKLY, FORECASTS, SEG_DAILY, SEG_MODEL, SEG_WEEKLY, query, rounded, week
 
-NAMES = {"1-URGENT": "URGENT", "2-HIGH": "HIGH", "3-MEDIUM": "MEDIUM"}
+NAMES = {"1-URGENT": "URGENT", "2-HIGH": "HIGH", "3-MEDIUM": "MEDIUM", "4-NOT SPECIFIED": "NOTSPEC", "5-LOW": "LOW"}
+ROUNDED = ", ".join(f"round({n}, 4) AS {n}" for n in NAMES.values())
 
 
 def _single(panel, series, out, ts="ts", value="value"):
     return panel.filter(F.col("series") == series).select(ts, F.col(value).alias(out))
 
 
-def _one(cte: str, series: str, out: str, d="d", v="value") -> str:
-    return f"(SELECT {d}, {v} AS {out} FROM {cte} WHERE series = '{series}')"
+def _chain(how: str, cte: str, d: str, v: str) -> str:
+    parts = [f"(SELECT {d}, {v} AS {n} FROM {cte} WHERE series = '{s}') AS t_{n}" for s, n in NAMES.items()]
+    return parts[0] + "".join(f"\n{how} {p} USING ({d})" for p in parts[1:])
 
 
 @query("outer_merge_n", sql=f"""
 WITH {SEG_DAILY}
-SELECT d AS ts, round(URGENT, 4) AS URGENT, round(HIGH, 4) AS HIGH, round(MEDIUM, 4) AS MEDIUM
-FROM {_one("seg_daily", "1-URGENT", "URGENT")} FULL JOIN {_one("seg_daily", "2-HIGH", "HIGH")} USING (d)
-FULL JOIN {_one("seg_daily", "3-MEDIUM", "MEDIUM")} USING (d)""")
+SELECT d AS ts, {ROUNDED} FROM {_chain("FULL JOIN", "seg_daily", "d", "value")}""")
 def outer_merge(spark, sf):
     # Several frames are cut from one panel, so the raw table is read once.
     daily = durable(P.segment_daily(spark, sf))
@@ -33,10 +33,7 @@ def outer_merge(spark, sf):
 
 @query("inner_merge_n", sql=f"""
 WITH {SEG_WEEKLY}
-SELECT week_end_date, round(URGENT, 4) AS URGENT, round(HIGH, 4) AS HIGH, round(MEDIUM, 4) AS MEDIUM
-FROM {_one("seg_weekly", "1-URGENT", "URGENT", "week_end_date", "level")}
-JOIN {_one("seg_weekly", "2-HIGH", "HIGH", "week_end_date", "level")} USING (week_end_date)
-JOIN {_one("seg_weekly", "3-MEDIUM", "MEDIUM", "week_end_date", "level")} USING (week_end_date)""")
+SELECT week_end_date, {ROUNDED} FROM {_chain("JOIN", "seg_weekly", "week_end_date", "level")}""")
 def inner_merge(spark, sf):
     weekly = durable(P.segment_weekly(spark, sf))
     frames = [_single(weekly, s, n, "week_end_date", "level") for s, n in NAMES.items()]
@@ -61,16 +58,17 @@ def left_enrich(spark, sf):
     return rounded(out, 6, level=4, PRICE=2, QUANTITY=2)
 
 
+ALIGNED = [*NAMES, *P.DRIVERS]
+
+
 @query("outer_align_columns", sql=f"""
 WITH {SEG_WEEKLY}, {DRV_WEEKLY},
 a AS (SELECT * FROM seg_weekly UNION ALL SELECT * FROM drv_weekly)
-SELECT week_end_date, round(max(CASE WHEN series = '1-URGENT' THEN level END), 4) AS "1-URGENT",
-       round(max(CASE WHEN series = '5-LOW' THEN level END), 4) AS "5-LOW",
-       round(max(CASE WHEN series = 'TAX' THEN level END), 4) AS "TAX"
-FROM a WHERE series IN ('1-URGENT', '5-LOW', 'TAX') GROUP BY 1""")
+SELECT week_end_date, {", ".join(f"""round(max(CASE WHEN series = '{s}' THEN level END), 4) AS "{s}" """ for s in ALIGNED)}
+FROM a GROUP BY 1""")
 def outer_align(spark, sf):
     panels = [P.segment_weekly(spark, sf), P.driver_weekly(spark, sf)]
-    return rounded(J.outer_align_columns(panels, ["1-URGENT", "5-LOW", "TAX"], "level", "week_end_date"))
+    return rounded(J.outer_align_columns(panels, ALIGNED, "level", "week_end_date"))
 
 
 @query("common_index", sql=f"""
@@ -79,7 +77,7 @@ a AS (SELECT * FROM seg_weekly UNION ALL SELECT * FROM drv_weekly),
 c AS (SELECT week_end_date FROM a GROUP BY 1 HAVING count(DISTINCT series) = (SELECT count(DISTINCT series) FROM a))
 SELECT series, week_end_date, round(level, 4) AS level FROM a WHERE week_end_date IN (SELECT week_end_date FROM c)""")
 def common_index(spark, sf):
-    both = P.segment_weekly(spark, sf).unionByName(P.driver_weekly(spark, sf))
+    both = durable(P.segment_weekly(spark, sf).unionByName(P.driver_weekly(spark, sf)))
     return rounded(J.common_index(both).select("series", "week_end_date", "level"))
 
 

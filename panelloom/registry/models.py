@@ -1,42 +1,107 @@
 """Forecasting models."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import arma as A
 from ..operators import volatility as V
 from ..plans import panels as P
 from ..session import durable
-from .base import SEG_MODEL, query, rounded
-from .features import arx_frame
+from .base import SEG_MODEL, cross_products, query, rounded, swept
+from .features import CREDIT, SHORT, arx_frame
 
 
 def is_train():
     return F.col("split") == "train"
 
 
-@query("arma_select")
+LONG, DESIGN = ["one", *[f"s{k}" for k in range(1, 9)], "y"], ["one", "y1", "y2", "y3", "e1", "e2", "e3", "y"]
+ORDERS = ", ".join(f"({p}, {q}, [{', '.join(map(str, A.order_positions(p, q, 3, 3, 0)))}])" for p, q in A.order_grid())
+
+# Every candidate order of every series: shocks of a long autoregression, then the design swept on the order's columns.
+CANDIDATES = SEG_MODEL + f""",
+lg AS (SELECT series, week_end_date, split, rn, diff AS y, CAST(1 AS DOUBLE) AS one, {", ".join(f"lag(diff, {k}) OVER w AS s{k}" for k in range(1, 9))}
+       FROM seg_model WINDOW w AS (PARTITION BY series ORDER BY week_end_date)),
+lm AS (SELECT series, {cross_products(LONG)} AS a FROM lg WHERE split = 'train' AND s8 IS NOT NULL GROUP BY 1),
+{swept("lm", "lsw", 10, "9")},
+sh AS (SELECT lg.*, y - ({" + ".join(f"a[{10 * (i + 1)}] * {c}" for i, c in enumerate(LONG[:-1]))}) AS e
+       FROM lg JOIN lsw ON lsw.series = lg.series AND k = 9),
+dz AS (SELECT series, split, one, y, {", ".join(f"lag(y, {k}) OVER w AS y{k}, lag(e, {k}) OVER w AS e{k}" for k in (1, 2, 3))}
+       FROM sh WINDOW w AS (PARTITION BY series ORDER BY week_end_date)),
+dm AS (SELECT series, count(*) AS n, {cross_products(DESIGN)} AS a FROM dz WHERE split = 'train' AND e3 IS NOT NULL AND y3 IS NOT NULL GROUP BY 1),
+ord AS (SELECT * FROM (VALUES {ORDERS}) AS o(p, q, x)),
+om AS (SELECT series, n, p, q, x, a FROM dm CROSS JOIN ord WHERE n > p + q + 1),
+{swept("om", "osw", 8, "len(x)", "x[k + 1]", "series, n, p, q, x")},
+cf AS (SELECT series, p, q, n, a[8] AS const, a[64] AS ssr,
+              {", ".join(f"CASE WHEN p >= {i} THEN a[{8 * (i + 1)}] ELSE 0 END AS ar{i}" for i in (1, 2, 3))},
+              {", ".join(f"CASE WHEN q >= {j} THEN a[{8 * (j + 4)}] ELSE 0 END AS ma{j}" for j in (1, 2, 3))}
+       FROM osw WHERE k = len(x) AND a[64] > 0),
+cand AS (SELECT *, n * (ln(2 * pi() * ssr / n) + 1) + 2 * (p + q + 2) AS aic, n * (ln(2 * pi() * ssr / n) + 1) + ln(n) * (p + q + 2) AS bic,
+                {" AND ".join(f"1 - {a} - {b} - {c} > 0 AND 1 + {a} - {b} + {c} > 0 AND abs({c}) < 1 AND 1 - {c} * {c} > abs({b} + {a} * {c})"
+                              for a, b, c in (("ar1", "ar2", "ar3"), ("(-ma1)", "(-ma2)", "(-ma3)")))} AS stable FROM cf)"""
+SELECTED = CANDIDATES + """,
+best AS (SELECT series, arg_min((p, q), CASE WHEN stable THEN (aic, p, q) END) AS o FROM cand GROUP BY 1),
+sel AS (SELECT cand.* FROM cand JOIN best ON best.series = cand.series AND cand.p = best.o[1] AND cand.q = best.o[2])"""
+
+
+@query("arma_select", sql=f"""
+WITH RECURSIVE {SELECTED}
+SELECT series, p, q, round(const, 4) AS const, {", ".join(f"round({c}{i}, 4) AS {c}{i}" for c in ("ar", "ma") for i in (1, 2, 3))},
+       round(ssr / n / 1e6, 4) AS sigma2, n AS n_obs, round(aic, 4) AS aic, round(bic, 4) AS bic, 'ok' AS fit_status FROM sel""")
 def arma_select(spark, sf):
     out = A.arma_select(A.arma_candidates(P.segment_model(spark, sf), "diff", is_train()))
-    return rounded(out.drop("beta").withColumn("ar", F.array_join("ar", ",")).withColumn("ma", F.array_join("ma", ",")), 4)
+    lags = [F.col(c)[i].alias(f"{c}{i + 1}") for c in ("ar", "ma") for i in range(3)]
+    return rounded(out.select("series", "p", "q", "const", *lags, (F.col("sigma2") / 1e6).alias("sigma2"), "n_obs", "aic", "bic", "fit_status"), 4)
 
 
-@query("arma_candidates")
+@query("arma_candidates", sql=f"""
+WITH RECURSIVE {CANDIDATES}
+SELECT series, p, q, round(const, 4) AS const, round(ssr / n / 1e6, 4) AS sigma2, n AS n_obs, round(aic, 4) AS aic, round(bic, 4) AS bic, stable FROM cand""")
 def arma_candidates(spark, sf):
     out = A.arma_candidates(P.segment_model(spark, sf), "diff", is_train())
-    return rounded(out.select("series", "p", "q", "const", "sigma2", "n_obs", "aic", "bic", "stable"), 4)
+    return rounded(out.select("series", "p", "q", "const", (F.col("sigma2") / 1e6).alias("sigma2"), "n_obs", "aic", "bic", "stable"), 4)
 
 
 def selected(model):
     return A.arma_select(A.arma_candidates(model, "diff", is_train()))
 
 
-@query("arma_static_path")
+# One step of the filter per week: the last three values and shocks are carried along.
+FILTERED = SELECTED + """,
+fs AS (SELECT m.series, m.rn, m.week_end_date, m.split, m.diff AS y, s.p, s.const, s.ar1, s.ar2, s.ar3, s.ma1, s.ma2, s.ma3
+       FROM seg_model AS m JOIN sel AS s USING (series)),
+fl AS (
+  SELECT series, rn, week_end_date, split, y, CAST(NULL AS DOUBLE) AS pred, y AS y1, CAST(0 AS DOUBLE) AS y2, CAST(0 AS DOUBLE) AS y3,
+         CAST(0 AS DOUBLE) AS e1, CAST(0 AS DOUBLE) AS e2, CAST(0 AS DOUBLE) AS e3 FROM fs WHERE rn = 1 AND p > 0
+  UNION ALL
+  SELECT series, rn, week_end_date, split, y, const AS pred, y, 0, 0, y - const, 0, 0 FROM fs WHERE rn = 1 AND p = 0
+  UNION ALL
+  SELECT series, rn, week_end_date, split, y, pred, y, y1, y2, coalesce(y - pred, 0), e1, e2
+  FROM (SELECT fs.series, fs.rn, fs.week_end_date, fs.split, fs.y, l.y1, l.y2, l.e1, l.e2,
+               CASE WHEN fs.rn > p THEN const + ar1 * l.y1 + ar2 * l.y2 + ar3 * l.y3 + ma1 * l.e1 + ma2 * l.e2 + ma3 * l.e3 END AS pred
+        FROM fl AS l JOIN fs ON fs.series = l.series AND fs.rn = l.rn + 1) AS x)"""
+PATHS = FILTERED + """,
+te AS (SELECT series, max(rn) AS rn FROM fl WHERE split = 'train' GROUP BY 1),
+pt AS (
+  SELECT fl.series, fl.rn, 0 AS step, CAST(NULL AS DOUBLE) AS pred, y1, y2, y3, e1, e2, e3 FROM fl JOIN te ON te.series = fl.series AND te.rn = fl.rn
+  UNION ALL
+  SELECT series, rn + 1, step + 1, pred, pred, y1, y2, 0, e1, e2
+  FROM (SELECT pt.*, const + ar1 * y1 + ar2 * y2 + ar3 * y3 + ma1 * e1 + ma2 * e2 + ma3 * e3 AS pred_next
+        FROM pt JOIN sel USING (series)) AS x(series, rn, step, old, y1, y2, y3, e1, e2, e3, pred)
+  WHERE step < 2000 AND EXISTS (SELECT 1 FROM fs WHERE fs.series = x.series AND fs.rn = x.rn + 1))"""
+
+
+@query("arma_static_path", sql=f"""
+WITH RECURSIVE {PATHS}
+SELECT pt.series, week_end_date, round(y, 4) AS actual, step, round(pt.pred, 4) AS pred FROM pt JOIN fs ON fs.series = pt.series AND fs.rn = pt.rn WHERE step > 0""")
 def arma_static_path(spark, sf):
     model = P.segment_model(spark, sf)
     return rounded(A.arma_static_path(model, selected(model), "diff"))
 
 
-@query("arma_rolling_one_step")
+@query("arma_rolling_one_step", sql=f"""
+WITH RECURSIVE {FILTERED}
+SELECT series, week_end_date, round(y, 4) AS actual, round(pred, 4) AS pred, round(y - pred, 4) AS resid, split FROM fl""")
 def arma_rolling(spark, sf):
     model = P.segment_model(spark, sf)
     return rounded(A.arma_filter(model, selected(model), "diff", carry=("split",)))
@@ -45,7 +110,7 @@ def arma_rolling(spark, sf):
 @query("arma_rolling_suppliers")
 def arma_rolling_suppliers(spark, sf):
     """Selection and rolling forecasts on a panel whose number of series grows with the data."""
-    model = supplier_model(spark, sf)
+    model = durable(supplier_model(spark, sf))
     return rounded(A.arma_filter(model, selected(model), "diff", carry=("split",)))
 
 
@@ -73,11 +138,21 @@ def train_residuals(model):
 def garch_family(spark, sf):
     from functools import reduce
 
-    train = train_residuals(P.segment_model(spark, sf)).filter(is_train())
+    train = durable(train_residuals(P.segment_model(spark, sf)).filter(is_train()))
     fits = [V.volatility_fit(train, "resid", m) for m in V.MODELS]
     return rounded(reduce(lambda a, b: a.unionByName(b), fits), 6)
 
 
+@query("standardised_residuals")
+def standardised_residuals(spark, sf):
+    """Training residuals over the fitted sigma of each volatility model."""
+    from functools import reduce
+
+    train = durable(train_residuals(P.segment_model(spark, sf)).filter(is_train()))
+    rows = [V.variance_recursion(train, V.volatility_fit(train, "resid", m), "resid", model=m).withColumn("vol_model", F.lit(m)) for m in V.MODELS]
+    return rounded(reduce(lambda a, b: a.unionByName(b), rows).select("series", "vol_model", "week_end_date", "sigma", "z"), 4)
+
+
 # Given parameters, so that a recursive query can state the same path.
 GJR = {"alpha": 0.05, "gamma": 0.1, "beta": 0.85, "omega_share": 0.05}
 
@@ -118,7 +193,7 @@ def gjr_path(spark, sf):
 
 
 def arx_panel(spark, sf):
-    """Regression frame of one target per series: all share the regressors of their week."""
+    """Regression frame of one target per series: all share the regressors of their week; computed once."""
     from ..operators.windows import chronological_split
 
     frame = arx_frame(spark, sf)
@@ -126,7 +201,7 @@ def arx_panel(spark, sf):
     exog = [c for c in frame.columns if c.endswith("_lag1")]
     tagged = F.array(*[F.struct(F.lit(t.removesuffix("_diff")).alias("series"), F.col(t).alias("y")) for t in targets])
     rows = frame.select("week_end_date", *exog, F.explode(tagged).alias("t")).select("week_end_date", *exog, "t.*")
-    return chronological_split(rows), exog
+    return durable(chronological_split(rows)), exog
 
 
 @query("arx_fit_forecast")
@@ -146,9 +221,9 @@ def arx_rolling(spark, sf):
     return rounded(out.drop("split"))
 
 
-# Systems: one per order status, three priority series each.
-SYSTEM_NAMES = ("HIGH", "MEDIUM", "LOW")
-SYSTEM_SERIES = {"2-HIGH": "HIGH", "3-MEDIUM": "MEDIUM", "5-LOW": "LOW"}
+# Systems: one per order status, a series for each of the priorities.
+SYSTEM_SERIES = SHORT
+SYSTEM_NAMES = CREDIT
 
 
 def systems(spark, sf):
@@ -159,7 +234,7 @@ def systems(spark, sf):
     from ..operators.windows import chronological_split, diff
 
     sep = "|"
-    daily = (P.table(spark, sf, "orders").filter(F.col("o_orderpriority").isin(list(SYSTEM_SERIES)))
+    daily = (P.table(spark, sf, "orders")
              .groupBy(F.concat_ws(sep, "o_orderstatus", "o_orderpriority").alias("series"), P.day("o_orderdate").alias("ts"))
              .agg(F.avg("o_totalprice").alias("value")))
     weekly = diff(resample_week(interpolate_time(daily)), "level", "diff").filter(F.col("diff").isNotNull())
@@ -270,44 +345,64 @@ def elastic_net(spark, sf):
     return rounded(out.select("series", "horizon", "week_end_date", F.col("target").alias("actual"), "pred"), 4)
 
 
-def tree_forecasts(spark, sf, estimator):
+def tree_models():
+    """The forest and the boosted variants: all rows a round, and a random share of them."""
+    from ..operators import learners as L
+
+    return {"Random Forest": L.random_forest(), "Gradient Boosting": L.gradient_boosting(),
+            "Subsampled Boosting": L.gradient_boosting(subsample=0.8)}
+
+
+def tree_rows(spark, sf, rows=None, features=None):
+    """Vectors of every (series, horizon) in one table."""
+    from ..operators import learners as L
+
+    if rows is None:
+        rows, features = learner_rows(spark, sf)
+    return durable(L.pooled_rows(rows, features).select("series", "horizon", "week_end_date", "split", "target", "features")), features
+
+
+def tree_forecasts(assembled, names):
+    """Test forecasts of one pooled model per name."""
     from functools import reduce
 
     from ..operators import learners as L
-    from .features import CREDIT
 
-    horizons = (1,)
-    rows, features = learner_rows(spark, sf, horizons)
-    assembled = L.assemble(rows, features).select("series", "horizon", "week_end_date", "split", "target", "features")
-    fits = L.fit_per_key(durable(assembled), estimator, [(s, h) for s in CREDIT for h in horizons], parallelism=8)
-    out = reduce(lambda a, b: a.unionByName(b), [p for _, _, p in fits])
-    return rounded(out.select("series", "horizon", "week_end_date", F.col("target").alias("actual"), "pred"), 4)
+    fitted = {n: L.fit_pooled(assembled, tree_models()[n]) for n in names}
+    test = assembled.filter(F.col("split") == "test")
+    out = reduce(lambda a, b: a.unionByName(b), [m.transform(test).withColumn("model", F.lit(n)) for n, m in fitted.items()])
+    return fitted, out.select("series", "horizon", "week_end_date", "model", F.col("target").alias("actual"), "pred")
+
+
+def tree_query(spark, sf, *names):
+    assembled, _ = tree_rows(spark, sf)
+    return rounded(tree_forecasts(assembled, names)[1], 4)
 
 
 @query("random_forest")
 def random_forest(spark, sf):
-    from ..operators import learners as L
-
-    return tree_forecasts(spark, sf, L.random_forest())
+    return tree_query(spark, sf, "Random Forest")
 
 
 @query("gradient_boosting")
 def gradient_boosting(spark, sf):
-    from ..operators import learners as L
-
-    return tree_forecasts(spark, sf, L.gradient_boosting())
+    return tree_query(spark, sf, "Gradient Boosting", "Subsampled Boosting")
 
 
 @query("permutation_importance")
 def importance(spark, sf):
+    """Of the best tree model of each series and horizon, the twelve features it needs most."""
     from ..operators import evaluation as E
     from ..operators import learners as L
 
-    rows, features = learner_rows(spark, sf, (1,))
-    assembled = durable(L.assemble(rows, features).select("series", "horizon", "week_end_date", "split", "target", "features"))
-    (_, model, _), = L.fit_per_key(assembled, L.random_forest(), [("URGENT", 1)])
-    test = assembled.filter((F.col("series") == "URGENT") & (F.col("split") == "test"))
-    return rounded(E.top_k(L.permutation_importance(model, test, features), "importance", 12, "feature"), 4)
+    assembled, features = tree_rows(spark, sf)
+    fitted, fc = tree_forecasts(assembled, ("Random Forest", "Gradient Boosting"))
+    loss = durable(fc.groupBy("series", "horizon", "model").agg(F.avg(F.pow(E.error(), F.lit(2.0))).alias("mse")))
+    best = loss.groupBy("series", "horizon").agg(F.min_by("model", F.struct("mse", "model")).alias("model"))
+    test = durable(assembled.filter(F.col("split") == "test").join(best, ["series", "horizon"]))
+    rises = L.permutation_importance(fitted, test, features)
+    rank = F.row_number().over(Window.partitionBy("series", "horizon").orderBy(F.desc("importance"), "feature"))
+    return rounded(rises.withColumn("rank", rank).filter(F.col("rank") <= 12), 4)
 
 
 # Given models of the streamed series: an ARMA(1, 1) around the mean with asymmetric variance.
@@ -326,31 +421,72 @@ def event_bins(spark, sf):
             .agg(F.min("event_id").alias("event_id"), F.avg("value").alias("value")))
 
 
-@query("online_scorer")
-def online_scorer(spark, sf):
-    """Score a stream of hourly values of every user, staged as files."""
+def stage_stream(bins, staged: str, delay_hours: int, files: int | None = None):
+    """Files in time order, then a heartbeat that lies beyond the watermark's delay."""
+    ordered = bins.repartitionByRange(files, "ts") if files else bins.repartitionByRange("ts")
+    ordered.sortWithinPartitions("ts").write.parquet(staged)
+    beat = bins.agg(F.max("ts").alias("ts")).select(
+        F.lit("").alias("series"), (F.col("ts") + F.expr(f"INTERVAL {delay_hours + 24} HOURS")).alias("ts"),
+        F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("double").alias("value"))
+    beat.write.mode("append").parquet(staged)
+
+
+def scored_stream(spark, bins, params, files: int | None = None, per_trigger: int | None = None, delay_hours: int = 48):
     from ..session import fresh_path
     from ..streaming.scorer import online_scorer as score, run_to_table
 
-    staged = fresh_path(spark, "staged")
-    event_bins(spark, sf).write.parquet(staged)
-    bins = spark.read.parquet(staged)
-    stream = spark.readStream.schema(bins.schema).option("maxFilesPerTrigger", 64).parquet(staged)
-    path = fresh_path(spark, "scored")
-    run_to_table(score(stream, stream_params(bins)), path, fresh_path(spark, "scored-checkpoint"))
-    return rounded(spark.read.parquet(path).drop("n_late"), 6)
+    staged, path = fresh_path(spark, "staged"), fresh_path(spark, "scored")
+    stage_stream(bins, staged, delay_hours, files)
+    reader = spark.readStream.schema(bins.schema)
+    stream = (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).parquet(staged)
+    run_to_table(score(stream, params, f"{delay_hours} hours"), path, fresh_path(spark, "scored-checkpoint"))
+    return spark.read.parquet(path)
+
+
+def with_hour(df, *more):
+    return df.select("series", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("hour"), "event_id", "actual", "pred", "sigma", "lower_95", "upper_95", *more)
+
+
+# Both scorers' rows from the given parameters: one recursion step per hour of a series.
+SCORES = """
+WITH RECURSIVE bins AS (
+  SELECT CAST(user_id AS VARCHAR) AS series, date_trunc('hour', ts) AS ts, min(event_id) AS event_id, avg(value) AS value
+  FROM events GROUP BY 1, 2),
+par AS (SELECT series, 0.7 * avg(value) AS c, var_pop(value) AS h0 FROM bins GROUP BY 1 HAVING var_pop(value) > 0),
+s AS (SELECT bins.*, c, h0, row_number() OVER (PARTITION BY series ORDER BY ts) AS rn FROM bins JOIN par USING (series)),
+r AS (
+  SELECT series, ts, event_id, rn, value, h0, CAST(NULL AS DOUBLE) AS pred, h0 AS h,
+         CAST(0 AS DOUBLE) AS shock, CAST(NULL AS DOUBLE) AS e, CAST(NULL AS DOUBLE) AS eh
+  FROM s WHERE rn = 1
+  UNION ALL
+  SELECT series, ts, event_id, rn, value, h0, pred, h, value - pred, value - pred, h
+  FROM (SELECT s.series, s.ts, s.event_id, s.rn, s.value, s.h0, s.c + 0.3 * r.value + 0.2 * r.shock AS pred,
+               CASE WHEN r.e IS NULL THEN s.h0
+                    ELSE 0.05 * s.h0 + (0.05 + CASE WHEN r.e < 0 THEN 0.1 ELSE 0 END) * r.e * r.e + 0.85 * r.eh END AS h
+        FROM r JOIN s ON s.series = r.series AND s.rn = r.rn + 1) AS x)
+SELECT series, strftime(ts, '%Y-%m-%d %H:%M') AS hour, event_id, false AS late, round(value, 6) AS actual, round(pred, 6) AS pred, round(sqrt(h), 6) AS sigma,
+       round(pred - 1.96 * sqrt(h), 6) AS lower_95, round(pred + 1.96 * sqrt(h), 6) AS upper_95
+FROM r"""
+
+
+@query("online_scorer", sql=SCORES)
+def online_scorer(spark, sf):
+    """Score a stream of hourly values of every user, staged as files; none of its rows is late."""
+    bins = durable(event_bins(spark, sf))
+    scored = scored_stream(spark, bins, durable(stream_params(bins)))
+    return rounded(with_hour(scored, "late"), 6)
 
 
-@query("online_scorer_batch_twin")
+@query("online_scorer_batch_twin", sql=SCORES)
 def online_scorer_twin(spark, sf):
     """The same rows by the batch operators."""
     bins = durable(event_bins(spark, sf))
-    params = stream_params(bins)
-    keyed = bins.withColumn("key", F.struct("ts", "event_id"))
+    params = durable(stream_params(bins))
+    keyed = bins.join(params.select("series"), "series", "left_semi").withColumn("key", F.struct("ts", "event_id"))
     means = A.arma_filter(keyed, params.withColumn("p", F.lit(1)), "value", ts="key", max_p=1, max_q=1)
     vol = V.variance_recursion(means, params, "resid", ts="key").select("series", "key", "sigma")
     both = V.with_band(means.join(vol, ["series", "key"]))
-    return rounded(both.select("series", "key.ts", "key.event_id", "actual", "pred", "sigma", "lower_95", "upper_95"), 6)
+    return rounded(with_hour(both.select("*", "key.ts", "key.event_id", F.lit(False).alias("late")), "late"), 6)
 
 
 @query("univariate_report")
@@ -365,10 +501,29 @@ def univariate_report(spark, sf):
 def direct_report(spark, sf):
     """Benchmarks and the elastic net on the weeks all of them cover, with winners."""
     from ..operators.models import model_comparison
-    from ..plans.direct import direct_forecasts
-    from .features import CREDIT, SHORT
 
     rows, features = learner_rows(spark, sf)
     model = durable(P.segment_model(spark, sf))
-    fc = durable(direct_forecasts(rows, features, model, SHORT))
-    return rounded(model_comparison(fc, 3), 4)
+    return rounded(model_comparison(durable(all_direct(spark, sf, rows, features, model)), len(DIRECT_MODELS)), 4)
+
+
+DIRECT_MODELS = ("Random Walk", "ARMA(1, 2)", "Elastic Net", "Random Forest", "Gradient Boosting", "Subsampled Boosting")
+
+
+def all_direct(spark, sf, rows, features, model):
+    """Forecasts of every benchmark and learner at both horizons."""
+    from ..plans.direct import direct_forecasts
+    from .features import SHORT
+
+    trees = tree_forecasts(tree_rows(spark, sf, rows, features)[0], DIRECT_MODELS[3:])[1]
+    return direct_forecasts(rows, features, model, SHORT).unionByName(trees)
+
+
+@query("direct_pairwise")
+def direct_pairwise(spark, sf):
+    """Every learner against both benchmarks, per series and horizon, with the horizon's lag count."""
+    from ..operators import evaluation as E
+
+    rows, features = learner_rows(spark, sf)
+    fc = all_direct(spark, sf, rows, features, durable(P.segment_model(spark, sf)))
+    return rounded(E.pairwise_dm(durable(fc), list(DIRECT_MODELS[:2])), 4)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators.calendar import resample_week, interpolate_time
 from ..plans import panels as P
-from ..session import fresh_path
+from ..session import durable, fresh_path
 from ..sources import columns as C
 from ..sources import sinks, tables
 from .base import DRV_WEEKLY, FLAG_WIDE, SEG_DAILY, SEG_MODEL, query, rounded
@@ -31,14 +31,19 @@ def read_csv_fallback(spark, sf):
 
 
 @query("read_csv_na_marker", sql=f"""
-WITH {SEG_DAILY} SELECT 'HIGH' AS series, d AS ts, CASE WHEN value <= 300000 THEN round(value, 4) END AS value
-FROM seg_daily WHERE series = '2-HIGH'""")
+WITH {SEG_DAILY} SELECT series, d AS ts, CASE WHEN value <= 300000 THEN round(value, 4) END AS value FROM seg_daily""")
 def read_csv_na_marker(spark, sf):
-    path = fresh_path(spark, "marked")
-    daily = P.segment_daily(spark, sf).filter(F.col("series") == "2-HIGH")
+    """One file per series; each is read under its own column name."""
+    from functools import reduce
+
+    daily = durable(P.segment_daily(spark, sf))
     text = F.when(F.col("value") <= 300000, F.col("value").cast("string")).otherwise(".")
-    sinks.write_csv(daily.select(F.col("ts").alias("observation_date"), text.alias("HIGH")), path)
-    return rounded(tables.read_csv_na_marker(spark, path, "HIGH"))
+    read = []
+    for name in sorted(r[0] for r in daily.select("series").distinct().collect()):
+        path = fresh_path(spark, "marked")
+        sinks.write_csv(daily.filter(F.col("series") == name).select(F.col("ts").alias("observation_date"), text.alias(name)), path)
+        read.append(tables.read_csv_na_marker(spark, path, name))
+    return rounded(reduce(lambda a, b: a.unionByName(b), read))
 
 
 @query("read_projected", sql="""
@@ -78,10 +83,16 @@ def write_csv(spark, sf):
 
 @query("write_table", sql=f"WITH {SEG_DAILY} SELECT series, d AS ts, round(value, 4) AS value FROM seg_daily")
 def write_table(spark, sf):
+    """Written twice: the second write replaces rows and columns of the first."""
     path = fresh_path(spark, "table")
     name = "loom_" + path.rsplit("-", 1)[1]
-    sinks.write_table(P.segment_daily(spark, sf), name, path)
-    return rounded(spark.read.table(name))
+    daily = P.segment_daily(spark, sf)
+    sinks.write_table(daily.select("series", F.lit(1).alias("old")).distinct(), name, path)
+    sinks.write_table(daily, name, path)
+    out = spark.read.table(name)
+    # The files stay until the scratch folder is released; the catalog keeps nothing.
+    spark.sql(f"DROP TABLE {name}")
+    return rounded(out)
 
 
 @query("forecast_export", sql=f"""

@@ -6,11 +6,11 @@ from ..functions.math import PPF_A, PPF_B, PPF_C, PPF_D
 from ..operators import diagnostics as D
 from ..operators import evaluation as E
 from ..operators import models as M
-from ..operators.moments import moment_rows
+from ..operators.moments import moment_matrix, triangle
 from ..plans import panels as P
 from ..session import durable
 from .aggregates import FCT, test_rows
-from .base import SEG_MODEL, chi2_p, erfc_p, query, rounded
+from .base import SEG_MODEL, chi2_p, cross_products, erfc_p, f_p, normal_cdf, query, rounded, swept
 from .features import WIN
 
 
@@ -36,7 +36,12 @@ def acf(spark, sf):
     return rounded(D.acf(P.segment_model(spark, sf), "diff"), 6)
 
 
-@query("pacf")
+@query("pacf", sql=f"""
+WITH RECURSIVE {SEG_MODEL}, {_acf()},
+r AS (SELECT series, list_prepend(CAST(1 AS DOUBLE), list(r ORDER BY lag)) AS r FROM ac GROUP BY 1),
+toeplitz AS (SELECT series, list_transform(range(441), lambda t: r[abs(t // 21 - t % 21) + 1]) AS a FROM r),
+{swept("toeplitz", "sw", 21, "19", "(k + 1)")}
+SELECT series, CAST(k + 1 AS BIGINT) AS lag, round(a[k + 2] / sqrt(a[1] * a[(k + 1) * 22 + 1]), 6) AS pacf FROM sw""")
 def pacf(spark, sf):
     return rounded(D.pacf(P.segment_model(spark, sf), "diff"), 6)
 
@@ -54,12 +59,57 @@ def ljung_box(spark, sf):
     return rounded(D.ljung_box(P.segment_model(spark, sf), "diff"), 4, lb_pvalue=6)
 
 
-@query("arch_lm")
+ARCH = ["one", *[f"q{k}" for k in range(1, 9)], "q"]
+
+
+@query("arch_lm", sql=f"""
+WITH RECURSIVE {SEG_MODEL},
+sq AS (SELECT series, week_end_date, diff * diff AS v FROM seg_model),
+st AS (SELECT series, week_end_date, (v - avg(v) OVER (PARTITION BY series)) / stddev_pop(v) OVER (PARTITION BY series) AS q FROM sq),
+d AS (SELECT series, CAST(1 AS DOUBLE) AS one, q, {", ".join(f"lag(q, {k}) OVER w AS q{k}" for k in range(1, 9))} FROM st {WIN}),
+m AS (SELECT series, count(*) AS n, sum(q) AS sy, sum(q * q) AS syy, {cross_products(ARCH)} AS a FROM d WHERE q8 IS NOT NULL GROUP BY 1),
+{swept("m", "sw", 10, "9")},
+f AS (SELECT m.series, n, 1 - sw.a[100] / (syy - sy * sy / n) AS r2 FROM m JOIN sw ON sw.series = m.series AND k = 9),
+g AS (SELECT *, n * r2 AS lm, (r2 / 8) / ((1 - r2) / (n - 9)) AS f FROM f WHERE n > 9)
+SELECT series, n AS n_obs, round(lm, 6) AS lm_stat, round({chi2_p("lm", 8)}, 6) AS lm_pvalue, round(f, 6) AS f_stat,
+       round({f_p("f", 8, "(n - 9)")}, 6) AS f_pvalue FROM g""")
 def arch_lm(spark, sf):
     return rounded(D.arch_lm(P.segment_model(spark, sf), "diff"), 6)
 
 
-@query("adf")
+# More lag columns than any series of the tables has; those beyond a series' own limit are zero and never pivots.
+ADF_MOST = 20
+ADF = ["one", "prev", *[f"d{k}" for k in range(1, ADF_MOST + 1)], "d"]
+ADF_N = len(ADF)
+
+
+def _adf_rows(limit: str) -> str:
+    lags = ", ".join(f"CASE WHEN {k} <= {limit} THEN coalesce(d{k}, 0) ELSE 0 END AS d{k}" for k in range(1, ADF_MOST + 1))
+    return f"SELECT series, {limit} AS top, CAST(1 AS DOUBLE) AS one, prev, d, {lags}"
+
+
+@query("adf", sql=f"""
+WITH RECURSIVE {SEG_MODEL},
+v AS (SELECT series, week_end_date, diff AS v, count(*) OVER p AS n, avg(diff) OVER p AS mean, stddev_pop(diff) OVER p AS sd
+      FROM seg_model WINDOW p AS (PARTITION BY series)),
+y AS (SELECT series, week_end_date, (v - mean) / sd AS y, CAST(greatest(0, least(ceil(12 * pow(n / 100.0, 0.25)), floor(n / 2.0) - 2)) AS INTEGER) AS most
+      FROM v WHERE sd > 0),
+s AS (SELECT *, row_number() OVER w AS t, lag(y) OVER w AS prev, y - lag(y) OVER w AS d FROM y {WIN}),
+l AS (SELECT *, {", ".join(f"lag(d, {k}) OVER w AS d{k}" for k in range(1, ADF_MOST + 1))} FROM s {WIN}),
+c AS ({_adf_rows("most")} FROM l WHERE t >= most + 2),
+m AS (SELECT series, any_value(top) AS top, count(*) AS n, {cross_products(ADF)} AS a FROM c GROUP BY 1),
+{swept("m", "sw", ADF_N, str(ADF_N - 1))},
+aic AS (SELECT m.series, k - 2 AS lag, n * ln(sw.a[{ADF_N * ADF_N}] / n) + 2 * k AS aic FROM m JOIN sw USING (series) WHERE k >= 2 AND k - 2 <= top),
+best AS (SELECT series, arg_min(lag, (aic, lag)) AS lag FROM aic GROUP BY 1),
+u AS ({_adf_rows("lag")} FROM l JOIN best USING (series) WHERE t >= lag + 2),
+m2 AS (SELECT series, any_value(top) AS lag, count(*) AS n, {cross_products(ADF)} AS a FROM u GROUP BY 1),
+{swept("m2", "sw2", ADF_N, str(ADF_N - 1))},
+st AS (SELECT m2.series, lag, n, sw2.a[{2 * ADF_N}] / sqrt(sw2.a[{ADF_N * ADF_N}] / (n - 2 - lag) * -sw2.a[{ADF_N + 2}]) AS stat
+       FROM m2 JOIN sw2 ON sw2.series = m2.series AND k = {ADF_N - 1}),
+z AS (SELECT *, CASE WHEN stat <= -1.61 THEN 2.1659 + 1.4412 * stat + 0.038269 * stat * stat
+             ELSE 1.7339 + 0.93202 * stat - 0.12745 * stat * stat - 0.010368 * stat * stat * stat END AS z FROM st)
+SELECT series, round(stat, 6) AS adf_stat, round(CASE WHEN stat > 2.74 THEN 1 WHEN stat < -18.83 THEN 0 ELSE {normal_cdf("z")} END, 6) AS adf_pvalue,
+       CAST(lag AS BIGINT) AS lags_used, n AS n_used FROM z""")
 def adf(spark, sf):
     # Sizing the lag columns reads the panel once more, so it is kept.
     return rounded(D.adf(durable(P.segment_model(spark, sf)), "diff"), 6)
@@ -254,7 +304,9 @@ def moments(spark, sf):
         "series", F.lit(1.0).alias("one"), (F.lag("diff", 1).over(w) / 1000).alias("y1"),
         (F.lag("diff", 2).over(w) / 1000).alias("y2"), (F.col("level") / 1000).alias("level_k"),
         (F.col("diff") / 1000).alias("y")).na.drop()
-    return rounded(moment_rows(rows, ["series"], MOMENTS), 3)
+    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in triangle(len(MOMENTS))])
+    m = moment_matrix(rows, ["series"], MOMENTS).select("series", F.explode(F.arrays_zip(places.alias("at"), F.col("m").alias("value"))).alias("z"))
+    return rounded(m.select("series", "z.at.i", "z.at.j", "z.value"), 3)
 
 
 @query("residual_diagnostics")

@@ -42,9 +42,21 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+SCRATCH: list[str] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder; never reused, so nothing is overwritten."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    SCRATCH.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables this process put into the shared folder: call it when their results have been read."""
+    while SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(SCRATCH.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def durable(df: DataFrame) -> DataFrame:

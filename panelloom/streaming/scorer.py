@@ -1,6 +1,12 @@
 """Online one-step scorer: each new observation of a series is forecast first,
 then moves the state on. The batch twin is ``arma_filter`` followed by
-``variance_recursion``; both give the same rows."""
+``variance_recursion``; both give the same rows.
+
+Rows may arrive in any order within the watermark's delay: a series keeps them in its state until the watermark has passed
+them, then scores them in time order. A row that comes after a later one was scored is given back without a forecast, marked
+``late``; no row is lost. A row without a value is a heartbeat: it only moves the watermark on, which lets a finite
+stream score its last rows.
+"""
 
 from __future__ import annotations
 
@@ -16,66 +22,81 @@ SCORED = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("actual", T.DoubleType()),
     T.StructField("pred", T.DoubleType()), T.StructField("sigma", T.DoubleType()),
     T.StructField("lower_95", T.DoubleType()), T.StructField("upper_95", T.DoubleType()),
-    T.StructField("n_late", T.LongType())])
+    T.StructField("late", T.BooleanType())])
+MODEL = ["const", "omega", "alpha", "gamma", "beta", "h0"]
 STATE = T.StructType([
     T.StructField("values", T.ArrayType(T.DoubleType())), T.StructField("shocks", T.ArrayType(T.DoubleType())),
     T.StructField("last_e", T.DoubleType()), T.StructField("last_h", T.DoubleType()),
-    T.StructField("last_ts", T.LongType()), T.StructField("last_id", T.LongType()),
-    T.StructField("n_seen", T.LongType()), T.StructField("n_late", T.LongType())])
-
+    T.StructField("last_ts", T.LongType()), T.StructField("last_id", T.LongType()), T.StructField("n_seen", T.LongType()),
+    T.StructField("wait_ts", T.ArrayType(T.LongType())), T.StructField("wait_id", T.ArrayType(T.LongType())),
+    T.StructField("wait_value", T.ArrayType(T.DoubleType())), T.StructField("model", T.ArrayType(T.DoubleType())),
+    T.StructField("ar", T.ArrayType(T.DoubleType())), T.StructField("ma", T.ArrayType(T.DoubleType()))])
+FRESH = ([], [], None, None, None, None, 0, [], [], [], [], [], [])
 
-def _score_rows(key, batches, state: GroupState):
-    """Score the rows of one series in one micro-batch, in time order.
 
-    A row older than one already scored comes too late to change the past: it
-    is dropped and counted.
-    """
-    if state.exists:
-        values, shocks, last_e, last_h, last_ts, last_id, seen, late = state.get
-        values, shocks = list(values), list(shocks)
-    else:
-        values, shocks, last_e, last_h, last_ts, last_id, seen, late = [], [], None, None, None, None, 0, 0
-    rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"])
-    out = []
-    for r in rows.itertuples(index=False):
-        stamp = r.ts.value
-        if last_ts is not None and (stamp, r.event_id) <= (last_ts, last_id):
-            late += 1
-            continue
-        # State must hold plain numbers, not array scalars.
-        value, ar, ma = float(r.value), [float(a) for a in r.ar], [float(b) for b in r.ma]
-        p, q = len(ar), len(ma)
-        pred = None
-        if seen >= p:
-            pred = r.const + sum(a * v for a, v in zip(ar, values)) + sum(b * e for b, e in zip(ma, shocks))
-        if last_e is None:
-            h = float(r.h0)
+def scorer(ttl_ms: int):
+    def score_rows(key, batches, state: GroupState):
+        """Keep the rows of one series; score those that the watermark has passed, in time order."""
+        (values, shocks, last_e, last_h, last_ts, last_id, seen, *waiting, model, ar, ma) = state.get if state.exists else FRESH
+        values, shocks, waiting, out = list(values), list(shocks), list(zip(*waiting)), []
+        for batch in batches:
+            batch = batch[batch["value"].notna()]
+            if len(batch):
+                first = batch.iloc[0]
+                model, ar, ma = [float(first[c]) for c in MODEL], [float(x) for x in first["ar"]], [float(x) for x in first["ma"]]
+                waiting += zip(batch["ts"].astype("datetime64[us]").astype("int64").tolist(), batch["event_id"].tolist(), batch["value"].tolist())
+        mark = state.getCurrentWatermarkMs()
+        waiting.sort()
+        ready = [r for r in waiting if r[0] // 1000 <= mark]
+        waiting = waiting[len(ready):]
+        for ts, event, value in ready:
+            if last_ts is not None and (ts, event) <= (last_ts, last_id):
+                out.append((key[0], ts, event, value, None, None, None, None, True))
+                continue
+            const, omega, alpha, gamma, beta, h0 = model
+            pred = None
+            if seen >= len(ar):
+                pred = const + sum(a * v for a, v in zip(ar, values)) + sum(b * e for b, e in zip(ma, shocks))
+            if last_e is None:
+                h = h0
+            else:
+                h = omega + (alpha + (gamma if last_e < 0 else 0.0)) * last_e * last_e + beta * last_h
+                h = h if h > 0 and math.isfinite(h) else None
+            sigma = math.sqrt(h) if h is not None else None
+            both = pred is not None and sigma is not None
+            out.append((key[0], ts, event, value, pred, sigma, pred - 1.96 * sigma if both else None, pred + 1.96 * sigma if both else None, False))
+            shock = value - pred if pred is not None else None
+            if shock is not None and h is not None:
+                last_e, last_h = shock, h
+            values = [value, *values][:max(len(ar), 1)]
+            shocks = [shock if shock is not None else 0.0, *shocks][:max(len(ma), 1)]
+            seen, last_ts, last_id = seen + 1, ts, event
+        if not waiting and (not seen or (state.hasTimedOut and not ready)):
+            state.remove()  # nothing to remember, or silent for the whole time to live
         else:
-            h = r.omega + (r.alpha + (r.gamma if last_e < 0 else 0.0)) * last_e * last_e + r.beta * last_h
-            h = float(h) if h > 0 and math.isfinite(h) else None
-        sigma = math.sqrt(h) if h is not None else None
-        both = pred is not None and sigma is not None
-        out.append((key[0], r.ts, r.event_id, value, pred, sigma, pred - 1.96 * sigma if both else None,
-                    pred + 1.96 * sigma if both else None, late))
-        shock = value - pred if pred is not None else None
-        if shock is not None and h is not None:
-            last_e, last_h = shock, h
-        values = [value, *values][:max(p, 1)]
-        shocks = [shock if shock is not None else 0.0, *shocks][:max(q, 1)]
-        seen, last_ts, last_id = seen + 1, int(stamp), int(r.event_id)
-    state.update((values, shocks, last_e, last_h, last_ts, last_id, seen, late))
-    yield pd.DataFrame(out, columns=[f.name for f in SCORED.fields])
+            state.update((values, shocks, last_e, last_h, last_ts, last_id, seen, *(map(list, zip(*waiting)) if waiting else ([], [], [])), model, ar, ma))
+            due = waiting[0][0] // 1000 if waiting else (last_ts // 1000 + ttl_ms)
+            state.setTimeoutTimestamp(max(due, mark + 1))
+        if out:
+            frame = pd.DataFrame(out, columns=[f.name for f in SCORED.fields])
+            frame["ts"] = pd.to_datetime(frame["ts"] * 1000)
+            for c in ("pred", "sigma", "lower_95", "upper_95"):
+                frame[c] = frame[c].astype("float64")
+            yield frame
+
+    return score_rows
 
 
-def online_scorer(stream: DataFrame, params: DataFrame, watermark: str = "1 hour") -> DataFrame:
+def online_scorer(stream: DataFrame, params: DataFrame, watermark: str = "1 hour", ttl_hours: int = 24 * 90) -> DataFrame:
     """Forecast, sigma and 95 percent band per streamed ``(series, ts, event_id, value)``.
 
     ``params`` is a static table per series with ``const, ar, ma`` (arrays of
-    the model's own order) and ``omega, alpha, gamma, beta, h0``.
+    the model's own order) and ``omega, alpha, gamma, beta, h0``. ``watermark`` is the disorder allowed for. The
+    state of a series without rows for ``ttl_hours`` is removed. Rows of series without parameters are not scored.
     """
-    joined = stream.withWatermark("ts", watermark).join(params, "series")
+    joined = stream.withWatermark("ts", watermark).join(params, "series", "left").where("value is null or h0 is not null")
     return joined.groupBy("series").applyInPandasWithState(
-        _score_rows, SCORED, STATE, "append", GroupStateTimeout.NoTimeout)
+        scorer(ttl_hours * 3_600_000), SCORED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_table(scored: DataFrame, path: str, checkpoint: str) -> None:

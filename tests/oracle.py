@@ -54,7 +54,7 @@ def compare(df, con, sql: str) -> str:
 def main(argv):
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     from panelloom.registry import load
-    from panelloom.session import local_session
+    from panelloom.session import local_session, release
 
     queries, oracles = load()
     names = argv[2:] or list(queries)
@@ -76,6 +76,7 @@ def main(argv):
         print(f"{'FAIL' if problem else 'ok  '} {name:28s} {time.time() - start:6.1f}s {problem or note}", flush=True)
         if problem:
             failed.append(name)
+        release(spark)
     print(f"{len(names) - len(failed)} of {len(names)} fine; failed: {failed}")
     return 1 if failed else 0
 
