@@ -10,6 +10,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from .common import arrow_map, chunks, column, durable, worker_cache
 
 SEGMENT_IDS = 1 << 21
 """Ids after which a segment is closed (a longer document is a segment of its own)."""
-MEMO_WORDS = 400_000
-"""Words whose ids a Python worker remembers; all others are encoded each time."""
+MEMO_WORDS, MEMO_CHARS = 200_000, 8
+"""Words whose ids a Python worker remembers, and how long they can be; all others are encoded each time."""
 MAGIC = b"EFTOKEN1"
 HEADER = "<8sQQQQqQQ"
 SAMPLE = 256
@@ -127,67 +128,91 @@ class Segment:
         return [None] * self.n_null + [self.least + d for d in self.docs.all().tolist()]
 
 
+def byte_characters() -> dict[int, str]:
+    """How the byte level writes each byte: printable ones of Latin-1 as they are, the others from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+class WordIds(dict):
+    """Ids of " word" by word, worked out when asked for the first time; short words are remembered.
+
+    A word of Latin letters, the punctuation at its end, a line feed after that and the like again are single pieces for
+    the tokenizer's model. Anything else goes to the tokenizer as it is.
+    """
+
+    LETTERS, MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+", "[!-/:-@\\[-`{-~]*"
+    PLAIN = re.compile(f"({LETTERS})({MARKS})(?:\n({LETTERS})({MARKS}))?")
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.model, self.characters = tokenizer, tokenizer.model, byte_characters()
+        self.code = "I" if tokenizer.get_vocab_size() > 1 << 16 else "H"
+        self.marks: dict[str, bytes] = {}
+
+    def direct(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def piece(self, text: str) -> bytes:
+        """Ids of a string that the pattern takes as one piece."""
+        shown = text.encode().decode("latin-1").translate(self.characters)
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def ending(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            ids = self.piece(marks)
+            if len(self.marks) >= 1000:
+                return ids
+            self.marks[marks] = ids
+        return self.marks[marks]
+
+    def __missing__(self, word: str) -> bytes:
+        plain = self.PLAIN.fullmatch(word)
+        if not plain:
+            ids = self.direct(" " + word)
+        else:
+            letters, marks, after, more = plain.groups()
+            if not marks and after is None:
+                ids = self.piece(" " + letters)
+            else:
+                ids = self[letters]
+                if marks:
+                    ids += self.ending(marks)
+                if after is not None:
+                    ids += self.ending("\n") + self.piece(after) + (self.ending(more) if more else b"")
+        if len(word) <= MEMO_CHARS and len(self) < MEMO_WORDS:
+            self[word] = ids
+        return ids
+
+
 class Encoder:
-    """Ids of whole texts, the same as the tokenizer gives, with words remembered.
+    """Ids of whole texts, the same as the tokenizer gives, word by word.
 
     The byte-level pattern never joins what stands before a single space between two other characters with what follows, so
-    a text without neighbouring white space is the ids of its first word and of " word" for all others. Any other text
-    goes to the tokenizer as it is.
+    a text without neighbouring white space is the ids of its first word and of " word" for all others.
     """
 
-    BLANK, BLANKS = re.compile(r"\s"), re.compile(r"\s\s")
+    BLANKS = re.compile(r"\s\s")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         cache = worker_cache(f"tokenizer {path}")
         if not cache:
-            cache.update(tokenizer=Tokenizer.from_file(path), memo={})
-        self.tokenizer, self.memo = cache["tokenizer"], cache["memo"]
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+            cache["words"] = WordIds(Tokenizer.from_file(path))
+        self.words: WordIds = cache["words"]
+        self.wide = self.words.code == "I"
         self.kind = np.dtype("<u4" if self.wide else "<u2")
 
-    def direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def words(self, words: list[str]) -> list[bytes]:
-        """Ids of " word" for each: one text with line feeds between, which are tokens of their own there."""
-        plain = [w for w in words if w and not self.BLANK.search(w)]
-        feed = int(np.frombuffer(self.direct(["\n"])[0], self.kind)[0])
-        out: dict[str, bytes] = {}
-        for at in range(0, len(plain), 2000):
-            some = plain[at : at + 2000]
-            ids = np.frombuffer(self.direct(["\n".join([" " + w for w in some]) + "\n"])[0], self.kind)
-            ends = np.flatnonzero(ids == feed).tolist()
-            data, size, start = ids.tobytes(), self.kind.itemsize, 0
-            for w, end in zip(some, ends, strict=True):
-                out[w] = data[start * size : end * size]
-                start = end + 1
-        odd = [w for w in words if not w or self.BLANK.search(w)]
-        out.update(zip(odd, self.direct([" " + w for w in odd])))
-        return [out[w] for w in words]
+    def ids(self, text: str) -> bytes:
+        if self.BLANKS.search(text):
+            return self.words.direct(text)
+        head, *rest = text.split(" ")
+        return self.words.direct(head) + b"".join(map(self.words.__getitem__, rest))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        done: list[bytes | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if self.BLANKS.search(t)]
-        for i, ids in zip(odd, self.direct([texts[i] for i in odd])):
-            done[i] = ids
-        easy = [i for i in range(len(texts)) if done[i] is None]
-        split = [texts[i].split(" ") for i in easy]
-        heads = self.direct([p[0] for p in split])
-        get = self.memo.get
-        for i, head, pieces in zip(easy, heads, split):
-            got = [*map(get, pieces)]
-            got[0] = head
-            done[i] = (got, pieces)
-        missing = list({p for i in easy for g, p in zip(*done[i]) if g is None})
-        fresh = dict(zip(missing, self.words(missing)))
-        for i in easy:
-            got, pieces = done[i]
-            done[i] = b"".join([fresh[p] if g is None else g for g, p in zip(got, pieces)] if None in got else got)
-        if len(self.memo) + len(fresh) <= MEMO_WORDS:
-            self.memo.update(fresh)
-        return [np.frombuffer(d, self.kind) for d in done]
+        return [np.frombuffer(self.ids(t), self.kind) for t in texts]
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_column: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
