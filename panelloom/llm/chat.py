@@ -41,13 +41,13 @@ def format_chats(turns: DataFrame, learn: str = "assistant", conv: str = "conv_i
     empty; repeated rows are turns of their own; rows without a conversation id form one conversation of id null; an
     empty table gives no rows. A conversation is one output value, so it is gathered whole; other columns are ignored.
     """
-    piece = F.struct(F.col(turn).alias("turn"), escaped_role(F.coalesce(F.col(role), F.lit(""))).alias("role"), escaped(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    piece = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     gathered = turns.groupBy(F.col(conv).alias("conv_id")).agg(F.array_sort(F.collect_list(piece)).alias("turns"))
     # Positions at which a block begins, then one slice of turns per block.
     begins = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (F.col("turns")[i]["role"] != F.col("turns")[F.greatest(i - 1, F.lit(0))]["role"]))
     marked = gathered.withColumn("begins", begins)
     blocks = F.transform("begins", lambda b, k: F.slice("turns", b + 1, F.coalesce(F.get("begins", k + 1), F.size("turns")) - b))
-    blocked = marked.withColumn("blocks", F.transform(blocks, lambda x: F.struct(x[0]["role"].alias("role"), F.transform(x, lambda t: t["text"]).alias("texts"))))
+    blocked = marked.withColumn("blocks", F.transform(blocks, lambda x: F.struct(escaped_role(x[0]["role"]).alias("role"), F.transform(x, lambda t: escaped(t["text"])).alias("texts"))))
     merged = F.transform("blocks", lambda x: F.concat(F.lit(OPEN), x["role"], F.lit(SHUT), F.array_join(x["texts"], NEXT), F.lit(END)))
     # Running offset over the turns: each turn has its text and the marker before it; a block's last turn also has the end.
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
@@ -56,7 +56,7 @@ def format_chats(turns: DataFrame, learn: str = "assistant", conv: str = "conv_i
         first = s["at"] + len(OPEN) + F.char_length(b["role"]) + len(SHUT)
         inner = F.aggregate(b["texts"], F.struct(first.alias("at"), s["spans"].alias("spans")), lambda q, t: F.struct(
             (q["at"] + F.char_length(t) + len(NEXT)).alias("at"),
-            F.when(b["role"] == learn, F.concat(q["spans"], F.array(F.struct(q["at"].alias("start"), (q["at"] + F.char_length(t)).alias("end"))))).otherwise(q["spans"]).alias("spans")))
+            F.when(b["role"] == escaped_role(F.lit(learn)), F.concat(q["spans"], F.array(F.struct(q["at"].alias("start"), (q["at"] + F.char_length(t)).alias("end"))))).otherwise(q["spans"]).alias("spans")))
         return F.struct((inner["at"] - len(NEXT) + len(END)).alias("at"), inner["spans"].alias("spans"))
 
     spans = F.aggregate("blocks", state, block_step, lambda s: s["spans"])

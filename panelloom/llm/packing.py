@@ -63,24 +63,26 @@ def pack(items: DataFrame, length: str, order: list[str], buckets: int = 8, budg
     the driver: its size is bounded by the longest text, not by the number of rows. Bounds are the optimum for
     ``buckets`` buckets. Inside a bucket, rows get gapless numbers and every ``max(1, budget // bucket_length)`` of
     them are a batch, so a batch padded to its bucket's length keeps the budget unless one row alone exceeds
-    it. ``batch`` numbers are gapless over all buckets. Null length counts as 0; no rows give no rows.
+    it. ``batch`` numbers are gapless over all buckets. Null length counts as 0; no rows give no rows; columns of ``items`` that
+    have the name of a new one are replaced.
     """
-    items = items.withColumn(length, F.coalesce(F.col(length), F.lit(0)))
+    items = items.drop("bucket", "bucket_length", "batch", "slot").withColumn(length, F.coalesce(F.col(length), F.lit(0)))
     rows = items.groupBy(length).agg(F.count("*").alias("n")).collect()
     histogram = sorted((r[0], r[1]) for r in rows)
     bounds = best_bounds([x for x, _ in histogram], [n for _, n in histogram], buckets) or [0]
-    pick, size, per, first = F.lit(len(bounds) - 1), F.lit(bounds[-1]), None, None
     start, plan = 0, []
     for k, top in enumerate(bounds):
         low = bounds[k - 1] if k else -1
         capacity = max(1, budget // max(1, top))
         plan.append((k, top, capacity, start))
         start += -(-sum(n for x, n in histogram if low < x <= top) // capacity)
+
     def choose(i: int):
         out = F.lit(plan[-1][i])
         for row in reversed(plan[:-1]):
             out = F.when(F.col(length) <= row[1], row[i]).otherwise(out)
         return out
+
     pick, size, per, first = choose(0), choose(1), choose(2), choose(3)
-    at = numbered(items.withColumn("bucket", pick.cast("int")), "bucket", order, "_at")
-    return at.select(*items.columns, "bucket", size.cast("long").alias("bucket_length"), (first + F.floor(F.col("_at") / per)).cast("long").alias("batch"), (F.col("_at") % per).cast("long").alias("slot"))
+    at = numbered(items.withColumn("bucket", pick.cast("int")), "bucket", order, "__at")
+    return at.select(*items.columns, "bucket", size.cast("long").alias("bucket_length"), (first + F.floor(F.col("__at") / per)).cast("long").alias("batch"), (F.col("__at") % per).cast("long").alias("slot"))
