@@ -7,7 +7,7 @@ from ..operators import arma as A
 from ..operators import volatility as V
 from ..plans import panels as P
 from ..session import durable
-from .base import SEG_MODEL, cross_products, query, rounded, swept
+from .base import SEG_MODEL, cross_products, dense, query, rounded, sweep_step, swept, weekly
 from .features import CREDIT, SHORT, arx_frame
 
 
@@ -122,7 +122,28 @@ def supplier_model(spark, sf):
     return chronological_split(diff(weekly, "level", "diff").filter(F.col("diff").isNotNull()))
 
 
-@query("arma_horizon_recursive")
+HORIZON = ["one", "y1", "e1", "e2", "y"]
+
+
+@query("arma_horizon_recursive", sql=f"""
+WITH RECURSIVE {CANDIDATES},
+hz AS (SELECT series, split, one, y, lag(y) OVER w AS y1, lag(e) OVER w AS e1, lag(e, 2) OVER w AS e2
+       FROM sh WINDOW w AS (PARTITION BY series ORDER BY week_end_date)),
+hm AS (SELECT series, count(*) AS n, {cross_products(HORIZON)} AS a FROM hz WHERE split = 'train' AND e2 IS NOT NULL AND y1 IS NOT NULL GROUP BY 1),
+{swept("hm", "hsw", 5, "4")},
+hp AS (SELECT hm.series, n, s.a[5] AS c, s.a[10] AS ar, s.a[15] AS m1, s.a[20] AS m2 FROM hm JOIN hsw AS s ON s.series = hm.series AND k = 4),
+hs AS (SELECT m.series, m.rn, m.week_end_date, m.split, m.diff AS y, hp.n, c, ar, m1, m2 FROM seg_model AS m JOIN hp USING (series)),
+hf AS (
+  SELECT series, rn, y, CAST(0 AS DOUBLE) AS e, CAST(0 AS DOUBLE) AS e1 FROM hs WHERE rn = 1
+  UNION ALL
+  SELECT hs.series, hs.rn, hs.y, hs.y - (c + ar * f.y + m1 * f.e + m2 * f.e1), f.e FROM hf AS f JOIN hs ON hs.series = f.series AND hs.rn = f.rn + 1),
+p1 AS (SELECT hs.*, f.e, f.e1, c + ar * hs.y + m1 * f.e + m2 * f.e1 AS s1 FROM hs JOIN hf AS f ON f.series = hs.series AND f.rn = hs.rn),
+p2 AS (SELECT *, c + ar * s1 + m2 * e AS s2 FROM p1), p3 AS (SELECT *, c + ar * s2 AS s3 FROM p2), p4 AS (SELECT *, c + ar * s3 AS s4 FROM p3),
+ah AS (SELECT *, lead(y, 1) OVER w AS a1, lead(y, 2) OVER w AS a2, lead(y, 3) OVER w AS a3, lead(y, 4) OVER w AS a4
+       FROM p4 WINDOW w AS (PARTITION BY series ORDER BY rn)),
+bo AS (SELECT series, week_end_date, split, 1 AS horizon, a1 AS actual, CASE WHEN n >= 80 THEN s1 END AS pred FROM ah
+       UNION ALL SELECT series, week_end_date, split, 4, a1 + a2 + a3 + a4, CASE WHEN n >= 80 THEN s1 + s2 + s3 + s4 END FROM ah)
+SELECT series, week_end_date, split, horizon, round(actual, 4) AS actual, round(pred, 4) AS pred FROM bo WHERE actual IS NOT NULL""")
 def arma_horizon(spark, sf):
     model = P.segment_model(spark, sf)
     params = A.arma_select(A.arma_candidates(model, "diff", is_train(), orders=[(1, 2)]))
@@ -245,14 +266,63 @@ def systems(spark, sf):
     return durable(chronological_split(wide.na.drop(), keys=("system",)))
 
 
-@query("var_lag_select")
+VAR_LAGS = 8
+VAR_X = ["one", *[f"{n}_{k}" for k in range(1, VAR_LAGS + 1) for n in SYSTEM_NAMES]]
+VAR_K, VAR_N = len(VAR_X), len(VAR_X) + len(SYSTEM_NAMES)
+
+
+def _own_lags(limit: str) -> str:
+    return ", ".join(f"CASE WHEN {k} <= {limit} THEN {n}_{k} ELSE 0 END AS {n}_{k}" for k in range(1, VAR_LAGS + 1) for n in SYSTEM_NAMES)
+
+
+# Lag orders by the log determinant of the residual products: the targets' own columns are swept after the lags.
+VAR_ORDERS = f"""sys_daily AS (
+  SELECT o_orderstatus || '|' || o_orderpriority AS series, CAST(o_orderdate AS DATE) AS d, avg(o_totalprice) AS value FROM orders GROUP BY 1, 2),
+{dense("sys_daily", "sys_dense")}, {weekly("sys_dense", "sys_weekly")},
+sdf AS (SELECT split_part(series, '|', 1) AS system, split_part(series, '|', 2) AS part, week_end_date,
+               level - lag(level) OVER (PARTITION BY series ORDER BY week_end_date) AS diff FROM sys_weekly),
+swd AS (SELECT system, week_end_date, {", ".join(f"max(CASE WHEN part = '{p}' THEN diff END) AS {n}" for p, n in SYSTEM_SERIES.items())}
+        FROM sdf WHERE diff IS NOT NULL GROUP BY 1, 2),
+snm AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY week_end_date) AS rn, count(*) OVER (PARTITION BY system) AS nn
+        FROM swd WHERE {" AND ".join(f"{n} IS NOT NULL" for n in SYSTEM_NAMES)}),
+svl AS (SELECT *, CASE WHEN rn <= floor(CAST(0.8 AS DOUBLE) * nn) THEN 'train' ELSE 'test' END AS split, CAST(1 AS DOUBLE) AS one,
+               {", ".join(f"lag({n}, {k}) OVER w AS {n}_{k}" for k in range(1, VAR_LAGS + 1) for n in SYSTEM_NAMES)}
+        FROM snm WINDOW w AS (PARTITION BY system ORDER BY week_end_date)),
+svm AS (SELECT system, count(*) AS n, {cross_products([*VAR_X, *SYSTEM_NAMES])} AS a FROM svl WHERE split = 'train' AND rn > {VAR_LAGS} GROUP BY 1),
+{swept("svm", "svs", VAR_N, str(VAR_K), keys="system, n")},
+sv0 AS (SELECT system, n, CAST((k - 1) / {len(SYSTEM_NAMES)} AS INTEGER) AS p, a FROM svs WHERE k > 1 AND (k - 1) % {len(SYSTEM_NAMES)} = 0 AND n > k),
+svd AS (
+  SELECT system, n, p, 0 AS j, CAST(0 AS DOUBLE) AS ld, a FROM sv0
+  UNION ALL
+  SELECT system, n, p, j + 1, ld + ln(a[({VAR_K} + j) * {VAR_N + 1} + 1]), {sweep_step("a", VAR_N, f"({VAR_K} + j)")} FROM svd WHERE j < {len(SYSTEM_NAMES)}),
+svo AS (SELECT system, arg_min(p, (ld - {len(SYSTEM_NAMES)} * ln(n) + 2.0 * (p * {len(SYSTEM_NAMES) ** 2} + {len(SYSTEM_NAMES)}) / n, p)) AS lag_order
+        FROM svd WHERE j = {len(SYSTEM_NAMES)} GROUP BY 1),
+ord AS (SELECT DISTINCT svl.system, coalesce(lag_order, 1) AS lag_order FROM svl LEFT JOIN svo USING (system))"""
+
+
+@query("var_lag_select", sql=f"WITH RECURSIVE {VAR_ORDERS} SELECT system, lag_order FROM svo")
 def var_lags(spark, sf):
     from ..operators import vector as Y
 
     return Y.var_lag_select(systems(spark, sf).filter(is_train()), SYSTEM_NAMES)
 
 
-@query("var_fit_static")
+@query("var_fit_static", sql=f"""
+WITH RECURSIVE {VAR_ORDERS},
+own AS (SELECT svl.system, one, {_own_lags("lag_order")}, {", ".join(SYSTEM_NAMES)} FROM svl JOIN ord USING (system) WHERE split = 'train' AND rn > lag_order),
+om AS (SELECT system, {cross_products([*VAR_X, *SYSTEM_NAMES])} AS a FROM own GROUP BY 1),
+{swept("om", "os", VAR_N, str(VAR_K), keys="system")},
+co AS (SELECT system, list_transform(range({len(SYSTEM_NAMES)}), lambda j: a[{VAR_K} + j + 1]) AS c0,
+              [{", ".join(f"list_transform(range({VAR_K - 1}), lambda i: a[(i + 1) * {VAR_N} + {VAR_K + j} + 1])" for j in range(len(SYSTEM_NAMES)))}] AS cl
+       FROM os WHERE k = {VAR_K}),
+te AS (SELECT system, max(rn) AS rn FROM svl WHERE split = 'train' GROUP BY 1),
+pa AS (
+  SELECT svl.system, svl.rn, nn, [{", ".join([*SYSTEM_NAMES, *[f"{n}_{k}" for k in range(1, VAR_LAGS) for n in SYSTEM_NAMES]])}] AS s
+  FROM svl JOIN te ON te.system = svl.system AND te.rn = svl.rn
+  UNION ALL
+  SELECT pa.system, rn + 1, nn, list_concat([{", ".join(f"c0[{j + 1}] + list_dot_product(cl[{j + 1}], s)" for j in range(len(SYSTEM_NAMES)))}], s[1:{(VAR_LAGS - 1) * len(SYSTEM_NAMES)}])
+  FROM pa JOIN co USING (system) WHERE rn < nn)
+{" UNION ALL ".join(f"SELECT svl.system, svl.week_end_date, '{n}' AS series, round({n}, 4) AS actual, round(s[{j + 1}], 4) AS pred FROM svl JOIN pa ON pa.system = svl.system AND pa.rn = svl.rn WHERE split = 'test'" for j, n in enumerate(SYSTEM_NAMES))}""")
 def var_static(spark, sf):
     from ..operators import vector as Y
 

@@ -60,19 +60,30 @@ def ljung_box(spark, sf):
 
 
 ARCH = ["one", *[f"q{k}" for k in range(1, 9)], "q"]
+SEG_V = SEG_MODEL + ", sv AS (SELECT series, week_end_date, diff AS v FROM seg_model)"
+
+
+def arch_ctes(src: str, p: str) -> str:
+    """``{p}(series, n, lm, f)`` of the rows of ``src(series, week_end_date, v)``."""
+    return f"""{p}sq AS (SELECT series, week_end_date, v * v AS v FROM {src} WHERE v IS NOT NULL),
+{p}st AS (SELECT series, week_end_date, (v - avg(v) OVER (PARTITION BY series)) / nullif(stddev_pop(v) OVER (PARTITION BY series), 0) AS q FROM {p}sq),
+{p}d AS (SELECT series, CAST(1 AS DOUBLE) AS one, q, {", ".join(f"lag(q, {k}) OVER w AS q{k}" for k in range(1, 9))} FROM {p}st {WIN}),
+{p}m AS (SELECT series, count(*) AS n, sum(q) AS sy, sum(q * q) AS syy, {cross_products(ARCH)} AS a FROM {p}d WHERE q8 IS NOT NULL AND q IS NOT NULL GROUP BY 1),
+{swept(f"{p}m", f"{p}sw", 10, "9")},
+{p}f AS (SELECT m.series, n, 1 - s.a[100] / (syy - sy * sy / n) AS r2 FROM {p}m AS m JOIN {p}sw AS s ON s.series = m.series AND k = 9),
+{p} AS (SELECT *, n * r2 AS lm, (r2 / 8) / ((1 - r2) / (n - 9)) AS f FROM {p}f WHERE n > 9)"""
+
+
+def lb12_ctes(value: str, src: str, p: str) -> str:
+    """``{p}(series, q)``: the portmanteau statistic at twelve lags."""
+    return f"""{_acf(value, src, 12, p + "a")},
+{p} AS (SELECT series, max(n) * (max(n) + 2) * sum(r * r / (n - lag)) AS q FROM {p}a GROUP BY 1)"""
 
 
 @query("arch_lm", sql=f"""
-WITH RECURSIVE {SEG_MODEL},
-sq AS (SELECT series, week_end_date, diff * diff AS v FROM seg_model),
-st AS (SELECT series, week_end_date, (v - avg(v) OVER (PARTITION BY series)) / stddev_pop(v) OVER (PARTITION BY series) AS q FROM sq),
-d AS (SELECT series, CAST(1 AS DOUBLE) AS one, q, {", ".join(f"lag(q, {k}) OVER w AS q{k}" for k in range(1, 9))} FROM st {WIN}),
-m AS (SELECT series, count(*) AS n, sum(q) AS sy, sum(q * q) AS syy, {cross_products(ARCH)} AS a FROM d WHERE q8 IS NOT NULL GROUP BY 1),
-{swept("m", "sw", 10, "9")},
-f AS (SELECT m.series, n, 1 - sw.a[100] / (syy - sy * sy / n) AS r2 FROM m JOIN sw ON sw.series = m.series AND k = 9),
-g AS (SELECT *, n * r2 AS lm, (r2 / 8) / ((1 - r2) / (n - 9)) AS f FROM f WHERE n > 9)
+WITH RECURSIVE {SEG_V}, {arch_ctes("sv", "ar")}
 SELECT series, n AS n_obs, round(lm, 6) AS lm_stat, round({chi2_p("lm", 8)}, 6) AS lm_pvalue, round(f, 6) AS f_stat,
-       round({f_p("f", 8, "(n - 9)")}, 6) AS f_pvalue FROM g""")
+       round({f_p("f", 8, "(n - 9)")}, 6) AS f_pvalue FROM ar""")
 def arch_lm(spark, sf):
     return rounded(D.arch_lm(P.segment_model(spark, sf), "diff"), 6)
 
@@ -83,55 +94,62 @@ ADF = ["one", "prev", *[f"d{k}" for k in range(1, ADF_MOST + 1)], "d"]
 ADF_N = len(ADF)
 
 
-def _adf_rows(limit: str) -> str:
-    lags = ", ".join(f"CASE WHEN {k} <= {limit} THEN coalesce(d{k}, 0) ELSE 0 END AS d{k}" for k in range(1, ADF_MOST + 1))
-    return f"SELECT series, {limit} AS top, CAST(1 AS DOUBLE) AS one, prev, d, {lags}"
+def adf_ctes(src: str, p: str) -> str:
+    """``{p}(series, stat, p, lag, n)`` of ``src(series, week_end_date, v)``."""
+    def used(limit, rows):
+        lags = ", ".join(f"CASE WHEN {k} <= {limit} THEN coalesce(d{k}, 0) ELSE 0 END AS d{k}" for k in range(1, ADF_MOST + 1))
+        return f"SELECT series, {limit} AS top, CAST(1 AS DOUBLE) AS one, prev, d, {lags} FROM {rows} WHERE t >= {limit} + 2"
+
+    return f"""{p}v AS (SELECT series, week_end_date, v, count(v) OVER p AS n, avg(v) OVER p AS mean, stddev_pop(v) OVER p AS sd
+      FROM {src} WHERE v IS NOT NULL WINDOW p AS (PARTITION BY series)),
+{p}y AS (SELECT series, week_end_date, (v - mean) / sd AS y, CAST(greatest(0, least(ceil(12 * pow(n / 100.0, 0.25)), floor(n / 2.0) - 2)) AS INTEGER) AS most
+      FROM {p}v WHERE sd > 0),
+{p}s AS (SELECT *, row_number() OVER w AS t, lag(y) OVER w AS prev, y - lag(y) OVER w AS d FROM {p}y {WIN}),
+{p}l AS (SELECT *, {", ".join(f"lag(d, {k}) OVER w AS d{k}" for k in range(1, ADF_MOST + 1))} FROM {p}s {WIN}),
+{p}c AS ({used("most", f"{p}l")}),
+{p}m AS (SELECT series, any_value(top) AS top, count(*) AS n, {cross_products(ADF)} AS a FROM {p}c GROUP BY 1),
+{swept(f"{p}m", f"{p}sw", ADF_N, str(ADF_N - 1))},
+{p}aic AS (SELECT m.series, k - 2 AS lag, n * ln(s.a[{ADF_N * ADF_N}] / n) + 2 * k AS aic FROM {p}m AS m JOIN {p}sw AS s USING (series) WHERE k >= 2 AND k - 2 <= top),
+{p}b AS (SELECT series, arg_min(lag, (aic, lag)) AS lag FROM {p}aic GROUP BY 1),
+{p}u AS ({used("lag", f"{p}l JOIN {p}b USING (series)")}),
+{p}m2 AS (SELECT series, any_value(top) AS lag, count(*) AS n, {cross_products(ADF)} AS a FROM {p}u GROUP BY 1),
+{swept(f"{p}m2", f"{p}sw2", ADF_N, str(ADF_N - 1))},
+{p}st AS (SELECT m.series, lag, n, s.a[{2 * ADF_N}] / sqrt(s.a[{ADF_N * ADF_N}] / (n - 2 - lag) * -s.a[{ADF_N + 2}]) AS stat
+       FROM {p}m2 AS m JOIN {p}sw2 AS s ON s.series = m.series AND k = {ADF_N - 1}),
+{p}z AS (SELECT *, CASE WHEN stat <= -1.61 THEN 2.1659 + 1.4412 * stat + 0.038269 * stat * stat
+             ELSE 1.7339 + 0.93202 * stat - 0.12745 * stat * stat - 0.010368 * stat * stat * stat END AS z FROM {p}st),
+{p} AS (SELECT series, stat, CASE WHEN stat > 2.74 THEN 1 WHEN stat < -18.83 THEN 0 ELSE {normal_cdf("z")} END AS p, lag, n FROM {p}z)"""
 
 
 @query("adf", sql=f"""
-WITH RECURSIVE {SEG_MODEL},
-v AS (SELECT series, week_end_date, diff AS v, count(*) OVER p AS n, avg(diff) OVER p AS mean, stddev_pop(diff) OVER p AS sd
-      FROM seg_model WINDOW p AS (PARTITION BY series)),
-y AS (SELECT series, week_end_date, (v - mean) / sd AS y, CAST(greatest(0, least(ceil(12 * pow(n / 100.0, 0.25)), floor(n / 2.0) - 2)) AS INTEGER) AS most
-      FROM v WHERE sd > 0),
-s AS (SELECT *, row_number() OVER w AS t, lag(y) OVER w AS prev, y - lag(y) OVER w AS d FROM y {WIN}),
-l AS (SELECT *, {", ".join(f"lag(d, {k}) OVER w AS d{k}" for k in range(1, ADF_MOST + 1))} FROM s {WIN}),
-c AS ({_adf_rows("most")} FROM l WHERE t >= most + 2),
-m AS (SELECT series, any_value(top) AS top, count(*) AS n, {cross_products(ADF)} AS a FROM c GROUP BY 1),
-{swept("m", "sw", ADF_N, str(ADF_N - 1))},
-aic AS (SELECT m.series, k - 2 AS lag, n * ln(sw.a[{ADF_N * ADF_N}] / n) + 2 * k AS aic FROM m JOIN sw USING (series) WHERE k >= 2 AND k - 2 <= top),
-best AS (SELECT series, arg_min(lag, (aic, lag)) AS lag FROM aic GROUP BY 1),
-u AS ({_adf_rows("lag")} FROM l JOIN best USING (series) WHERE t >= lag + 2),
-m2 AS (SELECT series, any_value(top) AS lag, count(*) AS n, {cross_products(ADF)} AS a FROM u GROUP BY 1),
-{swept("m2", "sw2", ADF_N, str(ADF_N - 1))},
-st AS (SELECT m2.series, lag, n, sw2.a[{2 * ADF_N}] / sqrt(sw2.a[{ADF_N * ADF_N}] / (n - 2 - lag) * -sw2.a[{ADF_N + 2}]) AS stat
-       FROM m2 JOIN sw2 ON sw2.series = m2.series AND k = {ADF_N - 1}),
-z AS (SELECT *, CASE WHEN stat <= -1.61 THEN 2.1659 + 1.4412 * stat + 0.038269 * stat * stat
-             ELSE 1.7339 + 0.93202 * stat - 0.12745 * stat * stat - 0.010368 * stat * stat * stat END AS z FROM st)
-SELECT series, round(stat, 6) AS adf_stat, round(CASE WHEN stat > 2.74 THEN 1 WHEN stat < -18.83 THEN 0 ELSE {normal_cdf("z")} END, 6) AS adf_pvalue,
-       CAST(lag AS BIGINT) AS lags_used, n AS n_used FROM z""")
+WITH RECURSIVE {SEG_V}, {adf_ctes("sv", "df")}
+SELECT series, round(stat, 6) AS adf_stat, round(p, 6) AS adf_pvalue, CAST(lag AS BIGINT) AS lags_used, n AS n_used FROM df""")
 def adf(spark, sf):
     # Sizing the lag columns reads the panel once more, so it is kept.
     return rounded(D.adf(durable(P.segment_model(spark, sf)), "diff"), 6)
 
 
-@query("kpss", sql=f"""
-WITH {SEG_MODEL},
-c AS (SELECT series, level - avg(level) OVER (PARTITION BY series) AS e, row_number() OVER w AS i, count(*) OVER (PARTITION BY series) AS n
-      FROM seg_model {WIN}),
-s AS (SELECT series, e, i, n, sum(e) OVER (PARTITION BY series ORDER BY i ROWS UNBOUNDED PRECEDING) AS cs FROM c),
-t AS (SELECT series, max(n) AS n, sum(e * e) AS ee, sum(cs * cs) AS ss, CAST(floor(pow(max(n), CAST(2 AS DOUBLE) / 9)) AS INTEGER) AS c FROM s GROUP BY 1),
-g AS (SELECT a.series, a.i - b.i AS k, sum(a.e * b.e) AS g FROM s a JOIN s b ON b.series = a.series AND b.i < a.i GROUP BY 1, 2),
-z AS (SELECT t.series, any_value(t.n) AS n, any_value(ee) AS ee, any_value(ss) AS ss, (any_value(ee) + 2 * sum(g)) / any_value(t.n) AS s0, 2 * sum(k * g) / any_value(t.n) AS s1
-      FROM t JOIN g ON g.series = t.series AND g.k <= t.c GROUP BY 1),
-l AS (SELECT *, CAST(least(n - 1, floor(1.1447 * pow(pow(s1 / s0, 2), CAST(1 AS DOUBLE) / 3) * pow(n, CAST(1 AS DOUBLE) / 3))) AS BIGINT) AS bw FROM z),
-v AS (SELECT l.series, any_value(n) AS n, any_value(ss) AS ss, any_value(bw) AS bw,
+def kpss_ctes(src: str, p: str) -> str:
+    """``{p}(series, n, st, bw, p)`` of ``src(series, week_end_date, v)``."""
+    return f"""{p}c AS (SELECT series, v - avg(v) OVER (PARTITION BY series) AS e, row_number() OVER w AS i, count(*) OVER (PARTITION BY series) AS n
+      FROM {src} WHERE v IS NOT NULL {WIN}),
+{p}s AS (SELECT series, e, i, n, sum(e) OVER (PARTITION BY series ORDER BY i ROWS UNBOUNDED PRECEDING) AS cs FROM {p}c),
+{p}t AS (SELECT series, max(n) AS n, sum(e * e) AS ee, sum(cs * cs) AS ss, CAST(floor(pow(max(n), CAST(2 AS DOUBLE) / 9)) AS INTEGER) AS c FROM {p}s GROUP BY 1),
+{p}g AS (SELECT a.series, a.i - b.i AS k, sum(a.e * b.e) AS g FROM {p}s a JOIN {p}s b ON b.series = a.series AND b.i < a.i GROUP BY 1, 2),
+{p}z AS (SELECT t.series, any_value(t.n) AS n, any_value(ee) AS ee, any_value(ss) AS ss, (any_value(ee) + 2 * sum(g)) / any_value(t.n) AS s0, 2 * sum(k * g) / any_value(t.n) AS s1
+      FROM {p}t AS t JOIN {p}g AS g ON g.series = t.series AND g.k <= t.c GROUP BY 1),
+{p}l AS (SELECT *, CAST(least(n - 1, floor(1.1447 * pow(pow(s1 / s0, 2), CAST(1 AS DOUBLE) / 3) * pow(n, CAST(1 AS DOUBLE) / 3))) AS BIGINT) AS bw FROM {p}z),
+{p}v AS (SELECT l.series, any_value(n) AS n, any_value(ss) AS ss, any_value(bw) AS bw,
       (any_value(ee) + 2 * coalesce(sum((1 - g.k / (l.bw + 1.0)) * g.g), 0)) / any_value(n) AS lr
-      FROM l LEFT JOIN g ON g.series = l.series AND g.k <= l.bw GROUP BY 1),
-f AS (SELECT series, n, bw, ss / (CAST(n AS DOUBLE) * n) / lr AS st FROM v)
-SELECT series, n AS n_obs, round(st, 6) AS kpss_stat, bw AS bandwidth,
-  round(CASE WHEN st <= 0.347 THEN 0.1 WHEN st >= 0.739 THEN 0.01 WHEN st < 0.463 THEN 0.1 - (st - 0.347) * 0.05 / 0.116
-        WHEN st < 0.574 THEN 0.05 - (st - 0.463) * 0.025 / 0.111 ELSE 0.025 - (st - 0.574) * 0.015 / 0.165 END, 6) AS kpss_pvalue FROM f""")
+      FROM {p}l AS l LEFT JOIN {p}g AS g ON g.series = l.series AND g.k <= l.bw GROUP BY 1),
+{p}f AS (SELECT series, n, bw, ss / (CAST(n AS DOUBLE) * n) / lr AS st FROM {p}v),
+{p} AS (SELECT *, CASE WHEN st <= 0.347 THEN 0.1 WHEN st >= 0.739 THEN 0.01 WHEN st < 0.463 THEN 0.1 - (st - 0.347) * 0.05 / 0.116
+        WHEN st < 0.574 THEN 0.05 - (st - 0.463) * 0.025 / 0.111 ELSE 0.025 - (st - 0.574) * 0.015 / 0.165 END AS p FROM {p}f)"""
+
+
+@query("kpss", sql=f"""
+WITH {SEG_MODEL}, lv AS (SELECT series, week_end_date, level AS v FROM seg_model), {kpss_ctes("lv", "kp")}
+SELECT series, n AS n_obs, round(st, 6) AS kpss_stat, bw AS bandwidth, round(p, 6) AS kpss_pvalue FROM kp""")
 def kpss(spark, sf):
     return rounded(D.kpss(P.segment_model(spark, sf), "level"), 6)
 
@@ -156,7 +174,21 @@ def verdict(spark, sf):
                     D.stationarity_label(F.col("rn"), F.col("a"), F.col("b")).alias("stationarity_reading"))
 
 
-@query("stationarity_table")
+@query("stationarity_table", sql=f"""
+WITH RECURSIVE {SEG_MODEL},
+bv AS (SELECT series || '|level' AS series, week_end_date, level AS v FROM seg_model
+       UNION ALL SELECT series || '|weekly change', week_end_date, diff FROM seg_model),
+{kpss_ctes("bv", "kp")}, {adf_ctes("bv", "df")},
+j AS (SELECT kp.series, kp.n AS n_obs, stat, df.p AS ap, st, kp.p AS pp FROM kp LEFT JOIN df ON df.series = kp.series)
+SELECT split_part(series, '|', 1) AS series, split_part(series, '|', 2) AS variable, n_obs,
+       round(CASE WHEN n_obs >= 20 THEN stat END, 6) AS adf_stat, round(CASE WHEN n_obs >= 20 THEN ap END, 6) AS adf_pvalue,
+       round(CASE WHEN n_obs >= 20 THEN st END, 6) AS kpss_stat, round(CASE WHEN n_obs >= 20 THEN pp END, 6) AS kpss_pvalue,
+       CASE WHEN n_obs < 20 THEN 'Too few observations'
+            WHEN ap < 0.05 AND pp > 0.05 THEN 'Stationary by both ADF and KPSS'
+            WHEN ap < 0.05 THEN 'Mixed: ADF rejects unit root, KPSS rejects stationarity'
+            WHEN pp > 0.05 THEN 'Mixed: ADF does not reject unit root, KPSS does not reject stationarity'
+            ELSE 'Likely non-stationary / weak evidence of stationarity' END AS stationarity_reading
+FROM j""")
 def stationarity(spark, sf):
     m = durable(P.segment_model(spark, sf))
     both = D.stationarity_verdict(m, "level", "level").unionByName(D.stationarity_verdict(m, "diff", "weekly change"))
@@ -309,7 +341,33 @@ def moments(spark, sf):
     return rounded(m.select("series", "z.at.i", "z.at.j", "z.value"), 3)
 
 
-@query("residual_diagnostics")
+def dependence_sql(src: str, label: str) -> tuple[str, str, str]:
+    """CTEs, columns and joins (on alias t) of the dependence tests of ``src(series, week_end_date, v)``."""
+    ctes = f"""{lb12_ctes("v", src, "lb")}, {lb12_ctes("v * v", src, "ls")}, {arch_ctes(src, "ar")},
+jc AS (SELECT series, v - avg(v) OVER (PARTITION BY series) AS x FROM {src}),
+jm AS (SELECT series, count(*) AS n, avg(x * x) AS m2, avg(x * x * x) AS m3, avg(x * x * x * x) AS m4 FROM jc GROUP BY 1),
+jb AS (SELECT series, n / 6.0 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4) AS jb FROM jm)"""
+    columns = f"""round(exp(-jb / 2), 6) AS jb_pvalue, round({chi2_p("lb.q", 12)}, 6) AS lb_{label}_pvalue_lag12,
+       round({chi2_p("ls.q", 12)}, 6) AS lb_sq_{label}_pvalue_lag12, round({chi2_p("ar.lm", 8)}, 6) AS arch_lm_pvalue"""
+    return ctes, columns, "JOIN jb USING (series) JOIN lb USING (series) JOIN ls USING (series) LEFT JOIN ar USING (series)"
+
+
+RESID = dependence_sql("rv", "resid")
+
+
+@query("residual_diagnostics", sql=f"""
+WITH RECURSIVE {SEG_MODEL},
+lg AS (SELECT series, week_end_date, diff, lag(diff) OVER w AS p FROM seg_model WHERE split = 'train' {WIN}),
+ft AS (SELECT series, count(*) AS n, regr_slope(diff, p) AS phi, regr_intercept(diff, p) AS c FROM lg WHERE p IS NOT NULL GROUP BY 1),
+rv AS (SELECT series || '|AR(1)' AS series, week_end_date, diff - c - phi * p AS v FROM lg JOIN ft USING (series) WHERE p IS NOT NULL
+       UNION ALL SELECT series || '|Random Walk', week_end_date, diff FROM lg),
+cr AS (SELECT split_part(series, '|', 1) AS series, count(*) AS n, sum(v * v) AS ssr FROM rv WHERE series LIKE '%|AR(1)' GROUP BY 1),
+ic AS (SELECT series || '|AR(1)' AS series, n * (ln(2 * pi() * ssr / n) + 1) + 6 AS aic, n * (ln(2 * pi() * ssr / n) + 1) + 3 * ln(n) AS bic FROM cr),
+t AS (SELECT series, avg(v) AS m, stddev_samp(v) AS s FROM rv GROUP BY 1),
+{RESID[0]}
+SELECT split_part(series, '|', 1) AS series, split_part(series, '|', 2) AS model, round(m / 1e3, 6) AS resid_mean, round(s / 1e3, 6) AS resid_std,
+       {RESID[1]}, round(aic, 6) AS aic, round(bic, 6) AS bic
+FROM t {RESID[2]} LEFT JOIN ic USING (series)""")
 def residual_diagnostics(spark, sf):
     model = durable(P.segment_model(spark, sf))
     train = model.filter(F.col("split") == "train")
@@ -319,9 +377,19 @@ def residual_diagnostics(spark, sf):
              .filter(F.col("resid").isNotNull()).select("series", "model", "week_end_date", "resid"))
     zero = (M.zero_change_forecast(train, "diff").withColumn("model", F.lit("Random Walk"))
             .select("series", "model", "week_end_date", "resid"))
-    return rounded(D.residual_diagnostics(resid.unionByName(zero), fit), 6)
+    out = D.residual_diagnostics(resid.unionByName(zero), fit)
+    return rounded(out.withColumns({c: F.col(c) / 1e3 for c in ("resid_mean", "resid_std")}), 6)
+
+
+EDA = dependence_sql("sv", "change")
 
 
-@query("eda_summary")
+@query("eda_summary", sql=f"""
+WITH RECURSIVE {SEG_V},
+t AS (SELECT series, count(v) AS n_obs, avg(v) AS m, stddev_samp(v) AS s, skewness(v) AS sk, kurtosis(v) AS ku FROM sv GROUP BY 1),
+{EDA[0]}
+SELECT series, n_obs, round(m / 1e3, 6) AS mean, round(s / 1e3, 6) AS std, round(sk, 6) AS skewness, round(ku, 6) AS kurtosis, {EDA[1]}
+FROM t {EDA[2]}""")
 def eda(spark, sf):
-    return rounded(D.eda_summary(P.segment_model(spark, sf), "diff"), 6)
+    out = D.eda_summary(durable(P.segment_model(spark, sf)), "diff")
+    return rounded(out.withColumns({c: F.col(c) / 1e3 for c in ("mean", "std")}), 6)
