@@ -42,7 +42,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     return w.select("source", "source_size", F.least("_cap", F.coalesce(F.col("_level") * F.col("_w"), F.col("_cap"))).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, source: str = "source", keep: list[str] = ("doc_id",), text: str = "text") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, source: str = "source", keep: list[str] = ("doc_id",), text: str = "text", told_by: tuple[str, ...] = ()) -> DataFrame:
     """How many words of each document the mix takes: whole documents, none, once or repeated.
 
     Every source gets ``floor(target / size)`` rounds of all its documents, and a last round of those whose hash
@@ -52,11 +52,11 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     most 4096 a source, or the few hashes of one bucket in 2**24. A larger budget only raises the threshold, so mixes are nested.
 
     Returns ``keep``, size, source, source_size, target, taken and copies (times the document is taken). Documents are
-    told apart by ``keep`` and text; equal rows are taken alike. Null text has size 0; null source is
+    told apart by the columns ``told_by`` (default: ``keep`` and text); equal rows are taken alike. Null text has size 0; null source is
     a source; a document without words is taken 0 words, in as many copies as its hash says. An empty table gives no rows.
     """
     keep = list(keep)
-    base = durable(docs.select(*keep, F.col(source).alias("source"), word_count(text).alias("size"), hash60(*keep, text).alias("_h")))
+    base = durable(docs.select(*keep, F.col(source).alias("source"), word_count(text).alias("size"), hash60(*(told_by or [*keep, text])).alias("_h")))
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = durable(source_targets(sizes, weights, share, most))
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
@@ -81,7 +81,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
 def mixed_documents(docs: DataFrame, columns: list[str], **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken; a source without words keeps its documents once."""
     keyed = docs.withColumn("_key", F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "text")])))
-    plan = mix_sources(keyed, keep=["_key"], **options)
+    plan = mix_sources(keyed, keep=["_key"], told_by=("doc_id", "text"), **options)
     times = plan.groupBy("_key", "source").agg(F.max(F.when(F.col("source_size") == 0, 1).otherwise(F.col("copies"))).alias("_copies")).where("_copies > 0")
     joined = keyed.withColumnRenamed("source", "_source").join(times.withColumnRenamed("source", "_s").withColumnRenamed("_key", "_k"), (F.col("_key") == F.col("_k")) & F.col("_source").eqNullSafe(F.col("_s")))
     repeated = joined.withColumnRenamed("_source", "source").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
