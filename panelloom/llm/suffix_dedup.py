@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, chunks, column, durable, mix64, prefix_hashes, texts_of
+from .common import arrow_map, chunks, column, discard, durable, mix64, prefix_hashes, texts_of
 
 GRAM = 32
 SHALLOW, PIECE = 64, 8
@@ -197,6 +197,7 @@ def repeated_spans(docs: DataFrame, keys: list[str], text: str, length: int) ->
     every = durable(arrow_map(long_enough, find, f"{key_fields}, at long, gram long, context long"))
     twice = durable(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     shared = durable(every.join(twice, "gram"))
+    discard(every)
     # One occurrence of each distinct context brings its bytes; the number of its occurrences goes along.
     distinct = shared.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct(*keys, "at")).alias("first"))
     wanted = distinct.select("first.*", "gram", "context", "n").groupBy(*keys).agg(F.collect_list(F.struct("at", "gram", "context", "n")).alias("cuts"))
@@ -234,7 +235,10 @@ def repeated_spans(docs: DataFrame, keys: list[str], text: str, length: int) ->
     usual = contexts.join(crowded, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram")
     reach = arrow_map(usual, compare, found).unionByName(by_window(contexts.join(crowded, "gram"), length))
     ranges = shared.join(reach, ["gram", "context"]).select(*keys, F.struct((F.col("at") - F.col("before")).alias("start"), (F.col("at") + F.col("after")).alias("end")).alias("range"))
-    return durable(ranges.groupBy(*keys).agg(F.array_sort(F.collect_set("range")).alias("ranges")))
+    out = durable(ranges.groupBy(*keys).agg(F.array_sort(F.collect_set("range")).alias("ranges")))
+    for used in (twice, shared, contexts, crowded):
+        discard(used)
+    return out
 
 
 def by_window(contexts: DataFrame, length: int) -> DataFrame:
@@ -290,12 +294,12 @@ def remove_repeats(docs: DataFrame, keep: list[str], length: int = 200, id_colum
     rest stays valid UTF-8. Null text counts as empty and
     repeated rows are occurrences of their own; texts shorter than ``length`` bytes lose nothing; an empty table gives no rows.
     """
-    base = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"), F.xxhash64(id_column, text).alias("_k1"), F.xxhash64(F.lit(1), text).alias("_k2"))
-    spans = repeated_spans(base, ["_k1", "_k2"], "_text", length)
+    base = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"), F.xxhash64(id_column, text).alias("__k1"), F.xxhash64(F.lit(1), text).alias("__k2"))
+    spans = repeated_spans(base, ["__k1", "__k2"], "__text", length)
 
     def cut(batches):
         for batch in batches:
-            texts, ranges = texts_of(batch, "_text"), column(batch, "ranges")
+            texts, ranges = texts_of(batch, "__text"), column(batch, "ranges")
             for part in chunks(texts):
                 runs = [merged(r or []) for r in ranges[part]]
                 runs = [inside_characters(t, r) for t, r in zip(texts[part], runs)] if characters else runs
@@ -307,5 +311,5 @@ def remove_repeats(docs: DataFrame, keep: list[str], length: int = 200, id_colum
                 yield pa.RecordBatch.from_arrays([*cols, pa.array([len(t) for t in texts[part]], pa.int64()), pa.array([[{"start": s, "end": e} for s, e in own] for own in runs], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(left, pa.binary())], names=[*keep, "n_bytes", "spans", "kept"])
 
     fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    joined = base.join(spans, ["_k1", "_k2"], "left").select(*keep, "_text", "ranges")
+    joined = base.join(spans, ["__k1", "__k2"], "left").select(*keep, "__text", "ranges")
     return arrow_map(joined, cut, f"{fields}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
