@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..session import durable
+from .. import session
 
 CHUNK_BYTES = 1 << 21
 """Text bytes that one vectorised step inside a task looks at together (a longer text is a step of its own)."""
@@ -32,6 +32,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder; the shuffle files it took are given back as soon as it is written."""
+    df.sparkSession.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return session.durable(df)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of a ``durable`` frame that nothing reads any more."""
+    spark, files = df.sparkSession, df.inputFiles()
+    if files:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on unsigned 64-bit values."""
     x = x ^ (x >> np.uint64(33))
@@ -174,14 +188,14 @@ def numbered(df: DataFrame, key: str, order: list[str], out: str, per_bin: int =
     task holds a key. Equal rows are interchangeable. ``df`` must be cheap to read twice.
     """
     bins = max(1, df.count() // per_bin)
-    df = df.withColumn("_bin", F.pmod(F.xxhash64(*order), F.lit(bins)))
-    sizes = df.groupBy(key, "_bin").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col(key).alias("_key"), F.col("_bin").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    own = Window.partitionBy(key, "_bin").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    numbers = df.withColumn("_rank", F.row_number().over(own) - 1)
-    joined = numbers.join(offsets, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_bin") == F.col("_b")))
-    return joined.withColumn(out, F.col("_offset") + F.col("_rank")).drop("_bin", "_rank", "_key", "_b", "_offset")
+    df = df.withColumn("__bin", F.pmod(F.xxhash64(*order), F.lit(bins)))
+    sizes = df.groupBy(key, "__bin").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(key).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col(key).alias("__key"), F.col("__bin").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    own = Window.partitionBy(key, "__bin").orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    numbers = df.withColumn("__rank", F.row_number().over(own) - 1)
+    joined = numbers.join(offsets, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__bin") == F.col("__b")))
+    return joined.withColumn(out, F.col("__offset") + F.col("__rank")).drop("__bin", "__rank", "__key", "__b", "__offset")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -207,7 +221,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     e, mark = settle(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
     while mark[0]:
+        before = e
         e, new = settle(stars(stars(e, False).where("u > v").distinct(), True))
+        discard(before)
         if new == mark:
             break
         mark = new

@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_map, chunks, column, components, durable, lists, mix64, texts_of
+from .common import Words, arrow_map, chunks, column, components, discard, durable, lists, mix64, texts_of
 
-MU = 0.0085
-"""Weight of a binary probe against a step of the merge, as the method's authors measured it."""
-BLOCK_SHINGLES = 1 << 20
+PROBE = 0.05
+"""Cost of a binary probe (made in bulk) against that of a step of the heap merge: what decides how many lists are set apart."""
+BLOCK_SHINGLES = 1 << 21
 """Shingles of the documents that one search looks at together."""
 EPS = 1e-9
 
@@ -96,7 +96,7 @@ class Lists:
         """``(docs, overlaps)`` of the sets that share at least ``least`` shingles with the query.
 
         DivideSkip: the L longest lists are set apart; the others are merged with a heap, and a set that occurs in ``least - L`` of
-        them is looked up in the long ones by binary search.
+        them is looked up in the long ones by binary search. L is the one of least estimated cost.
         """
         none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.keys, query), len(self.keys) - 1)
@@ -105,8 +105,10 @@ class Lists:
         if len(own) < least:
             return none
         own = own[np.argsort(self.lengths[own], kind="stable")]
-        longest = int(self.lengths[own[-1]])
-        apart = min(least - 1, int(least / (MU * math.log2(longest + 1) + 1)))
+        # Merging the k shortest lists takes as many steps as they have entries, and leaves at most steps / need sets to probe.
+        k = np.arange(len(own) - least + 1, len(own) + 1)
+        steps, need = np.cumsum(self.lengths[own])[k - 1], least - len(own) + k
+        apart = len(own) - int(k[np.argmin(steps * (1 + PROBE * (len(own) - k) / need))])
         short, long = own[: len(own) - apart], own[len(own) - apart :]
         runs = [self.docs[a : a + n].tolist() for a, n in zip(self.starts[short].tolist(), self.lengths[short].tolist())]
         found = [(d, k) for d, k in ((d, sum(1 for _ in g)) for d, g in groupby(heapq.merge(*runs))) if k >= least - apart]
@@ -124,62 +126,91 @@ class Lists:
 
 def distances(index: Lists, query: np.ndarray, similarity: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(docs, overlaps, distance)`` of the sets of at least this similarity to the query."""
-    docs, overlap = index.search(query, math.ceil(similarity * len(query)))
+    # The overlap that a partner of the least possible size needs.
+    smallest = max(math.ceil(similarity * len(query)), int(index.sizes.min()))
+    docs, overlap = index.search(query, math.ceil(similarity * (len(query) + smallest) / (1 + similarity)))
     union = len(query) + index.sizes[docs] - overlap
     near = overlap * similarity.denominator >= union * similarity.numerator
     docs, overlap, union = docs[near], overlap[near], union[near]
     return docs, overlap, 1 - overlap / np.maximum(union, 1)
 
 
-def links_among(ids: list[int], sets: list[np.ndarray], similarity: Fraction) -> list[tuple[int, int]]:
-    """Links that connect all sets which chains of similar sets connect; at most one per set and search."""
+def links_among(ids: list[int], sets: list[np.ndarray], similarity: Fraction, classes: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that join all sets which chains of similar sets join: a spanning forest, so fewer links than sets.
+
+    ``classes``: sets of one class are known to be joined already.
+
+    Sets that share most with all others search first. Two things spare searches. Links between classes are found from
+    either side, so members of the largest class need none once all others have searched. And what is so
+    near to a leader that nothing outside the leader's ball is in its reach is done.
+    """
     wider = max(2 * similarity - 1, Fraction(1, 10**6))
     reach = float(1 - similarity)
-    out = []
-    index, members = Lists(sets), np.arange(len(sets))
-    gone = np.zeros(len(ids), bool)
-    for leader in range(len(ids)):
-        if gone[leader]:
-            continue
-        docs, _, far = distances(index, sets[leader], wider)
+    n, out = len(ids), []
+    index, members = Lists(sets), np.arange(n)
+    shared = np.bincount(np.repeat(np.arange(n), index.sizes), weights=index.lengths[np.searchsorted(index.keys, np.concatenate(sets))], minlength=n)
+    gone, root, size = np.zeros(n, bool), np.arange(n), np.ones(n, np.int64)
+    if classes is not None:
+        _, first, inverse = np.unique(np.array(classes), return_index=True, return_inverse=True)
+        root = first[inverse]
+        size = np.bincount(root, minlength=n)
+    waiting = np.argsort(-shared, kind="stable")
+    while len(waiting):
+        largest = int(np.argmax(size))
+        outside = root[waiting] != largest
+        if not outside.any():
+            # Whatever is outside the largest class has searched: no link into it is left to find.
+            break
+        leader = int(waiting[np.argmax(outside)]) if size[largest] > 1 else int(waiting[0])
+        waiting = waiting[waiting != leader]
+        # Most sets have no partner: the wider search is for those that have, to know what lies just outside their ball.
+        docs, _, far = distances(index, sets[leader], similarity)
+        if len(docs) > 1:
+            docs, _, far = distances(index, sets[leader], wider)
         docs = members[docs]
         other = (docs != leader) & ~gone[docs]
         docs, far = docs[other], far[other]
         ball = far <= reach + EPS
-        out += [(ids[leader], ids[d]) for d in docs[ball].tolist()]
+        for d in docs[ball].tolist():
+            a, b = root[leader], root[d]
+            if a != b:
+                out.append((ids[leader], ids[d]))
+                root[root == b] = a
+                size[a], size[b] = size[a] + size[b], 0
         shell = far[~ball].min() if (~ball).any() else (2.0 if wider > Fraction(1, 10**6) else reach)
         gone[docs[ball & (far < shell - reach - EPS)]] = True
         gone[leader] = True
+        waiting = waiting[~gone[waiting]]
         if 2 * (~gone[members]).sum() < len(members) > 64 and not gone.all():
             members = np.flatnonzero(~gone)
             index = Lists([sets[m] for m in members])
     return out
 
 
-def shingle_table(docs: DataFrame, words: int, id_column: str, text: str) -> DataFrame:
-    """``(doc_id, set)`` of each document, words lower-cased (A-Z)."""
+def shingle_table(docs: DataFrame, words: int, id_column: str, text: str, bands: Bands) -> DataFrame:
+    """``(doc_id, set, band)`` of each document, words lower-cased (A-Z)."""
     def run(batches):
         for batch in batches:
             texts, ids = texts_of(batch, text), batch.column(batch.schema.get_field_index("doc_id"))
             for part in chunks(texts):
                 sets = Words(texts[part], lower=True).shingles(words)
-                yield pa.RecordBatch.from_arrays([ids.slice(part.start, part.stop - part.start), lists([s.view(np.int64) for s in sets], pa.int64())], names=["doc_id", "set"])
+                yield pa.RecordBatch.from_arrays([ids.slice(part.start, part.stop - part.start), lists([s.view(np.int64) for s in sets], pa.int64()), pa.array([bands.band(len(s)) if len(s) else -1 for s in sets], pa.int32())], names=["doc_id", "set", "band"])
 
-    return arrow_map(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias(text)), run, "doc_id long, set array<long>")
+    return arrow_map(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias(text)), run, "doc_id long, set array<long>, band int")
 
 
-def grouped_rows(batches, keys: list[str]):
-    """Rows (tuples) of consecutive equal keys; sets come as sorted unsigned arrays."""
+def grouped_rows(batches, keys: list[str], more: list[str] = ()):
+    """Rows (doc, *more, set) of consecutive equal keys; sets come as sorted unsigned arrays."""
     def rows():
         for batch in batches:
             sets = batch.column(batch.schema.get_field_index("set"))
             offsets, flat = sets.offsets.to_numpy(), sets.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            others = [column(batch, c) for c in [*keys, "doc"]]
+            others = [column(batch, c) for c in [*keys, "doc", *more]]
             for k, row in enumerate(zip(*others)):
-                yield row[:-1], row[-1], flat[offsets[k] : offsets[k + 1]].copy()
+                yield row[: len(keys)], (*row[len(keys) :], flat[offsets[k] : offsets[k + 1]].copy())
 
     for key, group in groupby(rows(), key=lambda r: r[0]):
-        yield key, [(d, s) for _, d, s in group]
+        yield key, [r for _, r in group]
 
 
 def jaccard_classes(docs: DataFrame, words: int = 5, similarity: str = "0.8", id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -200,37 +231,42 @@ def jaccard_classes(docs: DataFrame, words: int = 5, similarity: str = "0.8", id
     s = Fraction(similarity)
     bands = Bands(s)
 
-    def sketch(batches):
-        for batch in batches:
-            texts, ids = texts_of(batch, text), batch.column(batch.schema.get_field_index("doc_id"))
-            for part in chunks(texts):
-                sets = Words(texts[part], lower=True).shingles(words)
-                first = [int(mix64(x ^ np.uint64(0xE7037ED1A0B428DB)).sum(dtype=np.uint64)) for x in sets]
-                second = [int(mix64(x * np.uint64(0x8EBC6AF09C88C6E3)).sum(dtype=np.uint64)) for x in sets]
-                yield pa.RecordBatch.from_arrays([
-                    ids.slice(part.start, part.stop - part.start), pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array(np.array(first, np.uint64).view(np.int64)), pa.array(np.array(second, np.uint64).view(np.int64)),
-                    lists([signatures(x, bands) for x in sets], pa.int64())], names=["doc_id", "n", "k1", "k2", "signatures"])
-
+    def sketch(signed: bool):
+        def run(batches):
+            for batch in batches:
+                texts, ids = texts_of(batch, text), batch.column(batch.schema.get_field_index("doc_id"))
+                for part in chunks(texts):
+                    sets = Words(texts[part], lower=True).shingles(words)
+                    first = [int(mix64(x ^ np.uint64(0xE7037ED1A0B428DB)).sum(dtype=np.uint64)) for x in sets]
+                    second = [int(mix64(x * np.uint64(0x8EBC6AF09C88C6E3)).sum(dtype=np.uint64)) for x in sets]
+                    cols = [ids.slice(part.start, part.stop - part.start), pa.array([len(x) for x in sets], pa.int64()),
+                            pa.array(np.array(first, np.uint64).view(np.int64)), pa.array(np.array(second, np.uint64).view(np.int64))]
+                    if signed:
+                        cols.append(lists([signatures(x, bands) for x in sets], pa.int64()))
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "k1", "k2", "signatures"][: len(cols)])
+        return run
+
+    # Texts are hashed twice, so that no table holds the signatures of copies.
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text))
-    table = durable(arrow_map(texts, sketch, "doc_id long, n long, k1 long, k2 long, signatures array<long>"))
+    fields = "doc_id long, n long, k1 long, k2 long"
+    table = durable(arrow_map(texts, sketch(False), fields))
+    signed = arrow_map(texts, sketch(True), f"{fields}, signatures array<long>").where("n > 0 and doc_id is not null")
+    distinct = durable(signed.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("signatures").alias("signatures")))
     known = table.where("n > 0 and doc_id is not null")
-    equal = known.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    copies = durable(known.select("doc_id", "n", "k1", "k2").join(equal, ["n", "k1", "k2"]).where("doc_id != rep").select("doc_id", "rep").distinct())
+    copies = durable(known.join(distinct.select("n", "k1", "k2", "rep"), ["n", "k1", "k2"]).where("doc_id != rep").select("doc_id", "rep").distinct())
 
     # 2. Shared signatures, their leaders and followers.
-    emitted = known.join(copies.select("doc_id").distinct(), "doc_id", "left_anti").select(F.explode("signatures").alias("sig"), F.col("doc_id").alias("doc"))
+    emitted = distinct.select(F.explode("signatures").alias("sig"), F.col("rep").alias("doc"))
     shared = durable(emitted.groupBy("sig").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")).where("leader < last").select("sig", "leader"))
     follow = durable(emitted.join(shared, "sig").where("doc != leader").select("sig", "leader", "doc"))
-    pairs = durable(follow.select("leader", "doc").distinct())
-    involved = pairs.select(F.explode(F.array("leader", "doc")).alias("doc_id")).distinct()
-    sets = durable(shingle_table(texts.join(involved, "doc_id", "left_semi"), words, "doc_id", text).withColumnRenamed("doc_id", "doc").where(F.size("set") > 0))
-
-    # 3. Leaders search their followers.
-    sizes = sets.groupBy("doc").agg(F.max(F.size("set")).alias("n"))
-    load = pairs.join(sizes, "doc").groupBy("leader").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
-    dealt = durable(pairs.join(load, "leader").select("leader", "doc", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block")))
-    heads = dealt.select("leader", "block", F.col("leader").alias("doc")).distinct()
+    discard(distinct)
+    discard(shared)
+    votes = durable(follow.groupBy("leader", "doc").agg(F.count("*").alias("votes")))
+    involved = votes.select(F.explode(F.array("leader", "doc")).alias("doc_id")).distinct()
+    sets = durable(shingle_table(texts.join(involved.hint("merge"), "doc_id", "left_semi"), words, "doc_id", text, bands).withColumnRenamed("doc_id", "doc").where(F.size("set") > 0))
+    sizes = durable(sets.select("doc", F.size("set").alias("n"), "band").distinct())
+
+    # 3. Leaders search their followers: each follower with the leader it shares most signatures with.
     wider = max(2 * s - 1, Fraction(1, 10**6))
 
     def lead(batches):
@@ -250,36 +286,48 @@ def jaccard_classes(docs: DataFrame, words: int = 5, similarity: str = "0.8", id
         if out:
             yield pa.RecordBatch.from_pylist([dict(zip(("leader", "doc", "far", "linked"), r)) for r in out])
 
-    blocks = dealt.unionByName(heads).join(sets, "doc").repartition("leader", "block").sortWithinPartitions("leader", "block")
+    pairs = durable(votes.groupBy("doc").agg(F.max_by("leader", F.struct("votes", -F.col("leader"))).alias("leader")).select("leader", "doc"))
+    load = pairs.join(sizes, "doc").groupBy("leader").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    dealt = durable(pairs.join(load, "leader").select("leader", "doc", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block")))
+    heads = dealt.select("leader", "block", F.col("leader").alias("doc")).distinct()
+    blocks = dealt.unionByName(heads).join(sets.select("doc", "set"), "doc").repartition("leader", "block").sortWithinPartitions("leader", "block")
     near = durable(arrow_map(blocks.select("leader", "block", "doc", "set"), lead, "leader long, doc long, far double, linked boolean"))
     links = near.where("linked").select(F.col("leader").alias("a"), F.col("doc").alias("b"))
 
-    # 4. Signatures that still join documents of different classes.
+    # 4. Signatures that still join documents of different classes. A follower whose distance to the leader isn't known counts as far.
     roots = durable(components(links))
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    placed = follow.join(near.groupBy("leader", "doc").agg(F.min("far").alias("far")), ["leader", "doc"], "left").join(of("doc"), "doc", "left").join(of("leader"), "leader", "left")
-    placed = placed.select("sig", "doc", F.coalesce("far", F.lit(2.0)).alias("far"), F.coalesce("doc_root", "doc").alias("root"), F.coalesce("leader_root", "leader").alias("leader_root"))
-    placed = durable(placed)
+    placed = follow.join(of("doc"), "doc", "left").join(of("leader"), "leader", "left")
+    placed = placed.join(near.groupBy("leader", "doc").agg(F.min("far").alias("far")), ["leader", "doc"], "left")
+    placed = durable(placed.select("sig", "doc", F.coalesce("doc_root", "doc").alias("root"), F.coalesce("leader_root", "leader").alias("leader_root"), F.coalesce("far", F.lit(2.0)).alias("far")))
     apart = placed.where("root != leader_root").groupBy("sig").agg(F.min("far").alias("nearest"))
     active = placed.join(apart, "sig").where(F.col("far") >= F.col("nearest") - float(1 - s) - EPS)
     first = active.groupBy("sig").agg(F.min("doc").alias("first"), F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("sig", "first")
     open_pairs = durable(active.join(first, "sig").where("doc != first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct())
     crowd = durable(components(open_pairs))
-    weight = crowd.withColumnRenamed("node", "doc").join(sizes, "doc").groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("parts"))
-    spread = crowd.withColumnRenamed("node", "doc").join(weight, "root").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")))
+    # Partners are of one size band or of neighbouring ones, so each band of a crowd is searched by itself, in pairs of blocks if it is large.
+    placed_crowd = crowd.select(F.col("node").alias("doc"), F.col("root").alias("crowd")).join(sizes, "doc").join(of("doc"), "doc", "left")
+    members = placed_crowd.select("crowd", "doc", F.coalesce("doc_root", "doc").alias("class"), "n", F.posexplode(F.array("band", F.col("band") - 1)).alias("larger", "band"))
+    members = durable(members)
+    weight = members.groupBy("crowd", "band").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("parts"), F.count("*").alias("size"), F.min("larger").alias("larger")).where("size > 1 and larger = 0").drop("larger")
+    spread = members.drop("larger").join(weight, ["crowd", "band"]).withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")))
     spread = spread.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    spread = spread.where("parts = 1 or part != with").select("root", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "doc")
+    group = ["crowd", "band", "i", "j"]
+    spread = spread.where("parts = 1 or part != with").select("crowd", "band", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "doc", "class")
 
     def search(batches):
-        for _, rows in grouped_rows(batches, ["root", "i", "j"]):
-            got = links_among([d for d, _ in rows], [x for _, x in rows], s)
+        for _, rows in grouped_rows(batches, group, ["class"]):
+            docs, known, own = zip(*rows)
+            got = links_among(docs, own, s, known)
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got)], names=["a", "b"])
 
-    crowded = spread.join(sets, "doc").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    more = arrow_map(crowded.select("root", "i", "j", "doc", "set"), search, "a long, b long")
+    crowded = spread.join(sets.select("doc", "set"), "doc").repartition(*group).sortWithinPartitions(*group)
+    more = durable(arrow_map(crowded.select(*group, "doc", "class", "set"), search, "a long, b long"))
 
     every = links.unionByName(more).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     classes = durable(components(every))
+    for used in (follow, votes, sets, sizes, pairs, dealt, near, roots, placed, open_pairs, crowd, members, more, copies):
+        discard(used)
     out = table.select("doc_id", F.col("n").alias("n_shingles")).join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
