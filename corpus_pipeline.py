@@ -28,10 +28,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows of one id are one document, of which one row stays; rows without an id all stay.
     """
     classes = durable(ngram_join.jaccard_classes(docs, words=5, similarity="0.8"))
-    gone = classes.where("component_id != doc_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    twice = classes.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    single, several = left.join(twice, "doc_id", "left_anti"), left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    twice = durable(classes.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    gone = classes.where("component_id != doc_id").select("doc_id").unionByName(twice).distinct()
+    single, several = docs.join(gone.hint("merge"), "doc_id", "left_anti"), docs.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return single.select(*DOCUMENT).unionByName(several.select(*DOCUMENT))
 
 
