@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Callable
 from fractions import Fraction
 from itertools import groupby
 
@@ -221,7 +222,8 @@ def jaccard_classes(docs: DataFrame, words: int = 5, similarity: str = "0.8", id
     ``component_id`` is the smallest id reachable by links.
 
     1. Equal sets are one: the smallest id stands for them. 2. Signatures, aggregated before the shuffle, give each shared
-    one a leader, its smallest id. 3. Leaders search their followers in blocks of bounded size. 4. Signatures whose followers aren't
+    one a leader, its smallest id. 3. Leaders search their followers in blocks of bounded size, each follower with its leader of most
+    signatures, and with every other leader that isn't of its class by then. 4. Signatures whose followers aren't
     all connected by then are searched again among those that the distances to the leader leave open, in one
     block or in pairs of blocks. Tables and columns only hold ids, counts and sets; every task holds one block.
 
@@ -266,7 +268,8 @@ def jaccard_classes(docs: DataFrame, words: int = 5, similarity: str = "0.8", id
     sets = durable(shingle_table(texts.join(involved.hint("merge"), "doc_id", "left_semi"), words, "doc_id", text, bands).withColumnRenamed("doc_id", "doc").where(F.size("set") > 0))
     sizes = durable(sets.select("doc", F.size("set").alias("n"), "band").distinct())
 
-    # 3. Leaders search their followers: each follower with the leader it shares most signatures with.
+    # 3. Leaders search their followers: each follower with the leader it shares most signatures with, then with each of its other
+    # leaders that this hasn't put into its class.
     wider = max(2 * s - 1, Fraction(1, 10**6))
 
     def lead(batches):
@@ -286,19 +289,33 @@ def jaccard_classes(docs: DataFrame, words: int = 5, similarity: str = "0.8", id
         if out:
             yield pa.RecordBatch.from_pylist([dict(zip(("leader", "doc", "far", "linked"), r)) for r in out])
 
+    def searched(pairs: DataFrame) -> DataFrame:
+        load = pairs.join(sizes, "doc").groupBy("leader").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+        dealt = durable(pairs.join(load, "leader").select("leader", "doc", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block")))
+        heads = dealt.select("leader", "block", F.col("leader").alias("doc")).distinct()
+        blocks = dealt.unionByName(heads).join(sets.select("doc", "set"), "doc").repartition("leader", "block").sortWithinPartitions("leader", "block")
+        found = durable(arrow_map(blocks.select("leader", "block", "doc", "set"), lead, "leader long, doc long, far double, linked boolean"))
+        discard(dealt)
+        return found
+
+    def rooted(links: DataFrame) -> tuple[DataFrame, Callable[[str], DataFrame]]:
+        roots = durable(components(links))
+        return roots, lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+
     pairs = durable(votes.groupBy("doc").agg(F.max_by("leader", F.struct("votes", -F.col("leader"))).alias("leader")).select("leader", "doc"))
-    load = pairs.join(sizes, "doc").groupBy("leader").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
-    dealt = durable(pairs.join(load, "leader").select("leader", "doc", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block")))
-    heads = dealt.select("leader", "block", F.col("leader").alias("doc")).distinct()
-    blocks = dealt.unionByName(heads).join(sets.select("doc", "set"), "doc").repartition("leader", "block").sortWithinPartitions("leader", "block")
-    near = durable(arrow_map(blocks.select("leader", "block", "doc", "set"), lead, "leader long, doc long, far double, linked boolean"))
-    links = near.where("linked").select(F.col("leader").alias("a"), F.col("doc").alias("b"))
+    near = searched(pairs)
+    linked = lambda x: x.where("linked").select(F.col("leader").alias("a"), F.col("doc").alias("b"))
+    trees, of = rooted(linked(near))
+    rest = votes.select("leader", "doc").join(of("doc"), "doc", "left").join(of("leader"), "leader", "left")
+    rest = rest.where(F.coalesce("doc_root", "doc") != F.coalesce("leader_root", "leader")).select("leader", "doc")
+    rest = durable(rest.join(pairs, ["leader", "doc"], "left_anti"))
+    late = searched(rest)
+    links = linked(near).unionByName(linked(late))
 
     # 4. Signatures that still join documents of different classes. A follower whose distance to the leader isn't known counts as far.
-    roots = durable(components(links))
-    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    roots, of = rooted(links)
     placed = follow.join(of("doc"), "doc", "left").join(of("leader"), "leader", "left")
-    placed = placed.join(near.groupBy("leader", "doc").agg(F.min("far").alias("far")), ["leader", "doc"], "left")
+    placed = placed.join(near.unionByName(late).groupBy("leader", "doc").agg(F.min("far").alias("far")), ["leader", "doc"], "left")
     placed = durable(placed.select("sig", "doc", F.coalesce("doc_root", "doc").alias("root"), F.coalesce("leader_root", "leader").alias("leader_root"), F.coalesce("far", F.lit(2.0)).alias("far")))
     apart = placed.where("root != leader_root").groupBy("sig").agg(F.min("far").alias("nearest"))
     active = placed.join(apart, "sig").where(F.col("far") >= F.col("nearest") - float(1 - s) - EPS)
@@ -327,7 +344,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, similarity: str = "0.8", id
 
     every = links.unionByName(more).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     classes = durable(components(every))
-    for used in (follow, votes, sets, sizes, pairs, dealt, near, roots, placed, open_pairs, crowd, members, more, copies):
+    for used in (follow, votes, sets, sizes, pairs, near, trees, rest, late, roots, placed, open_pairs, crowd, members, more, copies):
         discard(used)
     out = table.select("doc_id", F.col("n").alias("n_shingles")).join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))

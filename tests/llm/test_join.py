@@ -83,6 +83,23 @@ def test_messy_rows_and_empty_table(spark):
     assert jaccard_classes(empty(spark)).collect() == []
 
 
+def renewed(words, a, b):
+    """``words`` with those at a..b replaced."""
+    return words[:a] + [f"{w}r" for w in words[a:b]] + words[b:]
+
+
+@pytest.mark.parametrize("size,longer,changed", [(400, 0, 20), (415, 4, 19)])
+def test_a_follower_is_compared_with_each_of_its_leaders(spark, size, longer, changed):
+    """The smallest id is linked to the largest alone, which shares most signatures with the other; in one band and across two."""
+    x = [f"w{k}" for k in range(size + longer)]
+    rows = [(1, " ".join(renewed(x, 0, changed)[:size])), (2, " ".join(renewed(x, 100, 102))), (3, " ".join(x))]
+    bands, sets = Bands(Fraction("0.9")), [grams(t, 1) for _, t in rows]
+    assert (bands.band(len(sets[0])) == bands.band(len(sets[2]))) == (not longer)
+    near = lambda a, b: len(a & b) >= Fraction("0.9") * len(a | b)
+    assert near(sets[0], sets[2]) and near(sets[1], sets[2]) and not near(sets[0], sets[1])
+    assert result(jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 1, "0.9")) == brute(rows, 1, Fraction("0.9"))
+
+
 def test_a_search_finds_what_counting_finds():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(80)]
