@@ -271,30 +271,35 @@ def jaccard_classes(docs: DataFrame, words: int = 5, similarity: str = "0.8", id
     # 3. Leaders search their followers: each follower with the leader it shares most signatures with, then with each of its other
     # leaders that this hasn't put into its class.
     wider = max(2 * s - 1, Fraction(1, 10**6))
+    outside = float(1 - wider)
 
     def lead(batches):
-        out = []
+        names, out = ("leader", "doc", "low", "high", "linked"), []
         for (leader, _), rows in grouped_rows(batches, ["leader", "block"]):
             found = [(d, x) for d, x in rows if d != leader]
             if not found:
                 continue
             index = Lists([x for _, x in found])
+            low, high, linked = np.full(len(found), outside), np.zeros(len(found)), np.zeros(len(found), bool)
             for query in [x for d, x in rows if d == leader]:
                 near, overlap, far = distances(index, query, wider)
-                linked = overlap * s.denominator >= (len(query) + index.sizes[near] - overlap) * s.numerator
-                out += [(leader, found[k][0], float(f), bool(y)) for k, f, y in zip(near.tolist(), far.tolist(), linked.tolist())]
+                most = np.full(len(found), 2.0)
+                most[near] = far
+                low, high = np.minimum(low, most), np.maximum(high, most)
+                linked[near] |= overlap * s.denominator >= (len(query) + index.sizes[near] - overlap) * s.numerator
+            out += [(leader, d, *row) for (d, _), row in zip(found, zip(low.tolist(), high.tolist(), linked.tolist()))]
             if len(out) > 4096:
-                yield pa.RecordBatch.from_pylist([dict(zip(("leader", "doc", "far", "linked"), r)) for r in out])
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out])
                 out = []
         if out:
-            yield pa.RecordBatch.from_pylist([dict(zip(("leader", "doc", "far", "linked"), r)) for r in out])
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out])
 
     def searched(pairs: DataFrame) -> DataFrame:
         load = pairs.join(sizes, "doc").groupBy("leader").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
         dealt = durable(pairs.join(load, "leader").select("leader", "doc", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block")))
         heads = dealt.select("leader", "block", F.col("leader").alias("doc")).distinct()
         blocks = dealt.unionByName(heads).join(sets.select("doc", "set"), "doc").repartition("leader", "block").sortWithinPartitions("leader", "block")
-        found = durable(arrow_map(blocks.select("leader", "block", "doc", "set"), lead, "leader long, doc long, far double, linked boolean"))
+        found = durable(arrow_map(blocks.select("leader", "block", "doc", "set"), lead, "leader long, doc long, low double, high double, linked boolean"))
         discard(dealt)
         return found
 
@@ -312,13 +317,14 @@ def jaccard_classes(docs: DataFrame, words: int = 5, similarity: str = "0.8", id
     late = searched(rest)
     links = linked(near).unionByName(linked(late))
 
-    # 4. Signatures that still join documents of different classes. A follower whose distance to the leader isn't known counts as far.
+    # 4. Signatures that still join documents of different classes. Distances to the leader are bounded from both sides: outside the
+    # wider ball, and over the texts of one id. One that isn't known can be any: it keeps its follower, and all that it may be near to.
     roots, of = rooted(links)
     placed = follow.join(of("doc"), "doc", "left").join(of("leader"), "leader", "left")
-    placed = placed.join(near.unionByName(late).groupBy("leader", "doc").agg(F.min("far").alias("far")), ["leader", "doc"], "left")
-    placed = durable(placed.select("sig", "doc", F.coalesce("doc_root", "doc").alias("root"), F.coalesce("leader_root", "leader").alias("leader_root"), F.coalesce("far", F.lit(2.0)).alias("far")))
-    apart = placed.where("root != leader_root").groupBy("sig").agg(F.min("far").alias("nearest"))
-    active = placed.join(apart, "sig").where(F.col("far") >= F.col("nearest") - float(1 - s) - EPS)
+    placed = placed.join(near.unionByName(late).groupBy("leader", "doc").agg(F.min("low").alias("low"), F.max("high").alias("high")), ["leader", "doc"], "left")
+    placed = durable(placed.select("sig", "doc", F.coalesce("doc_root", "doc").alias("root"), F.coalesce("leader_root", "leader").alias("leader_root"), F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(2.0)).alias("high")))
+    apart = placed.where("root != leader_root").groupBy("sig").agg(F.min("low").alias("nearest"))
+    active = placed.join(apart, "sig").where(F.col("high") >= F.col("nearest") - float(1 - s) - EPS)
     first = active.groupBy("sig").agg(F.min("doc").alias("first"), F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("sig", "first")
     open_pairs = durable(active.join(first, "sig").where("doc != first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct())
     crowd = durable(components(open_pairs))

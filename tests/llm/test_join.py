@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from panelloom.llm import ngram_join
-from panelloom.llm.common import components, numbered
+from panelloom.llm.common import Words, components, numbered
 from panelloom.llm.ngram_join import Bands, Lists, jaccard_classes, links_among, signatures
 
 from .helpers import empty, messy, prose
@@ -100,6 +100,46 @@ def test_a_follower_is_compared_with_each_of_its_leaders(spark, size, longer, ch
     assert result(jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 1, "0.9")) == brute(rows, 1, Fraction("0.9"))
 
 
+def changes():
+    """400 words in the order of their hashes, and a function that replaces those at some ranks by words of hashes next to theirs."""
+    place = {w: int(Words([w.encode()]).shingles(1)[0][0]) for w in (f"w{k}" for k in range(4000))}
+    order = sorted(place, key=place.get)
+    return order[::10], lambda x, ranks: [order[10 * r + 1] if r in ranks else w for r, w in enumerate(x)]
+
+
+def marks(words):
+    return set(signatures(Words([" ".join(words).encode()]).shingles(1)[0], Bands(Fraction("0.9"))).tolist())
+
+
+SOME, OTHERS = [r for r in range(25) if r % 3], [r for r in range(25) if r % 3 == 0]
+"""Ranks of words that stand in the same parts."""
+
+
+def test_what_is_outside_the_wider_ball_may_be_linked_to_what_is_inside(spark):
+    """1-2, 2-3 and 3-4 link; 3 is at 0.15 from 1 and 4 at 0.23, and 1 leads all that 3 and 4 share."""
+    first, change = changes()
+    second = change(first, SOME)
+    third = change(second, [399 - r for r in SOME])
+    fourth = change(third, OTHERS + [399 - r for r in OTHERS] + [200, 201])
+    assert marks(third) & marks(fourth) <= marks(first) and marks(second) & marks(third) - marks(first)
+    rows = [(k + 1, " ".join(x)) for k, x in enumerate((first, second, third, fourth))]
+    want = brute(rows, 1, Fraction("0.9"))
+    assert [r[3] for r in want] == [1] * 4
+    assert result(jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 1, "0.9")) == want
+
+
+def test_an_id_of_several_texts_is_as_far_as_its_farthest(spark):
+    """2 has a text next to that of 1, and one that alone links to 3; 1 leads all that 2 and 3 share."""
+    first, change = changes()
+    far = change(first, SOME)
+    third = change(far, [*OTHERS, *range(200, 208)])
+    assert marks(far) & marks(third) <= marks(first)
+    rows = list(zip((1, 2, 2, 3), map(" ".join, (first, change(first, [0]), far, third))))
+    want = brute(rows, 1, Fraction("0.9"))
+    assert [r[3] for r in want] == [1] * 4
+    assert result(jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 1, "0.9")) == want
+
+
 def test_a_search_finds_what_counting_finds():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(80)]
