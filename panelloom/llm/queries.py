@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, ngram_join, packing, quality, sharding, suffix_dedup, tokens, topk, toxicity
-from .common import durable, read
+from . import bestfit, chat, merkle, mixing, ngram_join, packing, quality, resample, sharding, suffix_dedup, tokens, topk, toxicity
+from .common import arrow_map, durable, read
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -208,3 +211,119 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.ToxicityModel.fit(docs, read(spark, sf_dir, "labels").where(toxicity.fold() != 1))
     scores = model.score(docs, ["doc_id"])
     return scores.select("doc_id", (toxicity.fold() == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# The checksum of a word, by bits: 79764919's mirror 3988292384 is the polynomial.
+CRC32 = """
+  steps AS (
+    SELECT b, 0 AS k, CAST(b AS UBIGINT) AS c FROM range(256) AS r(b)
+    UNION ALL SELECT b, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END FROM steps WHERE k < 8),
+  tab AS (SELECT list(c ORDER BY b) AS t FROM steps WHERE k = 8),
+  sums AS (
+    SELECT word, xor(list_reduce(list_transform(range(CAST(len(hex(encode(word))) / 2 AS BIGINT)), lambda i: CAST(CAST('0x' || substr(hex(encode(word)), 2 * i + 1, 2) AS INTEGER) AS UBIGINT)),
+                     lambda c, b: xor(c >> 8, t[CAST(xor(c & 255, b) AS INTEGER) + 1]), CAST(4294967295 AS UBIGINT)), CAST(4294967295 AS UBIGINT)) AS crc
+    FROM vocabulary, tab)"""
+
+ORACLES["op11_resample"] = r"""
+WITH RECURSIVE
+  raw AS (
+    SELECT 'd' AS side, row_number() OVER () AS rid, doc_id, text FROM documents
+    UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark),
+  texts AS (
+    SELECT side, rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM raw),
+  uses AS (SELECT side, rid, unnest(w) AS word FROM texts),
+  vocabulary AS (SELECT DISTINCT word FROM uses),""" + CRC32 + r""",
+  n AS (
+    SELECT crc % 10000 AS bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t
+    FROM uses JOIN sums USING (word) GROUP BY 1),
+  totals AS (SELECT CAST(coalesce(sum(s), 0) AS DOUBLE) AS s_all, CAST(coalesce(sum(t), 0) AS DOUBLE) AS t_all FROM n),
+  gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1.0::DOUBLE) * (s_all + 10000) / ((s + 1.0::DOUBLE) * (t_all + 10000)))) AS BIGINT) AS gain FROM n, totals),
+  weights AS (SELECT rid, CAST(sum(gain) AS BIGINT) AS weight FROM uses JOIN sums USING (word) JOIN gains ON gains.bucket = crc % 10000 WHERE side = 'd' GROUP BY rid),
+  scored AS (
+    SELECT rid, doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+    FROM texts LEFT JOIN weights USING (rid) WHERE side = 'd'),
+  places AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS able FROM scored WHERE n_features >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN place <= 10 * able // 100 THEN place END AS rank
+FROM scored LEFT JOIN places USING (rid)
+"""
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0, resample.lowered(F.col("text"))).otherwise(F.col("text"))
+    return merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], seen={"text": tampered})
+
+
+def merkle_sql(levels: int = 10) -> str:
+    """Levels that have one node already are handed on unchanged, so any number up to 16 ** levels of rows or sources is fine."""
+    value = lambda c: f"coalesce(CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    low = "CASE WHEN crc % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
+    leaf = "sha256(" + " || ".join(value(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    sql = f"""
+WITH RECURSIVE
+  vocabulary AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS word FROM documents WHERE doc_id IS NOT NULL),{CRC32},
+  docs AS (SELECT row_number() OVER () AS rid, d.*, coalesce(crc, 1) AS crc FROM documents AS d LEFT JOIN sums ON word = CAST(doc_id AS VARCHAR)),
+  leaves AS (SELECT rid, doc_id, source, {leaf} || {value("text")}) AS leaf, {leaf} || {value("given")}) AS given FROM (SELECT *, {low} AS given FROM docs)),
+  l0 AS (SELECT coalesce('=' || source, '-') AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS pos, leaf AS node, rid FROM leaves),"""
+    steps = []
+    for side, start, key in (("l", "l0", "tree"), ("t", "t0", "tree")):
+        for k in range(levels):
+            steps.append(f"""
+  {side}{k + 1} AS (
+    SELECT tree, pos // 16 AS pos, CASE WHEN any_value(n) = 1 THEN any_value(node) ELSE sha256(string_agg(node, '' ORDER BY pos)) END AS node
+    FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {side}{k}) GROUP BY tree, pos // 16),""")
+        if side == "l":
+            steps.append(f"""
+  t0 AS (SELECT '' AS tree, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, node, tree AS name FROM l{levels}),""")
+    fold = []
+    before = "(SELECT leaves.*, l0.tree, l0.pos, '' AS proof, given AS folded FROM leaves JOIN l0 USING (rid))"
+    for side in ("l", "t"):
+        for k in range(levels):
+            name = f"{side}f{k + 1}"
+            fold.append(f"""
+  {side}g{k} AS (
+    SELECT tree, pos // 16 AS up, list(struct_pack(pos := pos, node := node) ORDER BY pos) AS run, any_value(n) AS n
+    FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {side}{k}) GROUP BY ALL),
+  {name} AS (
+    SELECT f.* REPLACE (f.pos // 16 AS pos,
+             CASE WHEN n = 1 THEN proof ELSE proof || list_aggregate(list_transform(run, lambda x: CASE WHEN x.pos = f.pos THEN '' ELSE x.node END), 'string_agg', '') END AS proof,
+             CASE WHEN n = 1 THEN folded ELSE sha256(list_aggregate(list_transform(run, lambda x: CASE WHEN x.pos = f.pos THEN folded ELSE x.node END), 'string_agg', '')) END AS folded)
+    FROM {before} AS f JOIN {side}g{k} AS g ON f.tree = g.tree AND f.pos // 16 = g.up),""")
+            before = name
+        if side == "l":
+            fold.append(f"""
+  mid AS (SELECT f.* EXCLUDE (tree, pos), t0.node AS subroot, '' AS tree, t0.pos FROM {before} AS f JOIN t0 ON t0.name = f.tree),""")
+            before = "mid"
+    return sql + "".join(steps) + "".join(fold).rstrip(",") + f"""
+SELECT doc_id, leaf, subroot, r.node AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = r.node AS verified
+FROM {before} AS f, t{levels} AS r
+"""
+
+
+ORACLES["op12_merkle_manifest"] = merkle_sql()
+
+
+@query
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = bestfit.pack_best_fit(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    kept = ["doc_id", "piece", "start", "length", "sequence_id", "offset"]
+
+    def sums(batches):
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index("ids"))
+            flat, ends = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
+            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(k)) for k in kept] + [pa.array(crc, pa.int64())], names=[*kept, "ids_crc32"])
+
+    return arrow_map(packed, sums, "doc_id long, piece int, start long, length long, sequence_id long, offset long, ids_crc32 long")
