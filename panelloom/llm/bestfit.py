@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, chunks, column, lists
+from .common import arrow_map, chunks, column
 from .ranks import ranked
 from .tokens import Encoder
 
@@ -57,34 +57,41 @@ def plan_best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, .
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, keep: list[str], capacity: int, end_id: int, text: str = "text") -> DataFrame:
-    """``keep`` columns, piece, start, length and ids: the texts' ids with ``end_id`` behind, in pieces of at most ``capacity``.
+    """``keep`` columns, piece, start, length, width and ids: the texts' ids with ``end_id`` behind, in pieces of at most ``capacity``.
 
-    Only a text of more ids is cut; its first piece may be shorter, the others are full.
+    ``ids`` are little-endian unsigned integers of ``width`` bytes each. Only a text of more ids is cut; its first piece may be
+    shorter, the others are full.
     """
+    names = [*keep, "piece", "start", "length", "width", "ids"]
+
     def run(batches):
         encoder = Encoder(tokenizer)
+        width, end = encoder.kind.itemsize, np.array([end_id], encoder.kind).tobytes()
         for batch in batches:
             texts = [t or "" for t in column(batch, text)]
             for some in chunks(texts):
-                owner, made = [], []
-                for i, ids in enumerate(encoder.encode(texts[some])):
-                    ids = np.append(ids.astype(np.int32), np.int32(end_id))
-                    pieces = -(-len(ids) // capacity)
-                    ends = [len(ids) - capacity * k for k in range(pieces - 1, -1, -1)]
-                    for k, (a, b) in enumerate(zip([0, *ends], ends)):
-                        owner.append(some.start + i)
-                        made.append((k, a, b - a, ids[a:b]))
-                number, start, length, ids = zip(*made)
+                owner, number, start, length, ids = [], [], [], [], []
+                for i, t in enumerate(texts[some], some.start):
+                    data = encoder.ids(t) + end
+                    n = len(data) // width
+                    cuts = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
+                    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                        owner.append(i)
+                        number.append(k)
+                        start.append(a)
+                        length.append(b - a)
+                        ids.append(data[a * width : b * width])
                 own = pa.array(owner, pa.int64())
                 cols = [batch.column(batch.schema.get_field_index(k)).take(own) for k in keep]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), lists(list(ids), pa.int32())], names=[*keep, "piece", "start", "length", "ids"])
+                made = [pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*cols, *made], names=names)
 
     fields = "".join(f"`{k}` {docs.schema[k].dataType.simpleString()}, " for k in keep)
-    return arrow_map(docs.select(*dict.fromkeys([*keep, text])), run, f"{fields}piece int, start long, length long, ids array<int>")
+    return arrow_map(docs.select(*dict.fromkeys([*keep, text])), run, f"{fields}piece int, start long, length long, width int, ids binary")
 
 
 def pack_best_fit(docs: DataFrame, tokenizer: str, keep: list[str] = ("doc_id",), capacity: int = 1024, end_id: int = 2, text: str = "text") -> DataFrame:
-    """Packs all texts into sequences of at most ``capacity`` ids: keep, piece, start, length, ids, sequence_id and offset per piece.
+    """Packs all texts into sequences of at most ``capacity`` ids: keep, piece, start, length, width, ids, sequence_id and offset per piece.
 
     Texts are encoded once, in a table of pieces; every task numbers its own pieces by length. The histogram (at most ``capacity``
     rows) goes to the driver, which plans with counts alone. The plan's rows are ranges of ranks; a piece joins the one of its
@@ -95,7 +102,7 @@ def pack_best_fit(docs: DataFrame, tokenizer: str, keep: list[str] = ("doc_id",)
     give no rows. ``keep`` can't name the new columns.
     """
     keep = list(keep)
-    if taken := {"piece", "start", "length", "ids", "rank", "sequence_id", "offset"} & set(keep):
+    if taken := {"piece", "start", "length", "width", "ids", "rank", "sequence_id", "offset"} & set(keep):
         raise ValueError(f"columns with names of new ones: {sorted(taken)}")
     pieces = ranked(token_pieces(docs, tokenizer, keep, capacity, end_id, text), "length", "rank")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
@@ -105,4 +112,4 @@ def pack_best_fit(docs: DataFrame, tokenizer: str, keep: list[str] = ("doc_id",)
     turn = F.col("rank") - F.col("first_rank")
     sequence = F.col("first_sequence") + F.floor(turn / F.col("per_sequence"))
     offset = F.col("first_offset") + turn % F.col("per_sequence") * F.col("length")
-    return placed.select(*keep, "piece", "start", "length", "ids", sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
+    return placed.select(*keep, "piece", "start", "length", "width", "ids", sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bestfit, chat, merkle, mixing, ngram_join, packing, quality, resample, sharding, suffix_dedup, tokens, topk, toxicity
-from .common import arrow_map, durable, read
+from .common import arrow_map, column, durable, read
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -321,9 +322,7 @@ def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def sums(batches):
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("ids"))
-            flat, ends = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            crc = [zlib.crc32(np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()) for ids, width in zip(column(batch, "ids"), column(batch, "width"))]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(k)) for k in kept] + [pa.array(crc, pa.int64())], names=[*kept, "ids_crc32"])
 
     return arrow_map(packed, sums, "doc_id long, piece int, start long, length long, sequence_id long, offset long, ids_crc32 long")

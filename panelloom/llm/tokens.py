@@ -6,6 +6,7 @@ bytes each), the running ends of the documents, and the document ids; the latter
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -186,8 +187,20 @@ class WordIds(dict):
         return ids
 
 
+def word_wise(tokenizer) -> bool:
+    """If the tokenizer's own configuration lets a text be encoded word by word: byte-level BPE with the usual pattern and nothing before it.
+
+    No normalizer, no blank put in front, no added token with white space in it (or that takes the blanks around it).
+    """
+    made = json.loads(tokenizer.to_str())
+    pre, model = made.get("pre_tokenizer") or {}, made.get("model") or {}
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and made.get("normalizer") is None
+    bare = model.get("type") == "BPE" and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix") and not model.get("ignore_merges") and not model.get("dropout")
+    return bool(plain and bare) and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in made.get("added_tokens") or []) and not made.get("truncation") and not made.get("padding")
+
+
 class Encoder:
-    """Ids of whole texts, the same as the tokenizer gives, word by word.
+    """Ids of whole texts, the same as the tokenizer gives: word by word where its configuration allows that, else as they are.
 
     The byte-level pattern never joins what stands before a single space between two other characters with what follows, so
     a text without neighbouring white space is the ids of its first word and of " word" for all others.
@@ -200,13 +213,15 @@ class Encoder:
 
         cache = worker_cache(f"tokenizer {path}")
         if not cache:
-            cache["words"] = WordIds(Tokenizer.from_file(path))
+            tokenizer = Tokenizer.from_file(path)
+            cache["words"], cache["word_wise"] = WordIds(tokenizer), word_wise(tokenizer)
         self.words: WordIds = cache["words"]
+        self.word_wise: bool = cache["word_wise"]
         self.wide = self.words.code == "I"
         self.kind = np.dtype("<u4" if self.wide else "<u2")
 
     def ids(self, text: str) -> bytes:
-        if self.BLANKS.search(text):
+        if not self.word_wise or self.BLANKS.search(text):
             return self.words.direct(text)
         head, *rest = text.split(" ")
         return self.words.direct(head) + b"".join(map(self.words.__getitem__, rest))

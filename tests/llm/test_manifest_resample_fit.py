@@ -212,7 +212,7 @@ def test_pieces_fill_sequences(spark, capacity):
             whole[r.doc_id][k, a, b - a, ids[a:b]] += 1
     sequences = defaultdict(list)
     for r in got:
-        pieces[r.doc_id][r.piece, r.start, r.length, tuple(r.ids)] += 1
+        pieces[r.doc_id][r.piece, r.start, r.length, tuple(np.frombuffer(r.ids, f"<u{r.width}").tolist())] += 1
         sequences[r.sequence_id].append((r.offset, r.length))
     assert pieces == whole
     for own in sequences.values():

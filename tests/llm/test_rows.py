@@ -177,6 +177,25 @@ def test_encoder_gives_the_ids_of_the_tokenizer():
         assert [x.tolist() for x in encoder.encode(texts)] == want
 
 
+@pytest.mark.parametrize("change", ["prefix", "lower", "added", "words"])
+def test_other_tokenizers_are_not_taken_word_by_word(tmp_path, change):
+    """The same vocabulary with another pre-tokenizer, normalizer or added token, and one of another kind."""
+    from tokenizers import AddedToken, normalizers, pre_tokenizers
+
+    made = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json") if change == "words" else BPE)
+    if change == "prefix":
+        made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    elif change == "lower":
+        made.normalizer = normalizers.Lowercase()
+    elif change == "added":
+        made.add_tokens([AddedToken("big dog")])
+    made.save(str(tmp_path / "t.json"))
+    encoder = Encoder(str(tmp_path / "t.json"))
+    texts = ["", "A big dog, a Big DOG", "one two  three", "big dogs\n1 2"]
+    assert not encoder.word_wise and [x.tolist() for x in encoder.encode(texts)] == [e.ids for e in made.encode_batch(texts, add_special_tokens=False)]
+    assert Encoder(BPE).word_wise
+
+
 @pytest.mark.parametrize("segment", [1 << 21, 50])
 def test_token_files_read_back(spark, monkeypatch, segment):
     monkeypatch.setattr(tokens, "SEGMENT_IDS", segment)
