@@ -16,6 +16,7 @@ import heapq
 import math
 from collections.abc import Callable
 from fractions import Fraction
+from hashlib import blake2b
 from itertools import groupby
 
 import numpy as np
@@ -27,8 +28,10 @@ from .common import Words, arrow_map, chunks, column, components, discard, durab
 
 PROBE = 0.05
 """Cost of a binary probe (made in bulk) against that of a step of the heap merge: what decides how many lists are set apart."""
-BLOCK_SHINGLES = 1 << 21
+BLOCK_SHINGLES = 1 << 19
 """Shingles of the documents that one search looks at together."""
+STEP_BYTES = 1 << 18
+"""Text bytes whose shingles are formed together."""
 EPS = 1e-9
 
 
@@ -193,7 +196,7 @@ def shingle_table(docs: DataFrame, words: int, id_column: str, text: str, bands:
     def run(batches):
         for batch in batches:
             texts, ids = texts_of(batch, text), batch.column(batch.schema.get_field_index("doc_id"))
-            for part in chunks(texts):
+            for part in chunks(texts, STEP_BYTES):
                 sets = Words(texts[part], lower=True).shingles(words)
                 yield pa.RecordBatch.from_arrays([ids.slice(part.start, part.stop - part.start), lists([s.view(np.int64) for s in sets], pa.int64()), pa.array([bands.band(len(s)) if len(s) else -1 for s in sets], pa.int32())], names=["doc_id", "set", "band"])
 
@@ -201,7 +204,7 @@ def shingle_table(docs: DataFrame, words: int, id_column: str, text: str, bands:
 
 
 def grouped_rows(batches, keys: list[str], more: list[str] = ()):
-    """Rows (doc, *more, set) of consecutive equal keys; sets come as sorted unsigned arrays."""
+    """Rows (doc, *more, set) of consecutive equal keys, repeated ones once; sets come as sorted unsigned arrays."""
     def rows():
         for batch in batches:
             sets = batch.column(batch.schema.get_field_index("set"))
@@ -211,7 +214,15 @@ def grouped_rows(batches, keys: list[str], more: list[str] = ()):
                 yield row[: len(keys)], (*row[len(keys) :], flat[offsets[k] : offsets[k + 1]].copy())
 
     for key, group in groupby(rows(), key=lambda r: r[0]):
-        yield key, [r for _, r in group]
+        known, own = set(), []
+        for _, r in group:
+            mark = (r[0], blake2b(r[-1].tobytes(), digest_size=16).digest())
+            if mark not in known:
+                known.add(mark)
+                own.append(r)
+        yield key, own
+        del own
+        pa.default_memory_pool().release_unused()
 
 
 def jaccard_classes(docs: DataFrame, words: int = 5, similarity: str = "0.8", id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -237,7 +248,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, similarity: str = "0.8", id
         def run(batches):
             for batch in batches:
                 texts, ids = texts_of(batch, text), batch.column(batch.schema.get_field_index("doc_id"))
-                for part in chunks(texts):
+                for part in chunks(texts, STEP_BYTES):
                     sets = Words(texts[part], lower=True).shingles(words)
                     first = [int(mix64(x ^ np.uint64(0xE7037ED1A0B428DB)).sum(dtype=np.uint64)) for x in sets]
                     second = [int(mix64(x * np.uint64(0x8EBC6AF09C88C6E3)).sum(dtype=np.uint64)) for x in sets]

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import numbered
 
+WORKING = ("__bin", "__rank", "__key", "__b", "__offset", "__n")
+"""Columns that numbering makes for itself."""
+
 
 def best_bounds(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
     """Upper bucket bounds, out of ascending distinct ``lengths``, of least total padding.
@@ -64,9 +67,9 @@ def pack(items: DataFrame, length: str, order: list[str], buckets: int = 8, budg
     ``buckets`` buckets. Inside a bucket, rows get gapless numbers and every ``max(1, budget // bucket_length)`` of
     them are a batch, so a batch padded to its bucket's length keeps the budget unless one row alone exceeds
     it. ``batch`` numbers are gapless over all buckets. Null length counts as 0; no rows give no rows; columns of ``items`` that
-    have the name of a new one are replaced.
+    have the name of a new one are replaced, and those with the name of a working column are dropped.
     """
-    items = items.drop("bucket", "bucket_length", "batch", "slot").withColumn(length, F.coalesce(F.col(length), F.lit(0)))
+    items = items.drop("bucket", "bucket_length", "batch", "slot", "__at", *WORKING).withColumn(length, F.coalesce(F.col(length), F.lit(0)))
     rows = items.groupBy(length).agg(F.count("*").alias("n")).collect()
     histogram = sorted((r[0], r[1]) for r in rows)
     bounds = best_bounds([x for x, _ in histogram], [n for _, n in histogram], buckets) or [0]

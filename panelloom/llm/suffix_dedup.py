@@ -222,7 +222,8 @@ def repeated_spans(docs: DataFrame, keys: list[str], text: str, length: int) ->
     def compare(batches):
         out = []
         for gram, rows in groupby(grams_of(batches), key=lambda r: r[0]):
-            _, context, n, left, right = zip(*rows)
+            # Rows of one key bring their contexts more than once; equal ones stand next to each other.
+            _, context, n, left, right = zip(*[next(same) for _, same in groupby(rows, key=lambda r: r[1])])
             out += [(gram, c, *e) for c, e in zip(context, extents(left, right, n, length)) if e[1]]
             if len(out) > 8192:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["gram", "context", "before", "after"])
@@ -231,9 +232,9 @@ def repeated_spans(docs: DataFrame, keys: list[str], text: str, length: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["gram", "context", "before", "after"])
 
     found = "gram long, context long, before long, after long"
-    crowded = durable(contexts.groupBy("gram").agg(F.count("*").alias("many")).where(F.col("many") > MOST).select("gram"))
-    usual = contexts.join(crowded, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram")
-    reach = arrow_map(usual, compare, found).unionByName(by_window(contexts.join(crowded, "gram"), length))
+    crowded = durable(contexts.groupBy("gram").agg(F.countDistinct("context").alias("many")).where(F.col("many") > MOST).select("gram"))
+    usual = contexts.join(crowded, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram", "context")
+    reach = arrow_map(usual, compare, found).unionByName(by_window(contexts.join(crowded, "gram").dropDuplicates(["gram", "context"]), length))
     ranges = shared.join(reach, ["gram", "context"]).select(*keys, F.struct((F.col("at") - F.col("before")).alias("start"), (F.col("at") + F.col("after")).alias("end")).alias("range"))
     out = durable(ranges.groupBy(*keys).agg(F.array_sort(F.collect_set("range")).alias("ranges")))
     for used in (twice, shared, contexts, crowded):

@@ -1,6 +1,7 @@
 """The n-gram join equals a comparison of all pairs."""
 
 import random
+import time
 from fractions import Fraction
 
 import numpy as np
@@ -204,3 +205,20 @@ def test_numbers_are_gapless_within_a_hot_key(spark):
     got = numbered(spark.createDataFrame(rows, "key string, id long"), "key", ["id"], "at", per_bin=100).collect()
     for key in (None, "hot", "cold"):
         assert sorted(r["at"] for r in got if r["key"] == key) == list(range(sum(k == key for k, _ in rows)))
+
+
+def test_many_rows_of_one_id_are_searched_once(spark):
+    rng = random.Random(21)
+    text = prose(rng, 100, 5000)
+    rows = [(1, text)] * 2500 + [(2, edited(rng, text, 1))] * 2500 + [(3, prose(rng, 50, 5000))]
+    start = time.time()
+    got = jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, "0.9").groupBy("doc_id", "component_id").count().collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 2500), (2, 1, 2500), (3, 3, 1)] and time.time() - start < 120
+
+
+@pytest.mark.parametrize("step", [1 << 21, 200])
+def test_classes_do_not_depend_on_the_step(spark, monkeypatch, step):
+    monkeypatch.setattr(ngram_join, "STEP_BYTES", step)
+    rows = corpus(9)
+    got = jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, "0.9")
+    assert result(got) == brute(rows, 3, Fraction("0.9"))

@@ -107,6 +107,12 @@ def test_batches_keep_the_budget(spark):
     assert pack(spark.createDataFrame([], "id long, length long"), "length", ["id"]).collect() == []
 
 
+def test_pack_takes_clashing_names(spark):
+    df = messy(spark).withColumn("__rank", F.lit(1)).withColumn("__offset", F.lit(2)).withColumn("length", F.length("text").cast("long"))
+    got = pack(df, "length", ["doc_id", "text"]).collect()
+    assert len(got) == 14 and len({(r.batch, r.slot) for r in got}) == 14 and got[0].size == "size"
+
+
 def least_largest(sizes, k):
     best = {0: 0}
     for _ in range(k):

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,3 +164,16 @@ def test_deep_shallow_order_is_the_sorted_order():
     strings += strings[:20]
     order = deep_shallow_order(strings, [int.from_bytes(s, "big") for s in strings])
     assert sorted(order) == list(range(len(strings))) and [strings[i] for i in order] == sorted(strings)
+
+
+def test_many_rows_of_one_id_take_no_longer_than_many_ids(spark):
+    """5,000 equal rows: matches are joined once per distinct context, not once per pair of rows."""
+    text = " ".join(f"w{i * 7919 % 1000}" for i in range(120))
+    seconds = []
+    for one in (False, True):
+        df = spark.createDataFrame([(1 if one else i, text) for i in range(5000)], "doc_id long, text string")
+        start = time.time()
+        got = remove_repeats(df, ["doc_id"]).collect()
+        seconds.append(time.time() - start)
+        assert len(got) == 5000 and all(r.kept == b"" and [(s.start, s.end) for s in r.spans] == [(0, len(text))] for r in got)
+    assert seconds[1] < 3 * seconds[0] + 20
