@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import folds
 from .models import information_criteria
 from .moments import moment_matrix, solve
 
@@ -142,23 +143,11 @@ def fold_forecasts(rows: DataFrame, keys, ts: str, y: str, base: str, ma: str, m
 
     ``base`` is everything but the shocks (null where its lags are missing: no
     forecast, shock zero); ``ma`` may differ by row. The last ``max_q`` shocks
-    are carried along the ordered rows of a key.
+    are carried along the ordered rows of a key, in linear time.
     """
-    packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(
-        F.struct(ts, F.col(y).alias("y"), F.col(base).alias("base"), F.col(ma).alias("ma"), *carry))).alias("_rows"))
-    width = max(max_q, 1)
-    start = F.struct(F.array_repeat(F.lit(0.0), width).alias("e"), F.array().cast("array<double>").alias("out"))
-
-    def step(s, r):
-        pred = r["base"] + sum((F.coalesce(r["ma"][j], F.lit(0.0)) * s["e"][j] for j in range(max_q)), F.lit(0.0))
-        shock = F.coalesce(r["y"] - pred, F.lit(0.0))
-        return F.struct(F.slice(F.concat(F.array(shock), s["e"]), 1, width).alias("e"),
-                        F.concat(s["out"], F.array(pred)).alias("out"))
-
-    folded = packed.withColumn("_out", F.aggregate("_rows", start, step, lambda s: s["out"]))
-    return (folded.select(*keys, F.explode(F.arrays_zip(F.col("_rows").alias("r"), F.col("_out").alias("p"))).alias("z"))
-            .select(*keys, F.col(f"z.r.{ts}").alias(ts), F.col("z.r.y").alias("actual"), F.col("z.p").alias("pred"),
-                    (F.col("z.r.y") - F.col("z.p")).alias("resid"), *[F.col(f"z.r.{c}").alias(c) for c in carry]))
+    given = rows.select(*keys, ts, F.col(y).cast("double").alias("_f_y"), F.col(base).alias("_f_base"), F.col(ma).alias("_f_ma"), *carry)
+    out = folds.carried(given, keys, [ts], ["_f_y", "_f_base", "_f_ma"], "pred double", lambda: [0.0] * max_q, folds.one_step(max_q))
+    return out.select(*keys, ts, F.col("_f_y").alias("actual"), "pred", (F.col("_f_y") - F.col("pred")).alias("resid"), *carry)
 
 
 def arma_filter(df: DataFrame, params: DataFrame, y: str, keys=("series",), ts: str = WEEK,
@@ -195,32 +184,19 @@ def arma_static_path(df: DataFrame, params: DataFrame, y: str, keys=("series",),
                      max_p: int = 3, max_q: int = 3) -> DataFrame:
     """Forecasts of all test rows from the end of the training rows."""
     filtered = arma_filter(df, params, y, keys, ts, max_p, max_q, carry=("split",))
-    state = _end_state(filtered, keys, ts, max_p, max_q)
-    steps = (state.join(params.select(*keys, "const", "ar", "ma"), list(keys), "left")
-             .withColumn("_path", path(F.col("const"), F.col("ar"), F.col("ma"), F.col("_ys"), F.col("_es"),
-                                       F.col("_h"), max_p, max_q)))
-    forecasts = (steps.select(*keys, F.posexplode(F.arrays_zip(F.col("_dates").alias("ts"), F.coalesce("_path", F.array()).alias("p")))
-                              .alias("pos", "z"))
-                 .select(*keys, F.col("z.ts.ts").alias(ts), F.col("z.ts.y").alias("actual"),
-                         (F.col("pos") + 1).alias("step"), F.col("z.p").alias("pred")))
-    return forecasts
-
-
-def _end_state(filtered: DataFrame, keys, ts: str, max_p: int, max_q: int) -> DataFrame:
-    """State after the last training row, and the test rows that follow it."""
-    train = F.when(F.col("split") == "train", F.struct(ts, F.col("actual").alias("y"),
-                                                       F.coalesce("resid", F.lit(0.0)).alias("e")))
-    test = F.when(F.col("split") == "test", F.struct(F.col(ts).alias("ts"), F.col("actual").alias("y")))
-    packed = filtered.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(train), asc=False).alias("_train"), F.array_sort(F.collect_list(test)).alias("_dates"))
-
-    def latest(field, size):
-        values = F.transform(F.slice("_train", 1, size), lambda r: r[field])
-        return F.slice(F.concat(values, F.array_repeat(F.lit(0.0), size)), 1, size)
-
-    return (packed.filter(F.size("_dates") > 0)
-            .select(*keys, "_dates", F.size("_dates").alias("_h"), latest("y", max(max_p, 1)).alias("_ys"),
-                    latest("e", max(max_q, 1)).alias("_es")))
+    rows = filtered.join(params.select(*keys, F.col("const").alias("_base"), "ar", "ma"), list(keys), "left").withColumn("_e", F.col("resid"))
+    return iterated_forecasts(rows, keys, ts, "actual", max_p, max_q, with_step=True)
+
+
+def iterated_forecasts(rows: DataFrame, keys, ts: str, y: str, n_ar: int, n_ma: int, with_step: bool = False) -> DataFrame:
+    """Test rows forecast from the end of the training rows; ``rows`` carry ``_base``, ``ar``, ``ma``, ``_e`` and ``split``."""
+    n_ar, n_ma = max(n_ar, 1), max(n_ma, 1)
+    given = rows.select(*keys, ts, (F.col("split") == "train").alias("_f_train"), F.col(y).cast("double").alias("_f_y"), F.col("_e").alias("_f_e"),
+                        F.col("_base").alias("_f_base"), F.col("ar").alias("_f_ar"), F.col("ma").alias("_f_ma"))
+    reads = ["_f_train", "_f_y", "_f_e", "_f_base", "_f_ar", "_f_ma"]
+    out = folds.carried(given, keys, [ts], reads, "pred double, step int", folds.iterated_start(n_ar, n_ma), folds.iterated(n_ar, n_ma))
+    steps = ["step"] if with_step else []
+    return out.filter(~F.col("_f_train")).select(*keys, ts, F.col("_f_y").alias("actual"), *steps, "pred")
 
 
 def arma_horizon_recursive(df: DataFrame, params: DataFrame, y: str, horizons=(1, 4), keys=("series",), ts: str = WEEK,
@@ -279,30 +255,7 @@ def arx_static_forecast(df: DataFrame, y: str, exog, order=(1, 2), keys=("series
     complete = rows.filter("_train").select(*keys, *columns, F.col(y).alias("_y")).na.drop()
     params = fit_orders(moment_matrix(complete, keys, [*columns, "_y"]), keys, [order], len(exog))
     joined = rows.join(params.select(*keys, "const", "ar", "ma", "beta"), list(keys), "left")
-    drift = F.col("const") + dot(F.col("beta"), 0, exog)
-    packed = joined.withColumn("_drift", drift).groupBy(*keys).agg(
-        F.first("ar").alias("ar"), F.first("ma").alias("ma"),
-        F.array_sort(F.collect_list(F.struct(ts, F.col(y).alias("y"), F.coalesce("_e", F.lit(0.0)).alias("e"),
-                                             F.col("_drift").alias("d"), F.col("_train").alias("t")))).alias("_rows"))
-    train_rows = F.reverse(F.filter("_rows", lambda r: r["t"]))
-    test_rows = F.filter("_rows", lambda r: ~r["t"])
-
-    def latest(field, size):
-        values = F.transform(F.slice(train_rows, 1, max(size, 1)), lambda r: r[field])
-        return F.slice(F.concat(values, F.array_repeat(F.lit(0.0), max(size, 1))), 1, max(size, 1))
-
-    start = F.struct(latest("y", p).alias("y"), latest("e", q).alias("e"), F.array().cast("array<double>").alias("out"))
-
-    def step(s, r):
-        pred = (r["d"] + sum((F.col("ar")[i] * s["y"][i] for i in range(p)), F.lit(0.0))
-                + sum((F.col("ma")[j] * s["e"][j] for j in range(q)), F.lit(0.0)))
-        return F.struct(F.slice(F.concat(F.array(pred), s["y"]), 1, max(p, 1)).alias("y"),
-                        F.slice(F.concat(F.array(F.lit(0.0)), s["e"]), 1, max(q, 1)).alias("e"),
-                        F.concat(s["out"], F.array(pred)).alias("out"))
-
-    paths = packed.select(*keys, test_rows.alias("_test"), F.aggregate(test_rows, start, step, lambda s: s["out"]).alias("_out"))
-    return (paths.select(*keys, F.explode(F.arrays_zip(F.col("_test").alias("r"), F.coalesce("_out", F.array()).alias("p"))).alias("z"))
-            .select(*keys, F.col(f"z.r.{ts}").alias(ts), F.col("z.r.y").alias("actual"), F.col("z.p").alias("pred")))
+    return iterated_forecasts(joined.withColumn("_base", F.col("const") + dot(F.col("beta"), 0, exog)), keys, ts, y, p, q)
 
 
 def with_last_fit(rows: DataFrame, fits: DataFrame, columns, keys, bucket: str, ts: str) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import folds
+
 WEEK = "week_end_date"
 MODELS = ("garch", "egarch", "gjr")
 N_PARAMS = {"garch": 3, "egarch": 4, "gjr": 4}
@@ -122,20 +124,35 @@ def volatility_fit(resid: DataFrame, column: str = "resid", model: str = "gjr",
                        F.col("_s.at_boundary").alias("at_boundary"), F.when(v.isNull(), "no variance").otherwise("ok").alias("fit_status"))
 
 
-def next_variance(e: Column, h: Column, omega: Column, alpha: Column, gamma: Column, beta: Column,
-                  floor: float | None = None) -> Column:
-    """One step of the asymmetric recursion; null (or the floor) where it is not positive and finite."""
+def next_variance(e: Column, h: Column, omega: Column, alpha: Column, gamma: Column, beta: Column) -> Column:
+    """One step of the asymmetric recursion; null where it is not positive and finite."""
     raw = omega + (alpha + F.when(e < 0, gamma).otherwise(0.0)) * e * e + beta * h
-    if floor is not None:
-        return F.greatest(raw, F.lit(floor))
     return F.when((raw > 0) & ~F.isnan(raw) & (raw < F.lit(float("inf"))), raw)
 
 
-def _next_log_variance(e: Column, h: Column, omega, alpha, gamma, beta) -> Column:
-    z = e / F.sqrt(h)
-    # Clipped as in the fit.
-    log_h = omega + alpha * (F.abs(z) - MEAN_ABS_Z) + gamma * z + beta * F.log(h)
-    return F.exp(F.greatest(F.lit(-60.0), F.least(F.lit(60.0), log_h)))
+def variances(model: str, floor: float | None):
+    """Conditional variances along a series, as a fold of columns e, omega, alpha, gamma, beta and h0."""
+    def after(e, h, omega, alpha, gamma, beta):
+        if model == "egarch":
+            z = e / math.sqrt(h)
+            # Clipped as in the fit.
+            return math.exp(max(-60.0, min(60.0, omega + alpha * (abs(z) - MEAN_ABS_Z) + gamma * z + beta * math.log(h))))
+        raw = omega + (alpha + (gamma if e < 0 else 0.0)) * e * e + beta * h
+        if floor is not None:
+            return max(raw, floor)
+        return raw if raw > 0 and math.isfinite(raw) else None
+
+    def block(state, columns):
+        last_e, last_h = state
+        out = []
+        for e, *given, h0 in zip(*[columns[f"_f_{c}"] for c in ("e", "omega", "alpha", "gamma", "beta", "h0")]):
+            h = h0 if last_e is None else None if None in given else after(last_e, last_h, *given)
+            out.append(h)
+            if h is not None and e is not None:
+                last_e, last_h = e, h
+        return (last_e, last_h), [out]
+
+    return block
 
 
 def variance_recursion(df: DataFrame, params: DataFrame, column: str = "resid", keys=("series",), ts: str = WEEK,
@@ -146,25 +163,12 @@ def variance_recursion(df: DataFrame, params: DataFrame, column: str = "resid",
     valid variance yields null and leaves the state as it was; a null residual
     does the same.
     """
-    packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(ts, F.col(column).alias("e"), *carry))).alias("_rows"))
     # A series without parameters keeps its rows, with null variances.
-    joined = packed.join(params.select(*keys, "omega", "alpha", "gamma", "beta", "h0"), list(keys), "left")
-    par = [F.col(c) for c in ("omega", "alpha", "gamma", "beta")]
-    start = F.struct(F.lit(None).cast("double").alias("e"), F.col("h0").alias("h"), F.array().cast("array<double>").alias("out"))
-
-    def step(s, r):
-        moved = (_next_log_variance(s["e"], s["h"], *par) if model == "egarch"
-                 else next_variance(s["e"], s["h"], *par, floor=floor))
-        h = F.when(s["e"].isNull(), s["h"]).otherwise(moved)
-        known = h.isNotNull() & r["e"].isNotNull()
-        return F.struct(F.when(known, r["e"]).otherwise(s["e"]).alias("e"), F.when(known, h).otherwise(s["h"]).alias("h"),
-                        F.concat(s["out"], F.array(h)).alias("out"))
-
-    folded = joined.withColumn("_h", F.aggregate("_rows", start, step, lambda s: s["out"]))
-    return (folded.select(*keys, F.explode(F.arrays_zip(F.col("_rows").alias("r"), F.col("_h").alias("h"))).alias("z"))
-            .select(*keys, F.col(f"z.r.{ts}").alias(ts), F.col("z.r.e").alias(column), F.col("z.h").alias("h"),
-                    F.sqrt("z.h").alias("sigma"), (F.col("z.r.e") / F.sqrt("z.h")).alias("z"),
-                    *[F.col(f"z.r.{c}").alias(c) for c in carry]))
+    names = ["omega", "alpha", "gamma", "beta", "h0"]
+    given = params.select(*keys, *[F.col(c).cast("double").alias(f"_f_{c}") for c in names])
+    rows = df.select(*keys, ts, F.col(column).cast("double").alias("_f_e"), *carry).join(given, list(keys), "left")
+    out = folds.carried(rows, keys, [ts], ["_f_e", *[f"_f_{c}" for c in names]], "h double", lambda: (None, None), variances(model, floor))
+    return out.select(*keys, ts, F.col("_f_e").alias(column), "h", F.sqrt("h").alias("sigma"), (F.col("_f_e") / F.sqrt("h")).alias("z"), *carry)
 
 
 def variance_path(state: DataFrame, steps: Column, keys=("series",)) -> DataFrame:
