@@ -492,11 +492,12 @@ def event_bins(spark, sf):
 
 
 def stage_stream(bins, staged: str, delay_hours: int, files: int | None = None):
-    """Files in time order, then a heartbeat that lies beyond the watermark's delay."""
+    """Files in time order, then a heartbeat of every series that lies beyond the delay."""
     ordered = bins.repartitionByRange(files, "ts") if files else bins.repartitionByRange("ts")
     ordered.sortWithinPartitions("ts").write.parquet(staged)
-    beat = bins.agg(F.max("ts").alias("ts")).select(
-        F.lit("").alias("series"), (F.col("ts") + F.expr(f"INTERVAL {delay_hours + 24} HOURS")).alias("ts"),
+    end = bins.agg(F.max("ts").alias("end")).first()["end"]
+    beat = bins.select("series").distinct().select(
+        "series", (F.lit(end) + F.expr(f"INTERVAL {delay_hours + 24} HOURS")).alias("ts"),
         F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("double").alias("value"))
     beat.write.mode("append").parquet(staged)
 
@@ -509,7 +510,7 @@ def scored_stream(spark, bins, params, files: int | None = None, per_trigger: in
     stage_stream(bins, staged, delay_hours, files)
     reader = spark.readStream.schema(bins.schema)
     stream = (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).parquet(staged)
-    run_to_table(score(stream, params, f"{delay_hours} hours"), path, fresh_path(spark, "scored-checkpoint"))
+    run_to_table(score(stream, params, delay_hours), path, fresh_path(spark, "scored-checkpoint"))
     return spark.read.parquet(path)
 
 
@@ -536,12 +537,15 @@ r AS (
         FROM r JOIN s ON s.series = r.series AND s.rn = r.rn + 1) AS x)
 SELECT series, strftime(ts, '%Y-%m-%d %H:%M') AS hour, event_id, false AS late, round(value, 6) AS actual, round(pred, 6) AS pred, round(sqrt(h), 6) AS sigma,
        round(pred - 1.96 * sqrt(h), 6) AS lower_95, round(pred + 1.96 * sqrt(h), 6) AS upper_95
-FROM r"""
+FROM r
+UNION ALL
+SELECT series, strftime(ts, '%Y-%m-%d %H:%M'), event_id, false, round(value, 6), NULL, NULL, NULL, NULL
+FROM bins WHERE series NOT IN (SELECT series FROM par)"""
 
 
 @query("online_scorer", sql=SCORES)
 def online_scorer(spark, sf):
-    """Score a stream of hourly values of every user, staged as files; none of its rows is late."""
+    """Score a stream of hourly values of every user, staged as files; none of its rows is late. Users without a model keep their rows."""
     bins = durable(event_bins(spark, sf))
     scored = scored_stream(spark, bins, durable(stream_params(bins)))
     return rounded(with_hour(scored, "late"), 6)
@@ -552,7 +556,7 @@ def online_scorer_twin(spark, sf):
     """The same rows by the batch operators."""
     bins = durable(event_bins(spark, sf))
     params = durable(stream_params(bins))
-    keyed = bins.join(params.select("series"), "series", "left_semi").withColumn("key", F.struct("ts", "event_id"))
+    keyed = bins.withColumn("key", F.struct("ts", "event_id"))
     means = A.arma_filter(keyed, params.withColumn("p", F.lit(1)), "value", ts="key", max_p=1, max_q=1)
     vol = V.variance_recursion(means, params, "resid", ts="key").select("series", "key", "sigma")
     both = V.with_band(means.join(vol, ["series", "key"]))

@@ -1,4 +1,4 @@
-"""The online scorer equals its batch twin row for row, whatever the files; late rows are given back."""
+"""The online scorer equals its batch twin row for row, whatever the files; late rows are given back and counted."""
 
 import datetime as dt
 
@@ -7,7 +7,7 @@ import pandas as pd
 from panelloom.registry import load
 from panelloom.registry.models import event_bins, scored_stream, stream_params
 from panelloom.session import durable
-from panelloom.streaming.scorer import scorer
+from panelloom.streaming.scorer import late_rows, online_scorer, run_to_table, scorer
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,18 +29,44 @@ def test_one_file_a_trigger_loses_nothing(spark):
     got = scored_stream(spark, bins, params, files=40, per_trigger=1, delay_hours=24 * 40)
     whole = scored_stream(spark, bins, params)
     order = lambda df: sorted(tuple(r) for r in df.collect())
-    assert order(got) == order(whole) and got.count() == bins.join(params, "series", "left_semi").count()
+    assert order(got) == order(whole) and got.count() == bins.count()
 
 
-class Memory:
-    exists, hasTimedOut, mark = False, False, 0
+def write_rows(spark, folder, name, rows):
+    spark.createDataFrame([(s, t, e, v) for s, t, e, v in rows], "series string, ts timestamp, event_id long, value double").coalesce(1).write.parquet(f"{folder}/{name}")
+
+
+def minutes(n):
+    return dt.datetime(2024, 1, 1) + dt.timedelta(hours=n)
+
+
+PARAMS = [("s", 0.0, [1.0], [0.0], 0.1, 0.1, 0.0, 0.8, 1.0)]
 
-    def getCurrentWatermarkMs(self):
-        return self.mark
 
-    def setTimeoutTimestamp(self, at):
-        assert at > self.mark
-        self.due = at
+def test_late_rows_of_a_real_stream_are_counted(spark, tmp_path):
+    """Two triggers: what comes after a later row was scored is given back late, whatever Spark's watermark would do."""
+    params = spark.createDataFrame(PARAMS, "series string, const double, ar array<double>, ma array<double>, omega double, alpha double, gamma double, beta double, h0 double")
+    staged, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def trigger():
+        stream = spark.readStream.schema("series string, ts timestamp, event_id long, value double").parquet(f"{staged}/*")
+        run_to_table(online_scorer(stream, params, delay_hours=2), out, str(tmp_path / "checkpoint"))
+        return {(r.series, r.event_id): (r.late, r.n_late, r.pred) for r in spark.read.parquet(out).collect()}
+
+    write_rows(spark, staged, "a", [("s", minutes(h), h, float(h)) for h in (9, 1, 5, 3)] + [("other", minutes(h), h, 1.0) for h in (4, 2, 30)])
+    first = trigger()
+    assert first == {("s", 1): (False, 0, None), ("s", 3): (False, 0, 1.0), ("s", 5): (False, 0, 3.0), ("other", 2): (False, 0, None), ("other", 4): (False, 0, None)}
+    # 2 and 4 are older than 5, which is scored; 6 is old too, but nothing after it was scored, so it isn't late.
+    write_rows(spark, staged, "b", [("s", minutes(h), h, float(h)) for h in (2, 4, 6, 20)] + [("other", minutes(1), 1, 7.0), ("other", minutes(40), None, None)])
+    second = trigger()
+    assert {k: v for k, v in second.items() if k not in first} == {
+        ("s", 2): (True, 1, None), ("s", 4): (True, 2, None), ("s", 6): (False, 2, 5.0), ("s", 9): (False, 2, 6.0), ("other", 1): (True, 1, None), ("other", 30): (False, 1, None)}
+    counts = {r.series: (r.n_scored, r.n_late) for r in late_rows(spark.read.parquet(out)).collect()}
+    assert counts == {"s": (5, 2), "other": (3, 1)}
+
+
+class Memory:
+    exists = False
 
     def update(self, value):
         self.get, self.exists = value, True
@@ -49,25 +75,18 @@ class Memory:
         self.exists = False
 
 
-def batch(*minutes):
-    return pd.DataFrame([{"series": "s", "ts": pd.Timestamp(dt.datetime(2024, 1, 1, 0, m)), "event_id": m, "value": float(m),
-                          "const": 0.0, "ar": [1.0], "ma": [0.0], "omega": 0.1, "alpha": 0.1, "gamma": 0.0, "beta": 0.8,
-                          "h0": 1.0} for m in minutes])
+def batch(*hours):
+    return pd.DataFrame([{"series": "s", "ts": pd.Timestamp(minutes(h)), "event_id": h, "value": float(h), "model": [0.0, 0.1, 0.1, 0.0, 0.8, 1.0, 1.0, 0.0], "n_ar": 1} for h in hours])
 
 
-def at(minute):
-    return int(dt.datetime(2024, 1, 1, 0, minute, tzinfo=dt.timezone.utc).timestamp() * 1000)
+def beat(hour):
+    return pd.DataFrame([{"series": "s", "ts": pd.Timestamp(minutes(hour)), "event_id": None, "value": None, "model": None, "n_ar": None}])
 
 
-def test_rows_wait_for_the_watermark_and_late_ones_are_marked():
-    state, run = Memory(), scorer(ttl_ms=60_000)
-    assert list(run(("s",), iter([batch(5, 1, 9)]), state)) == [] and state.due > 0
-    state.mark = at(6)
-    first = pd.concat(run(("s",), iter([batch(3)]), state))
-    assert list(first.actual) == [1.0, 3.0, 5.0] and list(first.late) == [False] * 3 and list(first.pred)[1:] == [1.0, 3.0]
-    second = pd.concat(run(("s",), iter([batch(4)]), state))
-    assert list(second.actual) == [4.0] and list(second.late) == [True] and second.pred.isna().all()
-    state.mark, state.hasTimedOut = at(20), True
-    third = pd.concat(run(("s",), iter([pd.DataFrame({"value": []})]), state))
-    assert list(third.actual) == [9.0] and list(third.pred) == [5.0] and state.exists
-    assert list(run(("s",), iter([]), state)) == [] and not state.exists
+def test_a_silent_series_is_scored_and_forgotten():
+    hour = 3_600_000_000
+    state, run = Memory(), scorer(2 * hour, 50 * hour)
+    assert [list(x.actual) for x in run(("s",), iter([batch(5, 1, 9)]), state)] == [[1.0, 5.0]] and state.exists
+    (last,) = run(("s",), iter([beat(12)]), state)
+    assert list(last.actual) == [9.0] and list(last.pred) == [5.0] and state.exists
+    assert list(run(("s",), iter([beat(62)]), state)) == [] and not state.exists
