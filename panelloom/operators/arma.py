@@ -90,12 +90,36 @@ _stable = _stable.asNondeterministic()
 def fit_orders(moments: DataFrame, keys, orders, n_exog: int = 0) -> DataFrame:
     """One row per key and order: coefficients, variance, criteria, stability."""
     max_p, max_q = max(p for p, _ in orders), max(q for _, q in orders)
-    width = 1 + max_p + max_q + n_exog
     candidates = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"),
                                     _ints(order_positions(p, q, max_p, max_q, n_exog)).alias("x")) for p, q in orders])
+    tried = moments.select(*keys, "n_rows", "m", F.explode(candidates).alias("o")).select("*", "o.*").drop("o")
+    return fitted(tried, keys, max_p, max_q, n_exog)
+
+
+def fit_given_orders(moments: DataFrame, keys, by, orders: DataFrame, default, max_p: int, max_q: int, n_exog: int = 0) -> DataFrame:
+    """One row per key with the order that the table ``orders`` (*by, p, q) gives it, or ``default``.
+
+    All orders read one design of ``max_p`` and ``max_q`` lags; columns beyond an order are left out of its solve. Orders above
+    these are cut to them, and a row without p or q counts as the default.
+    """
+    def cut(name, standard, most):
+        return F.greatest(F.lit(0), F.least(F.lit(most), F.coalesce(F.col(f"_{name}").cast("int"), F.lit(standard)))).alias(name)
+
+    def columns(first, count):
+        return F.when(count > 0, F.sequence(F.lit(first), F.lit(first) + count - 1)).otherwise(F.array().cast("array<int>"))
+
+    given = orders.select(*by, F.col("p").alias("_p"), F.col("q").alias("_q")).dropDuplicates(list(by))
+    tried = moments.join(given, list(by), "left").select(*keys, "n_rows", "m", cut("p", default[0], max_p), cut("q", default[1], max_q))
+    exog = F.array(*[F.lit(1 + max_p + max_q + i) for i in range(n_exog)]).cast("array<int>")
+    x = F.concat(_ints([0]), columns(1, F.col("p")), columns(1 + max_p, F.col("q")), exog)
+    return fitted(tried.withColumn("x", x), keys, max_p, max_q, n_exog)
+
+
+def fitted(tried: DataFrame, keys, max_p: int, max_q: int, n_exog: int) -> DataFrame:
+    """The fits of rows with moments ``m``, an order ``p, q`` and its columns ``x``."""
+    width = 1 + max_p + max_q + n_exog
     n, k = F.col("n_rows").cast("double"), (F.col("p") + F.col("q") + 2).cast("double") + n_exog
-    tried = (moments.select(*keys, "n_rows", "m", F.explode(candidates).alias("o")).select("*", "o.*").drop("o")
-             .filter(F.col("n_rows") > F.col("p") + F.col("q") + 1 + n_exog)
+    tried = (tried.filter(F.col("n_rows") > F.col("p") + F.col("q") + 1 + n_exog)
              .withColumn("_fit", solve("m", F.col("x"), _ints([width]))))
     coef = F.col("_fit.coef")[0]
     ssr = F.col("_fit.sscp")[0]
@@ -126,6 +150,20 @@ def arma_candidates(df: DataFrame, y: str, train: Column, keys=("series",), ts:
     return df.select(*keys).distinct().join(fits, list(keys), "left")
 
 
+def arma_given(df: DataFrame, y: str, train: Column, orders: DataFrame, default=(1, 2), keys=("series",), ts: str = WEEK,
+               max_p: int = 3, max_q: int = 3) -> DataFrame:
+    """The fit of each series at the order the table ``orders`` (*keys, p, q) names for it: see ``fit_given_orders``.
+
+    Same columns as ``arma_candidates``, one row per series; a series too short for its order stays, with nulls.
+    """
+    shocks = with_shocks(df.select(*keys, ts, y, train.alias("_is_train")), y, F.col("_is_train"), keys, ts)
+    rows = lagged_design(shocks, y, max_p, max_q, keys, ts).filter("_train")
+    columns = design_columns(max_p, max_q)
+    complete = rows.select(*keys, *columns, F.col(y).alias("_y")).na.drop()
+    fits = fit_given_orders(moment_matrix(complete, keys, [*columns, "_y"]), keys, keys, orders, default, max_p, max_q)
+    return df.select(*keys).distinct().join(fits, list(keys), "left")
+
+
 def arma_select(candidates: DataFrame, keys=("series",)) -> DataFrame:
     """Lowest AIC among the stable candidates; the smaller order wins a tie.
 
@@ -233,27 +271,41 @@ def arma_horizon_recursive(df: DataFrame, params: DataFrame, y: str, horizons=(1
 
 # -- models with regressors -------------------------------------------------
 
+MOST = 3
+"""Lags of the shared design when orders come as a table."""
+
+
+def _lags_of(order) -> tuple[int, int]:
+    return (MOST, MOST) if isinstance(order, DataFrame) else order
+
+
+def _exog_fit(moments, keys, by, order, n_exog):
+    if isinstance(order, DataFrame):
+        return fit_given_orders(moments, keys, by, order, (1, 2), MOST, MOST, n_exog)
+    return fit_orders(moments, keys, [order], n_exog)
+
+
 def _exog_design(df, y, exog, order, keys, ts):
-    p, q = order
+    p, q = _lags_of(order)
     train = F.col("split") == "train"
     shocks = with_shocks(df, y, train, keys, ts, exog=tuple(exog))
     return lagged_design(shocks, y, p, q, keys, ts), design_columns(p, q, exog)
 
 
 def arx_fit(df: DataFrame, y: str, exog, order=(1, 2), keys=("series",), ts: str = WEEK) -> DataFrame:
-    """Mean equation with regressors by minimum norm, one row per key."""
+    """Mean equation with regressors by minimum norm, one row per key. ``order`` is (p, q), or a table (*keys, p, q)."""
     rows, columns = _exog_design(df, y, list(exog), order, keys, ts)
     complete = rows.filter("_train").select(*keys, *columns, F.col(y).alias("_y")).na.drop()
-    return fit_orders(moment_matrix(complete, keys, [*columns, "_y"]), keys, [order], len(exog))
+    return _exog_fit(moment_matrix(complete, keys, [*columns, "_y"]), keys, keys, order, len(exog))
 
 
 def arx_static_forecast(df: DataFrame, y: str, exog, order=(1, 2), keys=("series",), ts: str = WEEK) -> DataFrame:
-    """Forecasts of the test rows from the training end, regressors of the test rows known."""
-    p, q = order
+    """Forecasts of the test rows from the training end, regressors of the test rows known. ``order`` as in ``arx_fit``."""
+    p, q = _lags_of(order)
     exog = list(exog)
     rows, columns = _exog_design(df, y, exog, order, keys, ts)
     complete = rows.filter("_train").select(*keys, *columns, F.col(y).alias("_y")).na.drop()
-    params = fit_orders(moment_matrix(complete, keys, [*columns, "_y"]), keys, [order], len(exog))
+    params = _exog_fit(moment_matrix(complete, keys, [*columns, "_y"]), keys, keys, order, len(exog))
     joined = rows.join(params.select(*keys, "const", "ar", "ma", "beta"), list(keys), "left")
     return iterated_forecasts(joined.withColumn("_base", F.col("const") + dot(F.col("beta"), 0, exog)), keys, ts, y, p, q)
 
@@ -279,16 +331,16 @@ def arx_rolling_refit(df: DataFrame, y: str, exog, order=(1, 2), every: int = 12
                       ts: str = WEEK) -> DataFrame:
     """Expanding one-step forecasts of the test rows, coefficients renewed every ``every`` rows.
 
-    ``df`` carries ``split``, ``rn`` and ``n`` of the chronological split. The
+    ``order`` is as in ``arx_fit``. ``df`` carries ``split``, ``rn`` and ``n`` of the chronological split. The
     shocks regressed on stay those of the training fit.
     """
-    p, q = order
+    p, q = _lags_of(order)
     exog = list(exog)
     rows, columns = _exog_design(df, y, exog, order, keys, ts)
     rows = rows.withColumn("_offset", test_offset(keys, ts)).withColumn("_bucket", refit_bucket(every)).drop("_offset")
     complete = rows.select(*keys, "_bucket", *columns, F.col(y).alias("_y")).na.drop()
     moments = moment_matrix(complete, keys, [*columns, "_y"], running="_bucket")
-    params = fit_orders(moments, [*keys, "_bucket"], [order], len(exog))
+    params = _exog_fit(moments, [*keys, "_bucket"], keys, order, len(exog))
     # A test row at offset i uses the fit of bucket floor(i / every): all rows before that refit.
     use = F.when(F.col("_train"), F.lit(0)).otherwise(F.col("_bucket") - 1)
     joined = with_last_fit(rows.withColumn("_bucket", use), params, ["const", "ar", "ma", "beta"], keys, "_bucket", ts)

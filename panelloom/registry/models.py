@@ -107,6 +107,38 @@ def arma_rolling(spark, sf):
     return rounded(A.arma_filter(model, selected(model), "diff", carry=("split",)))
 
 
+# Orders as data: a series that isn't named gets (1, 2).
+GIVEN_ORDERS = [("1-URGENT", 1, 2), ("2-HIGH", 2, 1), ("3-MEDIUM", 3, 0), ("4-NOT SPECIFIED", 0, 1)]
+GIVEN_FILTERED = FILTERED.replace(SELECTED, CANDIDATES + f""",
+giv AS (SELECT * FROM (VALUES {", ".join(map(str, GIVEN_ORDERS))}) AS g(series, p, q)),
+sel AS (SELECT cand.* FROM cand LEFT JOIN giv ON giv.series = cand.series WHERE cand.p = coalesce(giv.p, 1) AND cand.q = coalesce(giv.q, 2) AND stable)""")
+
+
+def given_orders(spark):
+    return spark.createDataFrame(GIVEN_ORDERS, "series string, p int, q int")
+
+
+@query("arma_given_orders", sql=f"""
+WITH RECURSIVE {GIVEN_FILTERED}
+SELECT fl.series, p AS order_p, q AS order_q, week_end_date, round(y, 4) AS actual, round(pred, 4) AS pred, split FROM fl JOIN sel ON sel.series = fl.series""")
+def arma_given_orders(spark, sf):
+    """Rolling forecasts of series of unlike orders, fitted in one job from one design."""
+    model = durable(P.segment_model(spark, sf))
+    params = durable(A.arma_select(A.arma_given(model, "diff", is_train(), given_orders(spark))))
+    rows = A.arma_filter(model, params, "diff", carry=("split",))
+    named = rows.join(params.where("fit_status = 'ok'").select("series", F.col("p").alias("order_p"), F.col("q").alias("order_q")), "series")
+    return rounded(named.select("series", "order_p", "order_q", "week_end_date", "actual", "pred", "split"))
+
+
+@query("arx_given_orders")
+def arx_given_orders(spark, sf):
+    """Rolling refits with regressors, each series at its own order."""
+    frame, exog = arx_panel(spark, sf)
+    own = spark.createDataFrame([(SHORT[s], p, q) for s, p, q in GIVEN_ORDERS], "series string, p int, q int")
+    out = A.arx_rolling_refit(frame, "y", exog, own)
+    return rounded(out.filter((F.col("split") == "test") & F.col("pred").isNotNull()).drop("split"))
+
+
 @query("arma_rolling_suppliers")
 def arma_rolling_suppliers(spark, sf):
     """Selection and rolling forecasts on a panel whose number of series grows with the data."""
