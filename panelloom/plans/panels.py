@@ -38,6 +38,36 @@ def segment_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chronological_split(changed)
 
 
+def framed_segment_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series of the order priorities of every market segment: ``segment|priority``."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    daily = (table(spark, sf_dir, "orders").join(customers, "o_custkey")
+             .groupBy(F.concat_ws("|", "c_mktsegment", "o_orderpriority").alias("series"), day("o_orderdate").alias("ts"))
+             .agg(F.avg("o_totalprice").alias("value")))
+    return resample_week(interpolate_time(daily))
+
+
+def framed_segment_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chronological_split(diff(framed_segment_weekly(spark, sf_dir), "level", "diff").filter(F.col("diff").isNotNull()))
+
+
+def framed_driver_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The market series of the line items of every market segment: ``segment|name``."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("frame"))
+    orders = table(spark, sf_dir, "orders").join(customers, "o_custkey").select(F.col("o_orderkey").alias("l_orderkey"), "frame")
+    daily = (table(spark, sf_dir, "lineitem").join(orders, "l_orderkey").groupBy("frame", day("l_shipdate").alias("ts"))
+             .agg(F.avg("l_discount").alias("DISCOUNT"), F.sum("l_extendedprice").alias("PRICE"),
+                  F.avg("l_tax").alias("TAX"), F.sum("l_quantity").alias("QUANTITY")))
+    long = daily.unpivot(["frame", "ts"], list(DRIVERS), "name", "value")
+    return resample_week(interpolate_time(long.select(F.concat_ws("|", "frame", "name").alias("series"), "ts", "value")), "last")
+
+
+def with_frame(panel: DataFrame) -> DataFrame:
+    """``frame|name`` series as a frame and the series in it."""
+    parts = F.split("series", r"\|")
+    return panel.withColumn("frame", parts[0]).withColumn("series", parts[1])
+
+
 def driver_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Market series of the line items by ship date: two means, two sums."""
     daily = (table(spark, sf_dir, "lineitem").groupBy(day("l_shipdate").alias("ts"))

@@ -56,6 +56,27 @@ drv_daily AS (
   UNION ALL SELECT 'TAX', d, TAX FROM drv_wide
   UNION ALL SELECT 'QUANTITY', d, QUANTITY FROM drv_wide)"""
 
+# The same by market segment: series are called segment|name.
+FRAMED_SEG_DAILY = """seg_daily AS (
+  SELECT c_mktsegment || '|' || o_orderpriority AS series, CAST(o_orderdate AS DATE) AS d, avg(o_totalprice) AS value
+  FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2)"""
+
+FRAMED_DRV_DAILY = """drv_wide AS (
+  SELECT c_mktsegment AS frame, CAST(l_shipdate AS DATE) AS d, avg(l_discount) AS DISCOUNT, sum(l_extendedprice) AS PRICE,
+         avg(l_tax) AS TAX, sum(l_quantity) AS QUANTITY
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2),
+drv_daily AS (
+  SELECT frame || '|DISCOUNT' AS series, d, DISCOUNT AS value FROM drv_wide
+  UNION ALL SELECT frame || '|PRICE', d, PRICE FROM drv_wide
+  UNION ALL SELECT frame || '|TAX', d, TAX FROM drv_wide
+  UNION ALL SELECT frame || '|QUANTITY', d, QUANTITY FROM drv_wide)"""
+
+
+def framed(sql: str) -> str:
+    """The SQL of the panels with one frame per market segment."""
+    return sql.replace(SEG_DAILY, FRAMED_SEG_DAILY).replace(DRV_DAILY, FRAMED_DRV_DAILY)
+
+
 FLAG_WIDE = """flag_wide AS (
   SELECT CAST(l_shipdate AS DATE) AS observation_date,
          avg(CASE WHEN l_returnflag = 'A' THEN l_extendedprice END) AS A_price,

@@ -7,7 +7,7 @@ from ..operators import windows as W
 from ..operators.cleaning import max_abs_scale, relabel
 from ..operators.joins import panel_to_wide
 from ..plans import panels as P
-from .base import DRV_WEEKLY, FORECASTS, SEG_MODEL, SEG_WEEKLY, query, rounded
+from .base import DRV_WEEKLY, FORECASTS, SEG_MODEL, SEG_WEEKLY, framed, query, rounded
 from .joins import DRV_WIDE
 
 WIN = "WINDOW w AS (PARTITION BY series ORDER BY week_end_date)"
@@ -174,22 +174,45 @@ SEG_COLS = """seg_cols AS (
   FROM seg_weekly GROUP BY 1)"""
 
 
-def credit_wide(spark, sf):
-    panel = relabel(P.segment_weekly(spark, sf), "series", SHORT).withColumn("frame", F.lit("all"))
+def wide_columns(out: str, weekly: str, names: dict[str, str]) -> str:
+    """Levels of ``segment|name`` series, one column per name and one row per frame and week."""
+    part = "split_part(series, '|', {})".format
+    return f"""{out} AS (
+  SELECT {part(1)} AS frame, week_end_date, {", ".join(f"max(CASE WHEN {part(2)} = '{s}' THEN level END) AS {n}" for s, n in names.items())}
+  FROM {weekly} GROUP BY 1, 2)"""
+
+
+FRAMED_WIDE = f"{framed(SEG_WEEKLY)}, {wide_columns('seg_cols', 'seg_weekly', SHORT)}, {framed(DRV_WEEKLY)}, {wide_columns('drv_cols', 'drv_weekly', {d: d for d in P.DRIVERS})}"
+
+
+def credit_wide(spark, sf, by_segment=False):
+    if by_segment:
+        panel = relabel(P.with_frame(P.framed_segment_weekly(spark, sf)), "series", SHORT)
+    else:
+        panel = relabel(P.segment_weekly(spark, sf), "series", SHORT).withColumn("frame", F.lit("all"))
     return panel_to_wide(panel, CREDIT, "level", "week_end_date", ("frame",))
 
 
-def market_wide(spark, sf):
-    panel = P.driver_weekly(spark, sf).withColumn("frame", F.lit("all"))
+def market_wide(spark, sf, by_segment=False):
+    panel = P.with_frame(P.framed_driver_weekly(spark, sf)) if by_segment else P.driver_weekly(spark, sf).withColumn("frame", F.lit("all"))
     return panel_to_wide(panel, P.DRIVERS, "level", "week_end_date", ("frame",))
 
 
-def feature_frame(spark, sf):
+def feature_frame(spark, sf, by_segment=False):
     """Credit and market levels on all weeks of either, with every derived feature."""
-    wide = credit_wide(spark, sf).join(market_wide(spark, sf), ["frame", "week_end_date"], "full")
+    wide = credit_wide(spark, sf, by_segment).join(market_wide(spark, sf, by_segment), ["frame", "week_end_date"], "full")
     return X.direct_features(wide, CREDIT, GAPS, price="PRICE", fear="QUANTITY", long_rate="DISCOUNT", short_rate="TAX")
 
 
+def by_frame(sql: str) -> str:
+    """A query on one frame of all weeks as the same on every market segment's frame."""
+    head = f"{SEG_WEEKLY}, {SEG_COLS}, {DRV_WEEKLY}, {DRV_WIDE}"
+    assert head in sql
+    return (sql.replace(head, FRAMED_WIDE).replace("(ORDER BY week_end_date", "(PARTITION BY frame ORDER BY week_end_date")
+            .replace("USING (week_end_date)", "USING (frame, week_end_date)").replace("SELECT 'all' AS frame", "SELECT frame")
+            .replace("l AS (SELECT week_end_date", "l AS (SELECT frame, week_end_date"))
+
+
 def _direct_sql() -> str:
     gaps = [f"{a}_{b}_gap" for a, b in GAPS]
     macro = ["PRICE_ret", "QUANTITY", "QUANTITY_change", "DISCOUNT", "TAX", "DISCOUNT_change", "TAX_change", "slope", "slope_change"]
@@ -226,17 +249,23 @@ def direct_features(spark, sf):
     return rounded(feature_frame(spark, sf))
 
 
+@query("direct_features_by_segment", sql=by_frame(_direct_sql()))
+def direct_features_by_segment(spark, sf):
+    """One frame per market segment: windows of all frames run apart."""
+    return rounded(feature_frame(spark, sf, by_segment=True))
+
+
 ARX_GAPS = GAPS[:4]
 
 
-def arx_frame(spark, sf):
+def arx_frame(spark, sf, by_segment=False):
     """Regression frame: lagged credit, gap and market columns, complete weeks only."""
     w = W.ordered(keys=("frame",))
-    market = market_wide(spark, sf).select(
+    market = market_wide(spark, sf, by_segment).select(
         "*", *[(F.col(c) - F.lag(c).over(w)).alias(f"{c}_diff") for c in ("DISCOUNT", "TAX", "QUANTITY")],
         ((F.col("PRICE") / F.lag("PRICE").over(w) - 1) * 100).alias("PRICE_return"))
     columns = ["QUANTITY", "QUANTITY_diff", "PRICE_return", "DISCOUNT", "DISCOUNT_diff", "TAX", "TAX_diff", "ABSENT"]
-    return X.arx_dataset(credit_wide(spark, sf), market, CREDIT, ARX_GAPS, columns, term=("DISCOUNT", "TAX"))
+    return X.arx_dataset(credit_wide(spark, sf, by_segment), market, CREDIT, ARX_GAPS, columns, term=("DISCOUNT", "TAX"))
 
 
 def _arx_sql() -> str:
@@ -264,6 +293,11 @@ def arx_dataset(spark, sf):
     return rounded(arx_frame(spark, sf))
 
 
+@query("arx_dataset_by_segment", sql=by_frame(_arx_sql()))
+def arx_dataset_by_segment(spark, sf):
+    return rounded(arx_frame(spark, sf, by_segment=True))
+
+
 BLOCK = ("PRICE", "QUANTITY", "DISCOUNT", "TAX")
 BLOCK_TARGETS = CREDIT
 

@@ -10,7 +10,7 @@ from ..operators.moments import moment_matrix, triangle
 from ..plans import panels as P
 from ..session import durable
 from .aggregates import FCT, test_rows
-from .base import SEG_MODEL, chi2_p, cross_products, erfc_p, f_p, normal_cdf, query, rounded, swept
+from .base import SEG_MODEL, chi2_p, cross_products, erfc_p, framed, f_p, normal_cdf, query, rounded, swept
 from .features import WIN
 
 
@@ -242,6 +242,17 @@ def dm_multi(spark, sf):
     return dm_out(E.diebold_mariano_multi(wide_test(spark, sf).withColumn("system", F.lit("all")), "rw", "m4"))
 
 
+@query("diebold_mariano_by_segment", sql=f"""
+WITH {framed(DM_WIDE)}, dd AS (SELECT split_part(series, '|', 1) AS system, week_end_date, avg(pow(abs(actual - rw), 2) - pow(abs(actual - m4), 2)) AS d FROM dw GROUP BY 1, 2),
+{dm_sql("dd", "system", 1, 0)}""")
+def dm_by_segment(spark, sf):
+    """One test per market segment, over the mean loss difference of its series."""
+    rows = P.forecast_fixture(P.framed_segment_model(spark, sf)).filter((F.col("split") == "test") & F.col("pred").isNotNull())
+    of = lambda model: F.max(F.when(F.col("model") == model, F.col("pred")))
+    wide = rows.groupBy("series", "week_end_date", "actual").agg(of("Random Walk").alias("rw"), of("Mean4").alias("m4"))
+    return dm_out(E.diebold_mariano_multi(wide.withColumn("system", F.split("series", r"\|")[0]), "rw", "m4"))
+
+
 @query("pairwise_dm", sql=f"""
 WITH {FCT},
 dd AS (SELECT a.series, a.horizon, b.model AS baseline, a.model AS model, a.week_end_date, pow(abs(a.actual - b.pred), 2) - pow(abs(a.actual - a.pred), 2) AS d
