@@ -109,7 +109,7 @@ def arx_dataset(credit: DataFrame, macro: DataFrame, names, gaps, macro_columns,
     return lagged.na.drop(how="any")
 
 
-def macro_block(wide: DataFrame, targets, macro_columns) -> tuple[DataFrame, DataFrame]:
-    """Market columns that exist: their description and their correlation with the targets."""
+def macro_block(wide: DataFrame, targets, macro_columns, keys=()) -> tuple[DataFrame, DataFrame]:
+    """Market columns that exist: their description and their correlation with the targets, per key."""
     present = [c for c in macro_columns if c in wide.columns]
-    return describe(wide, present), corr_block(wide, targets, present)
+    return describe(wide, present, keys), corr_block(wide, targets, present, keys)

@@ -35,26 +35,26 @@ def descriptive_stats(df: DataFrame, column: str, keys=("series",)) -> DataFrame
         adjusted_skewness(column).alias("skewness"), adjusted_kurtosis(column).alias("kurtosis"))
 
 
-def describe(df: DataFrame, columns) -> DataFrame:
-    """count, mean, deviation, extremes and exact quartiles of several columns, one row each."""
+def describe(df: DataFrame, columns, keys=()) -> DataFrame:
+    """count, mean, deviation, extremes and exact quartiles of several columns, one row each (per key)."""
     stats = {
         "n_obs": lambda c: F.count(c).cast("double"), "mean": F.avg, "std": F.stddev_samp,
         "min": F.min, "p25": lambda c: _quantile(c, 0.25), "median": lambda c: _quantile(c, 0.5),
         "p75": lambda c: _quantile(c, 0.75), "max": F.max,
     }
-    row = df.agg(*[F.struct(*[f(c).alias(name) for name, f in stats.items()]).alias(c) for c in columns])
-    return (row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("s"))
-                                           for c in columns])).alias("r"))
-            .select("r.variable", "r.s.*"))
+    row = df.groupBy(*keys).agg(*[F.struct(*[f(c).alias(name) for name, f in stats.items()]).alias(c) for c in columns])
+    return (row.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("s"))
+                                                  for c in columns])).alias("r"))
+            .select(*keys, "r.variable", "r.s.*"))
 
 
-def corr_pairs(wide: DataFrame, pairs) -> DataFrame:
-    """Pearson correlation of named column pairs in one aggregate pass."""
+def corr_pairs(wide: DataFrame, pairs, keys=()) -> DataFrame:
+    """Pearson correlation of named column pairs in one aggregate pass (per key)."""
     pairs = list(pairs)
-    row = wide.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    return (row.select(F.explode(F.array(*[
+    row = wide.groupBy(*keys).agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    return (row.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr"))
-        for i, (a, b) in enumerate(pairs)])).alias("r")).select("r.*"))
+        for i, (a, b) in enumerate(pairs)])).alias("r")).select(*keys, "r.*"))
 
 
 def corr_matrix(wide: DataFrame, columns) -> DataFrame:
@@ -62,9 +62,9 @@ def corr_matrix(wide: DataFrame, columns) -> DataFrame:
     return corr_pairs(wide, combinations(columns, 2))
 
 
-def corr_block(wide: DataFrame, targets, drivers) -> DataFrame:
+def corr_block(wide: DataFrame, targets, drivers, keys=()) -> DataFrame:
     """Cross block: every target against every driver."""
-    return corr_pairs(wide, product(targets, drivers))
+    return corr_pairs(wide, product(targets, drivers), keys)
 
 
 def corr_panel(panel: DataFrame, names, value: str, ts: str) -> DataFrame:

@@ -302,7 +302,7 @@ BLOCK = ("PRICE", "QUANTITY", "DISCOUNT", "TAX")
 BLOCK_TARGETS = CREDIT
 
 
-@query("macro_block", sql=f"""
+MACRO_SQL = f"""
 WITH {SEG_WEEKLY}, {SEG_COLS}, {DRV_WEEKLY}, {DRV_WIDE},
 j AS (SELECT * FROM seg_cols FULL JOIN drv_cols USING (week_end_date))
 {" UNION ALL ".join(f'''
@@ -310,10 +310,26 @@ SELECT 'describe' AS part, '{c}' AS a, CAST(NULL AS VARCHAR) AS b, CAST(count({c
   round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min, round(quantile_cont({c}, 0.25), 4) AS p25, round(median({c}), 4) AS median,
   round(quantile_cont({c}, 0.75), 4) AS p75, round(max({c}), 4) AS max, CAST(NULL AS DOUBLE) AS corr FROM j''' for c in BLOCK)}
 {"".join(f''' UNION ALL SELECT 'corr', '{t}', '{c}', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, round(corr({t}, {c}), 6) FROM j'''
-         for t in BLOCK_TARGETS for c in BLOCK)}""")
+         for t in BLOCK_TARGETS for c in BLOCK)}"""
+
+
+@query("macro_block", sql=MACRO_SQL)
 def macro_block(spark, sf):
-    wide = credit_wide(spark, sf).join(market_wide(spark, sf), ["frame", "week_end_date"], "full")
-    described, corr = X.macro_block(wide, BLOCK_TARGETS, [*BLOCK, "ABSENT"])
+    return macro_rows(spark, sf)
+
+
+@query("macro_block_by_segment", sql="WITH " + FRAMED_WIDE + """,
+j AS (SELECT * FROM seg_cols FULL JOIN drv_cols USING (frame, week_end_date))"""
+       + MACRO_SQL[MACRO_SQL.index("USING (week_end_date))") + len("USING (week_end_date))"):]
+       .replace("SELECT 'describe'", "SELECT frame, 'describe'").replace("SELECT 'corr'", "SELECT frame, 'corr'").replace(" FROM j", " FROM j GROUP BY frame"))
+def macro_block_by_segment(spark, sf):
+    return macro_rows(spark, sf, by_segment=True)
+
+
+def macro_rows(spark, sf, by_segment=False):
+    keys = ["frame"] if by_segment else []
+    wide = credit_wide(spark, sf, by_segment).join(market_wide(spark, sf, by_segment), ["frame", "week_end_date"], "full")
+    described, corr = X.macro_block(wide, BLOCK_TARGETS, [*BLOCK, "ABSENT"], keys)
     both = (described.withColumnRenamed("variable", "a").withColumn("part", F.lit("describe"))
             .unionByName(corr.withColumn("part", F.lit("corr")), allowMissingColumns=True))
     return rounded(both, 4, corr=6, n_obs=0)
