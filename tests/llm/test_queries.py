@@ -1,6 +1,7 @@
 """Registered queries against their SQL, the toxicity model on held-out rows, and the pipeline stage by stage."""
 
 import random
+import zlib
 from fractions import Fraction
 
 import pytest
@@ -66,11 +67,17 @@ def test_hidden_words_are_restored():
     assert s.hidden.tolist() == [True, True, True, False, False]
 
 
-def test_labels_of_the_held_out_fold_are_not_read(spark):
+def test_labels_of_the_held_out_fold_are_not_read(spark, tmp_path):
+    """Scores stay the same when every label of the held-out fold is turned round; those of the other folds do matter."""
     fold = {r.doc_id: r.fold for r in spark.range(300).select(F.col("id").alias("doc_id")).withColumn("fold", toxicity.fold()).collect()}
-    import zlib
-
     assert all(f == zlib.crc32(str(d).encode()) % 3 for d, f in fold.items())
+    docs, labels = labelled(spark, 600)
+    for name, turned in (("as", F.lit(False)), ("held", toxicity.fold() == 1), ("others", toxicity.fold() != 1)):
+        docs.coalesce(1).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.withColumn("toxic", F.when(turned, 1 - F.col("toxic")).otherwise(F.col("toxic"))).coalesce(1).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    scores = {n: {r.doc_id: (r.held_out, r.score) for r in queries.op4_toxicity(spark, f"{tmp_path}/{n}").collect()} for n in ("as", "held", "others")}
+    assert scores["as"] == scores["held"] != scores["others"]
+    assert all(held == (fold.get(d, zlib.crc32(str(d).encode()) % 3) == 1) for d, (held, _) in scores["as"].items())
 
 
 def test_near_copies_leave_one_of_each_class(spark):
