@@ -132,6 +132,24 @@ def linear_forecast(rows: DataFrame, fit: DataFrame, features, keys=KEYS) -> Dat
     return joined.withColumn("pred", value).drop("const", "coef")
 
 
+class LinearModel:
+    """Coefficients per key, asked like a pooled model: ``transform`` adds ``pred`` to rows with a ``features`` vector.
+
+    The first entries of the vector are the features that were fitted; those after them tell keys apart and are not
+    read. Rows of a key without a fit get a null.
+    """
+
+    def __init__(self, fit: DataFrame, keys=KEYS):
+        self.fit, self.keys = fit.select(*keys, F.col("const").alias("_const"), F.col("coef").alias("_coef")), list(keys)
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+
+        x = F.slice(vector_to_array("features"), F.lit(1), F.size("_coef"))
+        value = F.aggregate(F.zip_with(x, F.col("_coef"), lambda a, b: a * b), F.col("_const"), lambda s, v: s + v)
+        return rows.join(self.fit, self.keys, "left").withColumn("pred", value).drop("_const", "_coef")
+
+
 def random_forest(trees: int = 300, depth: int = 4, leaf: int = 10, seed: int = 42):
     # Every split sees all features, as the compared library does by default.
     return RandomForestRegressor(featuresCol="features", labelCol="target", predictionCol="pred", numTrees=trees,

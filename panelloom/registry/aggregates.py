@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
 from ..operators import joins as J
+from ..operators import selection as N
 from ..operators import statistics as S
 from ..operators import windows as W
 from ..plans import panels as P
@@ -36,6 +37,41 @@ def describe(spark, sf):
     return rounded(S.describe(P.segment_model(spark, sf), ["level", "diff"]), 4, n_obs=0)
 
 
+LINE_KEYS = ["l_returnflag", "l_linestatus"]
+
+
+@query("quartiles_selected", sql="""
+WITH v AS (SELECT l_returnflag, l_linestatus, 'price' AS variable, CAST(l_extendedprice AS DOUBLE) AS v FROM lineitem
+  UNION ALL SELECT l_returnflag, l_linestatus, 'net', l_extendedprice * (1 - l_discount) FROM lineitem
+  UNION ALL SELECT l_returnflag, l_linestatus, 'quantity', l_quantity FROM lineitem)
+SELECT l_returnflag, l_linestatus, variable, count(v) AS n_obs, round(min(v), 4) AS min, round(quantile_cont(v, 0.25), 4) AS p25,
+  round(quantile_cont(v, 0.5), 4) AS median, round(quantile_cont(v, 0.75), 4) AS p75, round(max(v), 4) AS max FROM v GROUP BY 1, 2, 3""")
+def quartiles_selected(spark, sf):
+    """Exact quartiles of every line of an order, by the few keys that all lines share."""
+    lines = P.table(spark, sf, "lineitem")
+    named = {"price": F.col("l_extendedprice"), "net": F.col("l_extendedprice") * (1 - F.col("l_discount")), "quantity": F.col("l_quantity")}
+    return rounded(N.quartiles(lines, named, LINE_KEYS))
+
+
+@query("quantiles_without_key", sql=f"""
+SELECT 'o_totalprice' AS variable, p, count(*) AS n_obs, round(any_value(v), 4) AS value FROM orders,
+  (SELECT unnest([{", ".join(f"CAST({p} AS DOUBLE)" for p in (0.01, 0.1, 0.5, 0.9, 0.99))}]) AS p,
+          unnest((SELECT quantile_cont(CAST(o_totalprice AS DOUBLE), [0.01, 0.1, 0.5, 0.9, 0.99]) FROM orders)) AS v) GROUP BY 1, 2""")
+def quantiles_without_key(spark, sf):
+    return rounded(N.select_quantiles(P.table(spark, sf, "orders"), ["o_totalprice"], [0.01, 0.1, 0.5, 0.9, 0.99], keys=[]))
+
+
+@query("impute_selected", sql="""
+WITH l AS (SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN l_quantity > 40 THEN NULL ELSE CAST(l_extendedprice AS DOUBLE) END AS price FROM lineitem),
+m AS (SELECT l_returnflag, median(price) AS m FROM l WHERE l_linenumber < 5 GROUP BY 1)
+SELECT l_orderkey, l_linenumber, l_returnflag, round(coalesce(price, m), 4) AS price FROM l LEFT JOIN m USING (l_returnflag)""")
+def impute_selected(spark, sf):
+    """Prices of lines of over 40 pieces replaced by the median of the other lines of their return flag; the first four lines of an order are the training rows."""
+    price = F.when(F.col("l_quantity") <= 40, F.col("l_extendedprice").cast("double"))
+    lines = P.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", price.alias("price"))
+    return rounded(N.impute_selected(lines, ["price"], F.col("l_linenumber") < 5, ["l_returnflag"]))
+
+
 @query("corr_matrix", sql=f"""
 WITH {SEG_MODEL}
 SELECT a.series AS a, b.series AS b, round(corr(a.diff, b.diff), 6) AS corr

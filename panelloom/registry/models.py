@@ -397,6 +397,43 @@ def switching(spark, sf):
     return rounded(rows.withColumn("p_stress", F.col("p_regime")[1]).drop("p_regime"), 4)
 
 
+# Given parameters, so that recursive queries can state both passes.
+@query("regime_probabilities", sql=f"""
+WITH RECURSIVE {SEG_MODEL},
+g AS (SELECT series, avg(diff) AS m, stddev_pop(diff) AS s FROM seg_model GROUP BY 1),
+x AS (SELECT series, week_end_date, seg_model.rn, diff, exp(-0.5 * pow((diff - m + 0.5 * s) / (0.5 * s), 2)) / (0.5 * s) AS d0,
+        exp(-0.5 * pow((diff - m - s) / s, 2)) / s AS d1 FROM seg_model JOIN g USING (series)),
+fw AS (
+  SELECT series, rn, CAST(0.3 AS DOUBLE) AS prior, 0.3 * d1 / (0.7 * d0 + 0.3 * d1) AS f, 0.7 * d0 + 0.3 * d1 AS norm FROM x WHERE rn = 1
+  UNION ALL
+  SELECT series, rn, prior, prior * d1 / ((1 - prior) * d0 + prior * d1), (1 - prior) * d0 + prior * d1
+  FROM (SELECT x.series, x.rn, d0, d1, (1 - f) * 0.1 + f * 0.8 AS prior FROM fw JOIN x ON x.series = fw.series AND x.rn = fw.rn + 1) AS n),
+bw AS (
+  SELECT series, rn, prior, f AS p FROM fw WHERE (series, rn) IN (SELECT (series, max(rn)) FROM fw GROUP BY series)
+  UNION ALL
+  SELECT fw.series, fw.rn, fw.prior, fw.f * (0.2 * (1 - bw.p) / (1 - bw.prior) + 0.8 * bw.p / bw.prior)
+  FROM bw JOIN fw ON fw.series = bw.series AND fw.rn = bw.rn - 1)
+SELECT x.series, week_end_date, round(diff, 4) AS diff, round(f, 6) AS p_filtered, round(p, 6) AS p_smoothed, round(ln(norm / sqrt(2 * pi())), 6) AS loglik
+FROM x JOIN fw ON fw.series = x.series AND fw.rn = x.rn JOIN bw ON bw.series = x.series AND bw.rn = x.rn""")
+def regime_probabilities(spark, sf):
+    from ..operators import switching as H
+
+    model = durable(P.segment_model(spark, sf))
+    m, s = F.avg("diff"), F.stddev_pop("diff")
+    given = {"mu0": m - 0.5 * s, "mu1": m + s, "sd0": 0.5 * s, "sd1": s, "stay0": F.lit(0.9), "stay1": F.lit(0.8), "start1": F.lit(0.3)}
+    params = model.groupBy("series").agg(*[v.alias(c) for c, v in given.items()])
+    return rounded(H.regime_probabilities(model, params, "diff"), 6, diff=4)
+
+
+@query("switching_by_steps")
+def switching_by_steps(spark, sf):
+    """The switching fit of each series without gathering it; ten steps from the halves around the mean."""
+    from ..operators import switching as H
+
+    train = durable(P.segment_model(spark, sf).filter(is_train()))
+    return rounded(H.fit_switching(train, "diff", rounds=10), 4)
+
+
 @query("regime_var")
 def regime_var(spark, sf):
     from ..operators import regimes as G
@@ -493,16 +530,24 @@ def gradient_boosting(spark, sf):
 
 @query("permutation_importance")
 def importance(spark, sf):
-    """Of the best tree model of each series and horizon, the twelve features it needs most."""
+    """Of the best learner of each series and horizon, the twelve features it needs most.
+
+    The elastic net, the forest and both boosted variants compete; the least squared error of the test rows wins.
+    """
     from ..operators import evaluation as E
     from ..operators import learners as L
 
-    assembled, features = tree_rows(spark, sf)
-    fitted, fc = tree_forecasts(assembled, ("Random Forest", "Gradient Boosting"))
-    loss = durable(fc.groupBy("series", "horizon", "model").agg(F.avg(F.pow(E.error(), F.lit(2.0))).alias("mse")))
+    rows, features = learner_rows(spark, sf)
+    assembled, _ = tree_rows(spark, sf, rows, features)
+    fitted, fc = tree_forecasts(assembled, list(tree_models()))
+    linear = L.LinearModel(durable(L.elastic_net_cv(rows.filter(is_train()), features)))
+    fitted["Elastic Net"] = linear
+    test = assembled.filter(F.col("split") == "test")
+    fc = fc.unionByName(linear.transform(test).select("series", "horizon", "week_end_date", F.lit("Elastic Net").alias("model"),
+                                                      F.col("target").alias("actual"), "pred"))
+    loss = durable(fc.groupBy("series", "horizon", "model").agg(F.avg(F.pow(E.error(), F.lit(2.0))).alias("mse")).filter("mse IS NOT NULL"))
     best = loss.groupBy("series", "horizon").agg(F.min_by("model", F.struct("mse", "model")).alias("model"))
-    test = durable(assembled.filter(F.col("split") == "test").join(best, ["series", "horizon"]))
-    rises = L.permutation_importance(fitted, test, features)
+    rises = L.permutation_importance(fitted, durable(test.join(best, ["series", "horizon"])), features)
     rank = F.row_number().over(Window.partitionBy("series", "horizon").orderBy(F.desc("importance"), "feature"))
     return rounded(rises.withColumn("rank", rank).filter(F.col("rank") <= 12), 4)
 

@@ -7,11 +7,13 @@ from ..operators import diagnostics as D
 from ..operators import evaluation as E
 from ..operators import models as M
 from ..operators.moments import moment_matrix, triangle
+from ..plans import calibration as C
 from ..plans import panels as P
 from ..session import durable
 from .aggregates import FCT, test_rows
 from .base import SEG_MODEL, chi2_p, cross_products, erfc_p, framed, f_p, normal_cdf, query, rounded, swept
 from .features import WIN
+from .models import FILTERED
 
 
 @query("jarque_bera", sql=f"""
@@ -367,31 +369,35 @@ RESID = dependence_sql("rv", "resid")
 
 
 @query("residual_diagnostics", sql=f"""
-WITH RECURSIVE {SEG_MODEL},
-lg AS (SELECT series, week_end_date, diff, lag(diff) OVER w AS p FROM seg_model WHERE split = 'train' {WIN}),
-ft AS (SELECT series, count(*) AS n, regr_slope(diff, p) AS phi, regr_intercept(diff, p) AS c FROM lg WHERE p IS NOT NULL GROUP BY 1),
-rv AS (SELECT series || '|AR(1)' AS series, week_end_date, diff - c - phi * p AS v FROM lg JOIN ft USING (series) WHERE p IS NOT NULL
-       UNION ALL SELECT series || '|Random Walk', week_end_date, diff FROM lg),
+WITH RECURSIVE {FILTERED},
+rl AS (SELECT series, week_end_date, diff, lag(diff) OVER w AS p FROM seg_model WHERE split = 'train' {WIN}),
+rf AS (SELECT series, count(*) AS n, regr_slope(diff, p) AS phi, regr_intercept(diff, p) AS c FROM rl WHERE p IS NOT NULL GROUP BY 1),
+rv AS (SELECT series || '|AR(1)' AS series, week_end_date, diff - c - phi * p AS v FROM rl JOIN rf USING (series) WHERE p IS NOT NULL
+       UNION ALL SELECT series || '|Random Walk', week_end_date, diff FROM rl
+       UNION ALL SELECT series || '|ARMA', week_end_date, y - pred FROM fl WHERE split = 'train' AND pred IS NOT NULL),
 cr AS (SELECT split_part(series, '|', 1) AS series, count(*) AS n, sum(v * v) AS ssr FROM rv WHERE series LIKE '%|AR(1)' GROUP BY 1),
-ic AS (SELECT series || '|AR(1)' AS series, n * (ln(2 * pi() * ssr / n) + 1) + 6 AS aic, n * (ln(2 * pi() * ssr / n) + 1) + 3 * ln(n) AS bic FROM cr),
+ic AS (SELECT series || '|AR(1)' AS series, n * (ln(2 * pi() * ssr / n) + 1) + 6 AS aic, n * (ln(2 * pi() * ssr / n) + 1) + 3 * ln(n) AS bic FROM cr
+       UNION ALL SELECT series || '|ARMA', aic, bic FROM sel),
 t AS (SELECT series, avg(v) AS m, stddev_samp(v) AS s FROM rv GROUP BY 1),
 {RESID[0]}
 SELECT split_part(series, '|', 1) AS series, split_part(series, '|', 2) AS model, round(m / 1e3, 6) AS resid_mean, round(s / 1e3, 6) AS resid_std,
        {RESID[1]}, round(aic, 6) AS aic, round(bic, 6) AS bic
 FROM t {RESID[2]} LEFT JOIN ic USING (series)""")
 def residual_diagnostics(spark, sf):
-    model = durable(P.segment_model(spark, sf))
-    train = model.filter(F.col("split") == "train")
-    fit = M.ar1_fit(train, "diff").select("series", F.lit("AR(1)").alias("model"), "aic", "bic")
-    params = M.ar1_fit(train, "diff")
-    resid = (M.ar1_forecast(train, params, "diff").withColumn("resid", E.error()).withColumn("model", F.lit("AR(1)"))
-             .filter(F.col("resid").isNotNull()).select("series", "model", "week_end_date", "resid"))
-    zero = (M.zero_change_forecast(train, "diff").withColumn("model", F.lit("Random Walk"))
-            .select("series", "model", "week_end_date", "resid"))
-    out = D.residual_diagnostics(resid.unionByName(zero), fit)
+    """The families that SQL can fit: no change, AR(1) and ARMA by AIC."""
+    train = durable(P.segment_model(spark, sf).filter(F.col("split") == "train"))
+    resid, criteria = C.mean_families(train)
+    out = D.residual_diagnostics(durable(resid), criteria)
     return rounded(out.withColumns({c: F.col(c) / 1e3 for c in ("resid_mean", "resid_std")}), 6)
 
 
+@query("calibration_diagnostics")
+def calibration_diagnostics(spark, sf):
+    """All seven families: those, three volatility models of the ARMA residuals and the switching model."""
+    train = durable(P.segment_model(spark, sf).filter(F.col("split") == "train"))
+    return rounded(C.calibration_diagnostics(train), 6)
+
+
 EDA = dependence_sql("sv", "change")
 
 
