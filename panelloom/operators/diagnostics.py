@@ -99,7 +99,11 @@ def ljung_box(df: DataFrame, column: str, lags=(4, 8, 12), keys=("series",), ts:
 
 
 def arch_lm(df: DataFrame, column: str, nlags: int = 8, keys=("series",), ts: str = WEEK) -> DataFrame:
-    """Regression of the squares on their own lags: LM, F and both p-values."""
+    """Regression of the squares on their own lags: LM, F and both p-values.
+
+    A series whose squares don't vary has no row; where the lags explain everything, or the rows after them are all equal,
+    the statistics that would divide by zero are null.
+    """
     w = Window.partitionBy(*keys).orderBy(ts)
     whole = Window.partitionBy(*keys)
     raw = F.col(column) * F.col(column)
@@ -107,7 +111,7 @@ def arch_lm(df: DataFrame, column: str, nlags: int = 8, keys=("series",), ts: st
     # and scaling keeps the products well conditioned.
     squares = (df.filter(F.col(column).isNotNull()).withColumn("_raw", raw)
                .withColumn("_q", (F.col("_raw") - F.avg("_raw").over(whole))
-                           / F.stddev_pop("_raw").over(whole)))
+                           / F.nullif(F.stddev_pop("_raw").over(whole), F.lit(0.0))))
     names = [f"_q{k}" for k in range(1, nlags + 1)]
     rows = (squares.select(*keys, F.lit(1.0).alias("_one"),
                            *[F.lag("_q", k).over(w).alias(f"_q{k}") for k in range(1, nlags + 1)],
@@ -118,11 +122,11 @@ def arch_lm(df: DataFrame, column: str, nlags: int = 8, keys=("series",), ts: st
     n = F.col("n_rows").cast("double")
     # Packed positions of sum(1 * y) and sum(y * y).
     sum_y, sum_yy = F.element_at("m", y + 1), F.element_at("m", -1)
-    r2 = 1.0 - F.element_at("s.sscp", 1) / (sum_yy - sum_y * sum_y / n)
+    r2 = 1.0 - F.element_at("s.sscp", 1) / F.nullif(sum_yy - sum_y * sum_y / n, F.lit(0.0))
     rest = n - nlags - 1
     return (solved.filter(rest > 0).withColumn("_r2", r2)
             .withColumn("lm_stat", n * F.col("_r2"))
-            .withColumn("f_stat", (F.col("_r2") / nlags) / ((1.0 - F.col("_r2")) / rest))
+            .withColumn("f_stat", (F.col("_r2") / nlags) / F.nullif((1.0 - F.col("_r2")) / rest, F.lit(0.0)))
             .select(*keys, F.col("n_rows").alias("n_obs"), "lm_stat",
                     chi2_sf(F.col("lm_stat"), nlags).alias("lm_pvalue"), "f_stat",
                     f_sf(F.col("f_stat"), nlags, rest).alias("f_pvalue")))
