@@ -3,8 +3,10 @@
 How partners meet without a list per shingle. Two sets of a and b shingles with Jaccard similarity s or more differ in at most
 D = (a + b)(1 - s)/(1 + s) shingles. Cut the range of shingle hashes into D + 1 + m parts: at least 1 + m parts hold the
 same shingles in both sets. The hash of a part's content is a signature; documents that share one are candidates. Parts with few
-shingles say little: a document with at most m such parts leaves them out, and still shares another part with every
-partner. D depends on sizes, so a document uses the cuts of its own size band and of the one below. No pair is lost.
+shingles say little and are left out: if one of two partners has at most m such parts, another part is still among those
+they share. A document with more of them cuts a second time, by other hashes, and so on: partners that both have too many
+meet there. The chance falls by the same factor each time, so that hardly any document gets to the last cut, where all parts
+count. D depends on sizes, so a document uses the cuts of its own size band and of the one below. No pair is lost.
 
 How links are found without all pairs. Jaccard distance obeys the triangle inequality. A search from a leader finds all within
 twice the allowed distance; what is linked to the leader, and too near to it to reach anything outside its ball, is done.
@@ -32,6 +34,8 @@ BLOCK_SHINGLES = 1 << 19
 """Shingles of the documents that one search looks at together."""
 STEP_BYTES = 1 << 18
 """Text bytes whose shingles are formed together."""
+CUTS = 6
+"""Times that a document with too many weak parts is cut by other hashes before its weak parts count."""
 EPS = 1e-9
 
 
@@ -41,15 +45,18 @@ class Bands:
     def __init__(self, similarity: Fraction):
         self.s = similarity
         self.edges = [1]
-        self.known: dict[int, tuple[np.ndarray, int, int]] = {}
+        self.known: dict[int, tuple[np.ndarray, int, int, int]] = {}
 
     def band(self, size: int) -> int:
         while self.edges[-1] <= size:
             self.edges.append(math.floor(self.edges[-1] / self.s) + 1)
         return next(i for i in range(len(self.edges) - 1, -1, -1) if self.edges[i] <= size)
 
-    def cuts(self, band: int) -> tuple[np.ndarray, int, int]:
-        """``(bounds, weak, slack)``: hash bounds of the parts, the count under which a part is weak, and m."""
+    def cuts(self, band: int) -> tuple[np.ndarray, int, int, int]:
+        """``(bounds, weak, slack, times)``: hash bounds of the parts, the count under which a part is weak, m, and how often a set is cut.
+
+        At similarities so low that a set of the band can't fill enough parts, one cut with all its parts is made.
+        """
         if band in self.known:
             return self.known[band]
         low, high = self.edges[band], math.floor(self.edges[band] / self.s)
@@ -62,7 +69,7 @@ class Bands:
             expected = share * (differ + 1 + slack)
             slack = min(differ + 1, math.ceil(expected + 3 * math.sqrt(expected)))
         parts = differ + 1 + slack
-        self.known[band] = np.array([k * 2**64 // parts for k in range(1, parts)], np.uint64), weak, slack
+        self.known[band] = np.array([k * 2**64 // parts for k in range(1, parts)], np.uint64), weak, slack, 1 if parts - low > slack else CUTS
         return self.known[band]
 
 
@@ -70,17 +77,23 @@ def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     """Signatures of one set (sorted hashes), under the cuts of its band and of the band below."""
     if not len(shingles):
         return np.zeros(0, np.int64)
-    sums = np.zeros(len(shingles) + 1, np.uint64)
-    np.cumsum(mix64(shingles ^ np.uint64(0xA0761D6478BD642F)), out=sums[1:])
     own = bands.band(len(shingles))
     out = []
     for band in (own, own - 1) if own else (own,):
-        bounds, weak, slack = bands.cuts(band)
-        at = np.concatenate([[0], np.searchsorted(shingles, bounds), [len(shingles)]])
-        counts = np.diff(at)
-        made = mix64(sums[at[1:]] - sums[at[:-1]] + mix64(np.arange(len(counts), dtype=np.uint64) * np.uint64(2**20) + np.uint64(band)) + counts.astype(np.uint64))
-        faint = counts < weak
-        out.append(made[~faint] if faint.sum() <= slack else made)
+        bounds, weak, slack, times = bands.cuts(band)
+        for cut in range(times):
+            hashes = np.sort(mix64(shingles + np.uint64(cut))) if cut else shingles
+            sums = np.zeros(len(hashes) + 1, np.uint64)
+            np.cumsum(mix64(hashes ^ np.uint64(0xA0761D6478BD642F)), out=sums[1:])
+            at = np.concatenate([[0], np.searchsorted(hashes, bounds), [len(hashes)]])
+            counts = np.diff(at)
+            place = np.arange(len(counts), dtype=np.uint64) * np.uint64(2**20) + np.uint64(cut * 2**50 + band)
+            made = mix64(sums[at[1:]] - sums[at[:-1]] + mix64(place) + counts.astype(np.uint64))
+            faint = counts < weak
+            few = faint.sum() <= slack
+            out.append(made if cut == times - 1 and not few else made[~faint])
+            if few:
+                break
     return np.concatenate(out).view(np.int64)
 
 

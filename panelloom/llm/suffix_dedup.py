@@ -22,8 +22,8 @@ from .common import arrow_map, chunks, column, discard, durable, mix64, prefix_h
 GRAM = 32
 SHALLOW, PIECE = 64, 8
 """Depth in bytes to which suffixes are sorted by multikey quicksort, and the bytes it compares at a time."""
-MOST = 50_000
-"""Distinct contexts of one gram that one task sorts; beyond, the windows of the gram are counted one by one."""
+MOST = 8_192
+"""Distinct contexts that one task sorts together; more are split on the bytes around them."""
 PART = 1 << 24
 
 
@@ -215,51 +215,78 @@ def repeated_spans(docs: DataFrame, keys: list[str], text: str, length: int) ->
 
     contexts = durable(arrow_map(long_enough.join(wanted, keys).select(text, "cuts"), cut, "gram long, context long, n long, left binary, right binary"))
 
-    def grams_of(batches):
+    reach = reaches(contexts, length)
+    ranges = shared.join(reach, ["gram", "context"]).select(*keys, F.struct((F.col("at") - F.col("before")).alias("start"), (F.col("at") + F.col("after")).alias("end")).alias("range"))
+    out = durable(ranges.groupBy(*keys).agg(F.array_sort(F.collect_set("range")).alias("ranges")))
+    for used in (twice, shared, contexts, reach):
+        discard(used)
+    return out
+
+
+def reaches(contexts: DataFrame, length: int) -> DataFrame:
+    """``(gram, context, before, after)``: how far repeats reach to both sides of a gram, for contexts that have any.
+
+    A part is a set of contexts of one gram that agree on ``a`` bytes before it and ``b`` from it on, at first on the gram alone. A part of
+    at most ``MOST`` contexts is sorted by one task. A larger one is split in two ways, by more of the bytes that follow and by more of
+    those that precede: of two contexts that share ``length`` bytes or more around the gram, one or the other is common to them, so they
+    meet again. Where ``a + b`` reaches ``length`` all contexts of a part match, and none needs sorting. A round
+    halves what is open, so there are at most eight for 200 bytes, and only parts that are too large go on.
+    """
+    def rows_of(batches):
         for batch in batches:
-            yield from zip(*[column(batch, c) for c in ("gram", "context", "n", "left", "right")])
+            yield from zip(*[column(batch, c) for c in ("gram", "part", "context", "n", "left", "right")])
 
     def compare(batches):
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["gram", "context", "before", "after"])
         out = []
-        for gram, rows in groupby(grams_of(batches), key=lambda r: r[0]):
+        for (gram, _), rows in groupby(rows_of(batches), key=lambda r: r[:2]):
             # Rows of one key bring their contexts more than once; equal ones stand next to each other.
-            _, context, n, left, right = zip(*[next(same) for _, same in groupby(rows, key=lambda r: r[1])])
+            _, _, context, n, left, right = zip(*[next(same) for _, same in groupby(rows, key=lambda r: r[2])])
             out += [(gram, c, *e) for c, e in zip(context, extents(left, right, n, length)) if e[1]]
             if len(out) > 8192:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["gram", "context", "before", "after"])
+                yield made(out)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["gram", "context", "before", "after"])
-
-    found = "gram long, context long, before long, after long"
-    crowded = durable(contexts.groupBy("gram").agg(F.countDistinct("context").alias("many")).where(F.col("many") > MOST).select("gram"))
-    usual = contexts.join(crowded, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram", "context")
-    reach = arrow_map(usual, compare, found).unionByName(by_window(contexts.join(crowded, "gram").dropDuplicates(["gram", "context"]), length))
-    ranges = shared.join(reach, ["gram", "context"]).select(*keys, F.struct((F.col("at") - F.col("before")).alias("start"), (F.col("at") + F.col("after")).alias("end")).alias("range"))
-    out = durable(ranges.groupBy(*keys).agg(F.array_sort(F.collect_set("range")).alias("ranges")))
-    for used in (twice, shared, contexts, crowded):
+            yield made(out)
+
+    own = ["gram", "part"]
+    parts = contexts.select("*", F.lit(0).cast("long").alias("part"), F.lit(0).alias("a"), F.lit(GRAM).alias("b"))
+    found, done = [], []
+    while True:
+        crowded = durable(parts.groupBy(*own).agg(F.countDistinct("context").alias("many")).where(F.col("many") > MOST).select(*own))
+        none = crowded.isEmpty()
+        usual = parts if none else parts.join(crowded, own, "left_anti")
+        sorted_parts = usual.select("gram", "part", "context", "n", "left", "right").repartition(*own).sortWithinPartitions(*own, "context")
+        compared = arrow_map(sorted_parts, compare, "gram long, context long, before long, after long")
+        if none and not found:
+            discard(crowded)
+            return compared
+        found.append(durable(compared))
+        done.append(crowded)
+        if none:
+            break
+        open_bytes = F.lit(length) - F.col("a") - F.col("b")
+        half = F.ceil(open_bytes / 2).cast("int")
+        wider = [F.struct(F.col("a").alias("a"), (F.col("b") + half).alias("b")), F.struct((F.col("a") + open_bytes - half + 1).alias("a"), F.col("b").alias("b"))]
+        split = parts.join(crowded, own, "left_semi").withColumn("sides", F.explode(F.array(*wider)))
+        split = split.select("gram", "context", "n", "left", "right", "sides.*").where((F.octet_length("left") >= F.col("a")) & (F.octet_length("right") >= F.col("b")))
+        split = split.withColumn("part", F.xxhash64("a", "b", F.substr("left", F.octet_length("left") - F.col("a") + 1, F.col("a")), F.substr("right", F.lit(1), F.col("b"))))
+        split = durable(split.dropDuplicates(["gram", "part", "context"]))
+        matching = split.where(F.col("a") + F.col("b") >= length)
+        met = matching.groupBy(*own).agg(F.count("*").alias("many")).where("many > 1").select(*own)
+        found.append(durable(matching.join(met, own, "left_semi").select("gram", "context", F.col("a").cast("long").alias("before"), F.col("b").cast("long").alias("after"))))
+        done.append(split)
+        parts = split.where(F.col("a") + F.col("b") < length)
+    own_copies = contexts.where("n > 1").select("gram", "context", F.octet_length("left").cast("long").alias("before"), F.octet_length("right").cast("long").alias("after"))
+    every = own_copies.where(F.col("before") + F.col("after") >= length)
+    for f in found:
+        every = every.unionByName(f)
+    out = durable(every.groupBy("gram", "context").agg(F.max("before").alias("before"), F.max("after").alias("after")))
+    for used in (*found, *done):
         discard(used)
     return out
 
 
-def by_window(contexts: DataFrame, length: int) -> DataFrame:
-    """The extents of grams with very many contexts: every window is a row, counted by its place and hash before the shuffle."""
-    def windows(batches):
-        for batch in batches:
-            for gram, context, n, left, right in zip(*[column(batch, c) for c in ("gram", "context", "n", "left", "right")]):
-                buf = np.frombuffer(left + right, np.uint8)
-                starts = np.arange(len(buf) - length + 1)
-                starts = starts[starts <= len(left)]
-                sums, down = prefix_hashes(buf)
-                hashes = mix64((sums[starts + length] - sums[starts]) * down[starts]).view(np.int64)
-                size = len(starts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, gram)), pa.array(np.full(size, context)), pa.array(np.full(size, n)), pa.array(len(left) - starts), pa.array(hashes)], names=["gram", "context", "n", "before", "window"])
-
-    rows = arrow_map(contexts, windows, "gram long, context long, n long, before long, window long")
-    often = rows.groupBy("gram", "before", "window").agg(F.sum("n").alias("times")).where("times > 1")
-    return rows.join(often, ["gram", "before", "window"]).groupBy("gram", "context").agg(F.max("before").alias("before"), F.max(F.lit(length) - F.col("before")).alias("after"))
-
-
 def merged(ranges: list[dict]) -> list[tuple[int, int]]:
     """The union of ascending ranges; ranges that touch are one run of removed bytes."""
     out: list[tuple[int, int]] = []
@@ -290,9 +317,9 @@ def remove_repeats(docs: DataFrame, keep: list[str], length: int = 200, id_colum
     Removed is each byte covered by a ``length``-byte string that also starts anywhere else, in the same text or another;
     matches never cross texts, and all are judged on the input. Anchors (see the module) are counted by gram before the
     shuffle; of those that occur twice, distinct contexts are gathered by gram and compared by deep-shallow sorting: multikey
-    quicksort to a shallow depth, then blind tries. Equal contexts are one row with a count, so copies cost nothing; a gram with more
-    than ``MOST`` distinct contexts is counted window by window instead. ``characters``: only whole characters are cut, so that the
-    rest stays valid UTF-8. Null text counts as empty and
+    quicksort to a shallow depth, then blind tries. Equal contexts are one row with a count, so copies cost nothing; more than
+    ``MOST`` distinct contexts of a gram are split on the bytes around it and each part is sorted (see ``reaches``). ``characters``: only
+    whole characters are cut, so that the rest stays valid UTF-8. Null text counts as empty and
     repeated rows are occurrences of their own; texts shorter than ``length`` bytes lose nothing; an empty table gives no rows.
     """
     base = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"), F.xxhash64(id_column, text).alias("__k1"), F.xxhash64(F.lit(1), text).alias("__k2"))

@@ -187,6 +187,23 @@ def test_similar_sets_share_a_signature(similarity):
                 assert set(signatures(x, bands)) & set(signatures(y, bands))
 
 
+@pytest.mark.parametrize("similarity", ["0.9", "0.8"])
+def test_sets_with_too_many_weak_parts_are_cut_again(similarity):
+    """Hashes that leave most parts empty: similar sets still meet, and others don't meet in an empty part."""
+    rng, s = np.random.default_rng(8), Fraction(similarity)
+    bands = Bands(s)
+    for size in (19, 40, 200, 900):
+        sets = [np.unique(rng.integers(0, 2**40, size).astype(np.uint64)) for _ in range(20)]
+        signed = [set(signatures(x, bands)) for x in sets]
+        assert not any(signed[i] & signed[j] for i in range(20) for j in range(i))
+        for x, own in zip(sets, signed):
+            changed = int(len(x) * (1 - s) / (1 + s))
+            for y in (np.unique(np.concatenate([x[changed:], x[:changed] + np.uint64(2**63)])), x[: len(x) - changed]):
+                same = len(np.intersect1d(x, y))
+                if same >= s * (len(x) + len(y) - same):
+                    assert own & set(signatures(y, bands))
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(5, 5)]
