@@ -24,6 +24,8 @@ SHALLOW, PIECE = 64, 8
 """Depth in bytes to which suffixes are sorted by multikey quicksort, and the bytes it compares at a time."""
 MOST = 8_192
 """Distinct contexts that one task sorts together; more are split on the bytes around them."""
+WAYS = 6
+"""Ways in which such a set is split at a time."""
 PART = 1 << 24
 
 
@@ -227,10 +229,10 @@ def reaches(contexts: DataFrame, length: int) -> DataFrame:
     """``(gram, context, before, after)``: how far repeats reach to both sides of a gram, for contexts that have any.
 
     A part is a set of contexts of one gram that agree on ``a`` bytes before it and ``b`` from it on, at first on the gram alone. A part of
-    at most ``MOST`` contexts is sorted by one task. A larger one is split in two ways, by more of the bytes that follow and by more of
-    those that precede: of two contexts that share ``length`` bytes or more around the gram, one or the other is common to them, so they
-    meet again. Where ``a + b`` reaches ``length`` all contexts of a part match, and none needs sorting. A round
-    halves what is open, so there are at most eight for 200 bytes, and only parts that are too large go on.
+    at most ``MOST`` contexts is sorted by one task. A larger one is split in ``WAYS`` ways, by so many more of the bytes that precede and
+    so many of those that follow: two contexts that share ``length`` bytes or more around the gram agree in one of the ways, so they
+    meet again. Where ``a + b`` reaches ``length`` all contexts of a part match, and none needs sorting. A round leaves a
+    ``WAYS``-th open, so there are at most three for 200 bytes, and only parts that are too large go on.
     """
     def rows_of(batches):
         for batch in batches:
@@ -265,11 +267,12 @@ def reaches(contexts: DataFrame, length: int) -> DataFrame:
         done.append(crowded)
         if none:
             break
-        open_bytes = F.lit(length) - F.col("a") - F.col("b")
-        half = F.ceil(open_bytes / 2).cast("int")
-        wider = [F.struct(F.col("a").alias("a"), (F.col("b") + half).alias("b")), F.struct((F.col("a") + open_bytes - half + 1).alias("a"), F.col("b").alias("b"))]
-        split = parts.join(crowded, own, "left_semi").withColumn("sides", F.explode(F.array(*wider)))
-        split = split.select("gram", "context", "n", "left", "right", "sides.*").where((F.octet_length("left") >= F.col("a")) & (F.octet_length("right") >= F.col("b")))
+        # Contexts that share ``l`` more bytes before the gram share all but ``l`` of the open ones after it: each range of ``l`` is a way.
+        split = parts.join(crowded, own, "left_semi").withColumn("open", F.lit(length) - F.col("a") - F.col("b"))
+        cut = lambda way: F.floor(way * (F.col("open") + 1) / WAYS).cast("int")
+        ways = F.transform(F.sequence(F.lit(0), F.lit(WAYS - 1)), lambda way: F.struct((F.col("a") + cut(way)).alias("a"), (F.col("b") + F.col("open") + 1 - cut(way + 1)).alias("b"), (cut(way) < cut(way + 1)).alias("any")))
+        split = split.withColumn("sides", F.explode(ways)).where("sides.any")
+        split = split.select("gram", "context", "n", "left", "right", "sides.a", "sides.b").where((F.octet_length("left") >= F.col("a")) & (F.octet_length("right") >= F.col("b")))
         split = split.withColumn("part", F.xxhash64("a", "b", F.substr("left", F.octet_length("left") - F.col("a") + 1, F.col("a")), F.substr("right", F.lit(1), F.col("b"))))
         split = durable(split.dropDuplicates(["gram", "part", "context"]))
         matching = split.where(F.col("a") + F.col("b") >= length)
