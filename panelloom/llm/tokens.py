@@ -26,7 +26,7 @@ from .common import arrow_map, chunks, column, durable, worker_cache
 
 SEGMENT_IDS = 1 << 21
 """Ids after which a segment is closed (a longer document is a segment of its own)."""
-MEMO_WORDS, MEMO_CHARS = 200_000, 8
+MEMO_WORDS, MEMO_CHARS = 1_000_000, 12
 """Words whose ids a Python worker remembers, and how long they can be; all others are encoded each time."""
 MAGIC = b"EFTOKEN1"
 HEADER = "<8sQQQQqQQ"
@@ -144,21 +144,25 @@ class WordIds(dict):
     """
 
     LETTERS, MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+", "[!-/:-@\\[-`{-~]*"
+    SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
     PLAIN = re.compile(f"({LETTERS})({MARKS})(?:\n({LETTERS})({MARKS}))?")
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer, self.model, self.characters = tokenizer, tokenizer.model, byte_characters()
-        self.code = "I" if tokenizer.get_vocab_size() > 1 << 16 else "H"
+        self.code, self.blank = "I" if tokenizer.get_vocab_size() > 1 << 16 else "H", self.characters[32]
         self.marks: dict[str, bytes] = {}
 
     def direct(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def shown(self, text: str) -> bytes:
+        """Ids of one piece, given as the byte level writes it."""
+        return array(self.code, [t.id for t in self.model.tokenize(text)]).tobytes()
+
     def piece(self, text: str) -> bytes:
         """Ids of a string that the pattern takes as one piece."""
-        shown = text.encode().decode("latin-1").translate(self.characters)
-        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return self.shown(text.encode().decode("latin-1").translate(self.characters))
 
     def ending(self, marks: str) -> bytes:
         if marks not in self.marks:
@@ -169,8 +173,12 @@ class WordIds(dict):
         return self.marks[marks]
 
     def __missing__(self, word: str) -> bytes:
-        plain = self.PLAIN.fullmatch(word)
-        if not plain:
+        letters = word.rstrip(self.SIGNS) if word.isascii() else ""
+        if letters.isalpha():
+            # The byte level leaves these letters as they are.
+            marks = word[len(letters) :]
+            ids = self[letters] + self.ending(marks) if marks else self.shown(self.blank + word)
+        elif not (plain := self.PLAIN.fullmatch(word)):
             ids = self.direct(" " + word)
         else:
             letters, marks, after, more = plain.groups()

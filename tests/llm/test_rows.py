@@ -16,7 +16,7 @@ from panelloom.llm.common import DOCUMENT
 from panelloom.llm.mixing import mix_sources, mixed_documents
 from panelloom.llm.packing import best_bounds, pack
 from panelloom.llm.sharding import shard, shard_bounds
-from panelloom.llm.tokens import EliasFano, Encoder, Segment, read_tokens, token_folder, write_tokens
+from panelloom.llm.tokens import EliasFano, Encoder, Segment, WordIds, read_tokens, token_folder, write_tokens
 from panelloom.llm.topk import top_k
 
 from .helpers import SCHEMA, empty, messy
@@ -183,6 +183,26 @@ def test_encoder_gives_the_ids_of_the_tokenizer():
         assert [x.tolist() for x in encoder.encode(texts)] == want
 
 
+def test_longer_words_and_their_marks_are_encoded_once():
+    class Counted:
+        calls = 0
+
+        def __init__(self, model):
+            self.model = model
+
+        def tokenize(self, piece):
+            Counted.calls += 1
+            return self.model.tokenize(piece)
+
+    words = WordIds(Tokenizer.from_file(BPE))
+    words.model = Counted(words.model)
+    whole = Tokenizer.from_file(BPE)
+    for word in ["ontiontion", "ontiontion,", "CHEN!!", "CHEN", "abc'd", "a1", "x" * 30 + ";"] * 3:
+        assert np.frombuffer(words[word], "<u2").tolist() == whole.encode(" " + word, add_special_tokens=False).ids
+    # ontiontion, the comma, CHEN, two exclamation marks and the semicolon once; the long word each time.
+    assert Counted.calls == 5 + 3
+
+
 @pytest.mark.parametrize("change", ["prefix", "lower", "added", "words"])
 def test_other_tokenizers_are_not_taken_word_by_word(tmp_path, change):
     """The same vocabulary with another pre-tokenizer, normalizer or added token, and one of another kind."""
