@@ -8,6 +8,10 @@ they share. A document with more of them cuts a second time, by other hashes, an
 meet there. The chance falls by the same factor each time, so that hardly any document gets to the last cut, where all parts
 count. D depends on sizes, so a document uses the cuts of its own size band and of the one below. No pair is lost.
 
+How chance meetings are told apart without comparing. The same count bounds from below how many signatures partners share: all
+parts, but those that their own sizes let differ, and those that are left out. A document that has fewer signatures in common with
+all others together has no partner; without it others have fewer too, and so on.
+
 How links are found without all pairs. Jaccard distance obeys the triangle inequality. A search from a leader finds all within
 twice the allowed distance; what is linked to the leader, and too near to it to reach anything outside its ball, is done.
 """
@@ -34,6 +38,8 @@ BLOCK_SHINGLES = 1 << 19
 """Shingles of the documents that one search looks at together."""
 STEP_BYTES = 1 << 18
 """Text bytes whose shingles are formed together."""
+ROUNDS = 4
+"""Times that documents with too few shared signatures are taken out: each time, signatures only they shared go too."""
 CUTS = 6
 """Times that a document with too many weak parts is cut by other hashes before its weak parts count."""
 EPS = 1e-9
@@ -73,14 +79,21 @@ class Bands:
         return self.known[band]
 
 
-def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
-    """Signatures of one set (sorted hashes), under the cuts of its band and of the band below."""
+def signed(shingles: np.ndarray, bands: Bands) -> tuple[np.ndarray, list[int]]:
+    """Signatures of one set (sorted hashes), under the cuts of its band and of the band below; and how many partners share at least.
+
+    A signature's last bit is that of its band. The second value is indexed by it: two sets of the similarity whose smaller one is of
+    that band share so many signatures of that band.
+    """
     if not len(shingles):
-        return np.zeros(0, np.int64)
-    own = bands.band(len(shingles))
-    out = []
+        return np.zeros(0, np.int64), [1, 1]
+    n, own = len(shingles), bands.band(len(shingles))
+    out, least = [], [1, 1]
     for band in (own, own - 1) if own else (own,):
         bounds, weak, slack, times = bands.cuts(band)
+        # The largest partner: as large as the similarity allows, or the last one of the band below.
+        largest = math.floor(n / bands.s) if band == own else bands.edges[own] - 1
+        sure = len(bounds) + 1 - math.floor((n + largest) * (1 - bands.s) / (1 + bands.s))
         for cut in range(times):
             hashes = np.sort(mix64(shingles + np.uint64(cut))) if cut else shingles
             sums = np.zeros(len(hashes) + 1, np.uint64)
@@ -89,12 +102,20 @@ def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
             counts = np.diff(at)
             place = np.arange(len(counts), dtype=np.uint64) * np.uint64(2**20) + np.uint64(cut * 2**50 + band)
             made = mix64(sums[at[1:]] - sums[at[:-1]] + mix64(place) + counts.astype(np.uint64))
+            made = made & ~np.uint64(1) | np.uint64(band % 2)
             faint = counts < weak
             few = faint.sum() <= slack
             out.append(made if cut == times - 1 and not few else made[~faint])
+            if not cut:
+                # All partners have made the first cut too; later ones only if their own parts are too weak before.
+                least[band % 2] = max(1, sure - (int(faint.sum()) if few else slack))
             if few:
                 break
-    return np.concatenate(out).view(np.int64)
+    return np.concatenate(out).view(np.int64), least
+
+
+def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
+    return signed(shingles, bands)[0]
 
 
 class Lists:
@@ -257,7 +278,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, similarity: str = "0.8", id
     s = Fraction(similarity)
     bands = Bands(s)
 
-    def sketch(signed: bool):
+    def sketch(sign: bool):
         def run(batches):
             for batch in batches:
                 texts, ids = texts_of(batch, text), batch.column(batch.schema.get_field_index("doc_id"))
@@ -267,26 +288,49 @@ def jaccard_classes(docs: DataFrame, words: int = 5, similarity: str = "0.8", id
                     second = [int(mix64(x * np.uint64(0x8EBC6AF09C88C6E3)).sum(dtype=np.uint64)) for x in sets]
                     cols = [ids.slice(part.start, part.stop - part.start), pa.array([len(x) for x in sets], pa.int64()),
                             pa.array(np.array(first, np.uint64).view(np.int64)), pa.array(np.array(second, np.uint64).view(np.int64))]
-                    if signed:
-                        cols.append(lists([signatures(x, bands) for x in sets], pa.int64()))
-                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "k1", "k2", "signatures"][: len(cols)])
+                    if sign:
+                        made = [signed(x, bands) for x in sets]
+                        cols += [lists([m for m, _ in made], pa.int64()), *[pa.array([least[k] for _, least in made], pa.int64()) for k in (0, 1)]]
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "k1", "k2", "signatures", "least0", "least1"][: len(cols)])
         return run
 
     # Texts are hashed twice, so that no table holds the signatures of copies.
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text))
     fields = "doc_id long, n long, k1 long, k2 long"
     table = durable(arrow_map(texts, sketch(False), fields))
-    signed = arrow_map(texts, sketch(True), f"{fields}, signatures array<long>").where("n > 0 and doc_id is not null")
-    distinct = durable(signed.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("signatures").alias("signatures")))
+    marked = arrow_map(texts, sketch(True), f"{fields}, signatures array<long>, least0 long, least1 long").where("n > 0 and doc_id is not null")
+    distinct = durable(marked.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("signatures").alias("signatures"), F.first("least0").alias("least0"), F.first("least1").alias("least1")))
     known = table.where("n > 0 and doc_id is not null")
     copies = durable(known.join(distinct.select("n", "k1", "k2", "rep"), ["n", "k1", "k2"]).where("doc_id != rep").select("doc_id", "rep").distinct())
 
-    # 2. Shared signatures, their leaders and followers.
+    # 2. Shared signatures, their leaders and followers. Documents that share fewer than any partner would are taken out.
+    def leaders(rows: DataFrame) -> DataFrame:
+        return durable(rows.groupBy("sig").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")).where("leader < last").select("sig", "leader"))
+
     emitted = distinct.select(F.explode("signatures").alias("sig"), F.col("rep").alias("doc"))
-    shared = durable(emitted.groupBy("sig").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")).where("leader < last").select("sig", "leader"))
-    follow = durable(emitted.join(shared, "sig").where("doc != leader").select("sig", "leader", "doc"))
+    shared = leaders(emitted)
+    meet = durable(emitted.join(shared, "sig").select("sig", "doc"))
+    # An id of several texts counts as many as all of them share, and needs as many as the least of them.
+    needs = durable(distinct.groupBy(F.col("rep").alias("doc")).agg(F.min("least0").alias("least0"), F.min("least1").alias("least1")))
     discard(distinct)
-    discard(shared)
+    even = F.col("sig") % 2 == 0
+    for _ in range(ROUNDS):
+        counts = meet.groupBy("doc").agg(F.count_if(even).alias("n0"), F.count_if(~even).alias("n1")).join(needs, "doc")
+        few = durable(counts.select("doc", F.expr("n0 < least0").alias("few0"), F.expr("n1 < least1").alias("few1"), F.expr("n0 between 1 and least0 - 1 or n1 between 1 and least1 - 1").alias("out")))
+        done = not few.where("out").limit(1).count()
+        if not done:
+            left = durable(meet.join(few, "doc").where(~F.when(even, F.col("few0")).otherwise(F.col("few1"))).select("sig", "doc"))
+            fewer = leaders(left)
+            discard(meet)
+            discard(shared)
+            meet, shared = durable(left.join(fewer.select("sig"), "sig")), fewer
+            discard(left)
+        discard(few)
+        if done:
+            break
+    follow = durable(meet.join(shared, "sig").where("doc != leader").select("sig", "leader", "doc"))
+    for used in (meet, shared, needs):
+        discard(used)
     votes = durable(follow.groupBy("leader", "doc").agg(F.count("*").alias("votes")))
     involved = votes.select(F.explode(F.array("leader", "doc")).alias("doc_id")).distinct()
     sets = durable(shingle_table(texts.join(involved.hint("merge"), "doc_id", "left_semi"), words, "doc_id", text, bands).withColumnRenamed("doc_id", "doc").where(F.size("set") > 0))

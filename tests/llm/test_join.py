@@ -9,7 +9,7 @@ import pytest
 
 from panelloom.llm import ngram_join
 from panelloom.llm.common import Words, components, numbered
-from panelloom.llm.ngram_join import Bands, Lists, jaccard_classes, links_among, signatures
+from panelloom.llm.ngram_join import Bands, Lists, jaccard_classes, links_among, signatures, signed
 
 from .helpers import empty, messy, prose
 
@@ -204,6 +204,51 @@ def test_sets_with_too_many_weak_parts_are_cut_again(similarity):
                     assert own & set(signatures(y, bands))
 
 
+@pytest.mark.parametrize("similarity", ["0.8", "0.6", "0.9"])
+def test_similar_sets_share_as_many_signatures_as_both_need(similarity):
+    """The bound by which documents are left out: of the band of the smaller set, partners share at least what either needs."""
+    s, rng = Fraction(similarity), np.random.default_rng(5)
+    bands, useful = Bands(s), 0
+    for size in [*range(1, 30), *range(30, 400, 7)]:
+        x = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        gone = int(rng.integers(0, size - -(-size * s.numerator // s.denominator) + 1))
+        y = np.sort(rng.permutation(x)[gone:])
+        room = int(len(y) / s) - len(x)
+        if room > 0:
+            y = np.union1d(y, rng.integers(0, 2**63, int(rng.integers(0, room + 1)), dtype=np.uint64))
+        both = len(np.intersect1d(x, y))
+        assert Fraction(both, len(x) + len(y) - both) >= s
+        parity = bands.band(min(len(x), len(y))) % 2
+        (a, needs), (b, wants) = signed(x, bands), signed(y, bands)
+        shared = [k for k in set(a.tolist()) & set(b.tolist()) if k % 2 == parity]
+        assert len(shared) >= max(needs[parity], wants[parity])
+        useful += needs[parity] > 3
+    assert useful > 5
+
+
+def test_documents_that_share_one_passage_are_not_searched(spark, monkeypatch):
+    """A chain of documents, each with a passage of the one before: few signatures in common, so no sets are compared."""
+    rng, held, searches = random.Random(8), "", []
+    rows = []
+    for i in range(60):
+        fresh = [f"u{rng.randrange(10**9)}" for _ in range(300)]
+        rows.append((i, " ".join([held, *fresh]).strip()))
+        held = " ".join(fresh[-40:])
+    rows.append((100, rows[7][1] + " more"))
+    made = ngram_join.durable
+
+    def counted(df):
+        out = made(df)
+        if df.columns == ["doc", "set", "band"]:
+            searches.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "durable", counted)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(60)} | {100: 7}
+    assert searches == [2]
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(5, 5)]
