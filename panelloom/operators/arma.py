@@ -87,6 +87,19 @@ def _stable(ar: pd.Series, ma: pd.Series) -> pd.Series:
 _stable = _stable.asNondeterministic()
 
 
+def stable_roots(ar: Column, ma: Column, width: int) -> Column:
+    """``_stable`` of arrays of ``width`` coefficients: up to three by the triangle conditions, which take no Python worker."""
+    if width > 3:
+        return _stable(ar, ma)
+
+    def inside(c: Column, sign: int) -> Column:
+        x, y, z = [sign * F.coalesce(F.get(c, F.lit(i)), F.lit(0.0)) for i in range(3)]
+        finite = F.abs(x) + F.abs(y) + F.abs(z) < float("inf")  # NaN is larger
+        return finite & (1 - x - y - z > 0) & (1 + x - y + z > 0) & (F.abs(z) < 1) & (1 - z * z > F.abs(y + x * z))
+
+    return inside(ar, 1) & inside(ma, -1)
+
+
 def fit_orders(moments: DataFrame, keys, orders, n_exog: int = 0) -> DataFrame:
     """One row per key and order: coefficients, variance, criteria, stability."""
     max_p, max_q = max(p for p, _ in orders), max(q for _, q in orders)
@@ -134,7 +147,7 @@ def fitted(tried: DataFrame, keys, max_p: int, max_q: int, n_exog: int) -> DataF
         padded(F.col("p") + 2, F.col("q"), max(max_q, MIN_WIDTH)).alias("ma"),
         F.slice(coef, F.col("p") + F.col("q") + 2, F.lit(max(n_exog, 1))).alias("beta"),
         (ssr / n).alias("sigma2"), F.col("n_rows").alias("n_obs"), aic.alias("aic"), bic.alias("bic"))
-        .withColumn("stable", _stable("ar", "ma")))
+        .withColumn("stable", stable_roots(F.col("ar"), F.col("ma"), max(max_p, max_q, MIN_WIDTH))))
 
 
 def arma_candidates(df: DataFrame, y: str, train: Column, keys=("series",), ts: str = WEEK, orders=None) -> DataFrame:

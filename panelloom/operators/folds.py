@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..session import bounded_batches
+
 Block = Callable[[object, dict[str, list]], tuple[object, list[list]]]
 """``block(state, columns)`` of consecutive rows of one key; returns the state after them and the new columns."""
 
@@ -59,7 +61,7 @@ def carried(rows: DataFrame, keys, order, reads, fields: str, start: Callable[[]
 
     kinds, names = [to_arrow_type(f.dataType) for f in made.fields], made.fieldNames()
     dealt = rows.repartition(*keys) if keys else rows.coalesce(1)
-    return dealt.sortWithinPartitions(*keys, *order).mapInArrow(run, T.StructType([*rows.schema.fields, *made.fields]))
+    return bounded_batches(dealt).sortWithinPartitions(*keys, *order).mapInArrow(run, T.StructType([*rows.schema.fields, *made.fields]))
 
 
 def one_step(width: int) -> Block:

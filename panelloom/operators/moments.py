@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import bounded_batches
+
 ROWS = 2048
 """Rows whose products are formed together."""
 HELD = 4096
@@ -83,7 +85,7 @@ def partial_moments(df: DataFrame, by, columns) -> DataFrame:
             yield emit()
 
     rows = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
-    return rows.mapInArrow(run, f"{kinds}{', ' if by else ''}n_rows long, m array<double>")
+    return bounded_batches(rows).mapInArrow(run, f"{kinds}{', ' if by else ''}n_rows long, m array<double>")
 
 
 def merged(parts: DataFrame, group, by, running: bool = False) -> DataFrame:
@@ -125,7 +127,7 @@ def merged(parts: DataFrame, group, by, running: bool = False) -> DataFrame:
 
     dealt = parts.repartition(*group) if group else parts.coalesce(1)
     dealt = dealt.sortWithinPartitions(*by) if by else dealt
-    return dealt.mapInArrow(run, T.StructType([*[parts.schema[c] for c in by], parts.schema["n_rows"], parts.schema["m"]]))
+    return bounded_batches(dealt).mapInArrow(run, T.StructType([*[parts.schema[c] for c in by], parts.schema["n_rows"], parts.schema["m"]]))
 
 
 def moment_matrix(df: DataFrame, keys, columns, running: str | None = None) -> DataFrame:

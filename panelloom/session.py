@@ -26,6 +26,18 @@ def local_session(cores: int = 8, memory: str = "8g", partitions: int | None = N
     return spark
 
 
+BATCH_ROWS = 2000
+"""Rows of a batch that a Python worker gets, at most: it holds some copies of one, some of them as Python objects."""
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of at most ``BATCH_ROWS`` rows from here on; a smaller setting stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named in ``spark.checkpoint.dir``.
 

@@ -203,3 +203,26 @@ def test_metrics_do_not_depend_on_partitioning(spark):
     one = {r.model: r.rmse for r in E.forecast_metrics(df.coalesce(1)).collect()}
     many = {r.model: r.rmse for r in E.forecast_metrics(df.repartition(13)).collect()}
     assert one == pytest.approx(many)
+
+
+def test_stability_up_to_order_three_takes_no_python_worker(spark):
+    rng = np.random.default_rng(3)
+    rows = [(rng.normal(0, 0.7, 3).tolist(), rng.normal(0, 0.7, 3).tolist()) for _ in range(300)]
+    rows += [([0.5, 0.0, 0.0], [0.0, 0.0, 0.0]), ([1.01, 0.0, 0.0], [0.0] * 3), ([float("nan"), 0.0, 0.0], [0.0] * 3), ([0.0] * 3, [float("-inf"), 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "ar array<double>, ma array<double>")
+    got = df.select(A._stable("ar", "ma").alias("a"), A.stable_roots(F.col("ar"), F.col("ma"), 3).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got) and {r["a"] for r in got} == {True, False}
+    model = spark.range(200).select(F.lit("s").alias("series"), F.expr("date_add(date'2020-01-03', int(7 * id))").alias("week_end_date"), F.rand(1).alias("diff"))
+    plan = A.arma_candidates(model, "diff", F.lit(True))._jdf.queryExecution().executedPlan().toString()
+    # The solves of the shocks and of the orders, each after the sums of its moments.
+    assert plan.count("ArrowEvalPython [") == 2
+
+
+def test_python_workers_get_bounded_batches(spark):
+    from panelloom.operators import folds
+    from panelloom.session import BATCH_ROWS
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    rows = spark.range(5000).select(F.lit("s").alias("series"), "id")
+    out = folds.carried(rows, ["series"], ["id"], ["id"], "n long", lambda: 0, lambda state, c: (state, [[len(c["id"])] * len(c["id"])]))
+    assert out.agg(F.max("n"), F.count("*")).first() == (BATCH_ROWS, 5000)
